@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaklens.llm import fingerprints, mixing, packing, tokens
+from leaklens.llm import chunks, fingerprints, mixing, packing, shingles, tokens
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 TOKEN_LIMIT = 2048
@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: bytes, bytes removed, maximal removed runs, and a digest of the text kept."""
+    kept = chunks.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    return kept.select("doc_id", (F.octet_length("text")).cast("long").alias("n_kept"), "n_removed", "n_spans", "spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,5 +41,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mix_sources, op4_fingerprints, op6_pack, op9_token_counts)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_mix_sources, op4_fingerprints, op6_pack, op9_token_counts, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
