@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaklens.llm import chunks, fingerprints, mixing, packing, shingles, tokens
+from leaklens.llm import chunks, extraction, fingerprints, language, mixing, packing, shingles, suffixes, tokens, vectors
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 TOKEN_LIMIT = 2048
@@ -24,6 +24,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", (F.octet_length("text")).cast("long").alias("n_kept"), "n_removed", "n_spans", "spans", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's language; the text model is fitted on the bounded sample of labelled documents."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.col("html").alias("body"), F.lit(None).cast("string").alias("declared"), language.host_of(F.col("url")).alias("host"))
+    return language.identify(pages, language.fit(table(spark, sf_dir, "documents")), html=True).withColumnRenamed("key", "page_id")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -32,10 +38,22 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -45,5 +63,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_mix_sources, op4_fingerprints, op6_pack, op9_token_counts, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_mix_sources, op4_fingerprints, op5_suffix_dedup, op6_pack, op7_extract, op8_near_vectors, op9_token_counts, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
