@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leaklens.llm.shared import components, mix64, pieces, small_batches, stash, utf8
+from leaklens.llm.shared import components, mix64, pieces, small_batches, stash, unstash, utf8
 
 _RNG = np.random.default_rng(20240229)
 #: Random odd letters' weights and powers for the rolling word hash.
@@ -100,10 +100,10 @@ def _ceil_share(n: np.ndarray | int, top: int, bottom: int):
 
 
 def shingle_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, digest) of every row, and a row per distinct non-empty set: id, n, prefix.
+    """(doc_id, n, digest) of every row, and a row per distinct non-empty set: id, n, prefix, bits.
 
     The prefix holds the set's first shingles in the order (frequent last, else by hash) that any set at
-    `percent` or more shares one of: n - ceil(percent% n) + 1 of them.
+    `percent` or more shares one of: n - ceil(percent% n) + 1 of them. bits has the low bits of all hashes.
     """
     spark = docs.sparkSession
     rank = spark.sparkContext.broadcast(_frequent(docs, words))
@@ -114,21 +114,52 @@ def shingle_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFram
         known = late[sort]
         for b in batches:
             for part in pieces(b, "text"):
-                ns, digests, prefixes = [], [], []
+                ns, digests, prefixes, bits = [], [], [], []
                 for s in text_sets(part.column(1), words):
                     ns.append(len(s))
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    digests.append(set_digest(s))
+                    bits.append(bitmap(s))
                     if len(known) and len(s):
                         hit = np.searchsorted(known, s)
                         hit[hit == len(known)] = 0
                         common = known[hit] == s
                         s = np.concatenate([s[~common], late[np.sort(sort[hit[common]])]])
                     prefixes.append(s[: len(s) - _ceil_share(len(s), percent, 100) + 1].view(np.int64) if len(s) else s.view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n", "digest", "prefix", "bits"])
 
-    rows = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(describe, "doc_id long, n long, digest binary, prefix array<long>"), "sets")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    return rows.select("doc_id", "n", "digest"), stash(classes, "classes")
+    whole = stash(docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, digest binary, prefix array<long>, bits binary"), "sets")
+    classes = whole.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    classes, rows = stash(classes, "classes"), stash(whole.select("doc_id", "n", "digest"), "rows")
+    unstash(whole)
+    return rows, classes
+
+
+def set_digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for the low bits of each hash, in a power of two of at least 4 bits a hash and 64 in all."""
+    m = 1 << max(6, int(4 * len(s) - 1).bit_length())
+    out = np.zeros(m, np.uint8)
+    out[(s & np.uint64(m - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def most_shared(a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """An upper bound of how many hashes each pair of sets shares, from bitmaps and sizes."""
+    out = np.zeros(len(a), np.int64)
+    size = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for la, lb in np.unique(size, axis=0):
+        at = np.flatnonzero((size == (la, lb)).all(1))
+        x = np.frombuffer(b"".join(a[i] for i in at), np.uint8).reshape(len(at), la)
+        y = np.frombuffer(b"".join(b[i] for i in at), np.uint8).reshape(len(at), lb)
+        w = min(la, lb)
+        x = np.bitwise_or.reduce(x.reshape(len(at), la // w, w), 1)
+        y = np.bitwise_or.reduce(y.reshape(len(at), lb // w, w), 1)
+        both, px, py = (np.bitwise_count(z).sum(1, dtype=np.int64) for z in (x & y, x, y))
+        out[at] = np.minimum(both + n[at] - px, both + m[at] - py)
+    return out
 
 
 #: Postings that one list step compares with the list at once.
@@ -218,11 +249,37 @@ def _rows(schema: str, columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in schema.split(", ")])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that reach `percent`, by their whole sets."""
-    both = pairs.where("a <> b").select("a", "b").distinct().join(sets.withColumnsRenamed({"id": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "y"}), "b")
+def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """The pairs (a, b) that reach `percent`: first by an upper bound from bitmaps, then by their whole sets.
+
+    The bound drops no pair that reaches it; only documents of the pairs it leaves are read again.
+    """
+
+    def bound(batches):
+        for r in batches:
+            n, m = r.column(1).to_numpy(), r.column(4).to_numpy()
+            ok = most_shared(r.column(2).to_pylist(), r.column(5).to_pylist(), n, m) * (100 + percent) >= (n + m) * percent
+            yield pa.RecordBatch.from_arrays([r.column(0), r.column(3)], names=["a", "b"]).filter(pa.array(ok))
+
+    x = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    y = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    left = stash(pairs.where("a <> b").distinct().join(x, "a").join(y, "b").select("a", "na", "xa", "b", "nb", "xb").mapInArrow(bound, "a long, b long"), "candidates")
+
+    def expand(batches):
+        for r in batches:
+            for part in pieces(r, "text"):
+                sets = text_sets(part.column(2), words)
+                same = [set_digest(s) == d for s, d in zip(sets, part.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "set"]).filter(pa.array(same, pa.bool_()))
+
+    asked = left.select(F.col("a").alias("id")).union(left.select(F.col("b").alias("id"))).distinct().join(classes.select("id", "digest"), "id")
+    sets = stash(docs.join(asked, docs["doc_id"] == asked["id"]).select("id", "digest", "text").mapInArrow(expand, "id long, set array<long>"), "shingle-sets")
+    both = left.join(sets.withColumnsRenamed({"id": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "y"}), "b")
     shared = F.size(F.array_intersect("x", "y")).cast("long")
-    return both.withColumn("s", shared).where(F.col("s") * 100 >= (F.size("x") + F.size("y") - F.col("s")) * percent).select("a", "b")
+    links = both.select("a", "b", shared.alias("s"), (F.size("x") + F.size("y")).alias("t")).where(F.col("s") * 100 >= (F.col("t") - F.col("s")) * percent).select("a", "b")
+    out = stash(links.distinct(), "links")
+    unstash(sets)
+    return out
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
@@ -242,23 +299,12 @@ def jaccard_components(docs: DataFrame, percent: int = 75, words: int = 5) -> Da
     postings = classes.select("id", "n", F.posexplode("prefix").alias("at", "token")).withColumn("g", F.col("id"))
     found = stash(_lists(postings, True, percent), "lists")
     pairs, longer = found.where("kind = 0").select("a", "b"), found.where("kind = 1").select("token", F.col("a").alias("id"), "n", "at")
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(longer.select("id")).distinct()
-
-    def expand(batches):
-        for b in batches:
-            for part in pieces(b, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in text_sets(part.column(1), words)], pa.list_(pa.int64()))], names=["id", "set"])
-
-    digests = classes.select("id", "digest").join(asked, "id")
-    chosen = rows.join(digests, (rows["doc_id"] == digests["id"]) & (rows["digest"] == digests["digest"])).select("id").distinct()
-    texts = docs.join(chosen, docs["doc_id"] == chosen["id"]).select("id", "text")
-    sets = stash(texts.mapInArrow(expand, "id long, set array<long>").where("size(set) > 0").dropDuplicates(["id"]), "shingle-sets")
-    links = stash(_verify(pairs, sets, percent), "links")
+    links = _confirm(pairs, classes, docs, percent, words)
     parts = stash(components(links), "components")
     grouped = longer.join(parts, "id", "left").select("token", "id", "n", "at", F.coalesce("component", "id").alias("g"))
     open_ = grouped.groupBy("token").agg((F.min("g") != F.max("g")).alias("open")).where("open").select("token")
     more = stash(_lists(grouped.join(open_, "token"), False, percent).select("a", "b").distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
     if more.limit(1).count():
-        parts = components(links.union(_verify(more, sets, percent)))
+        parts = components(links.union(_confirm(more, classes, docs, percent, words)))
     of = classes.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("class"))
     return rows.join(of, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
