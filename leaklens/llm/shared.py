@@ -96,15 +96,43 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Edges that one task thins to a spanning forest before components are sought.
+FOREST = 1_000_000
+
+
+def _forest(batches):
+    """Of the edges that a task sees, those that join two trees."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up] if up in root else up
+        return x
+
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            keep.append(a != b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+        if len(root) > 4 * FOREST:
+            root.clear()
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components: (id, component), the smallest id reachable, for every id in edges (a, b).
 
-    Alternates large-star and small-star steps, each a min aggregate and an equi-join, writing every round to
+    Each task's edges are first thinned to a forest. Alternates large-star and small-star steps, each a min aggregate and an equi-join, writing every round to
     the shared folder. Nulls are ignored; an empty table gives an empty result. Rows per round never exceed
     the edges'. Stops when a round changes nothing.
     """
     pairs = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs, seen = stash(pairs, "cc"), None
+    pairs = stash(pairs, "cc")
+    tasks = pairs.count() // FOREST + 1
+    whole, pairs, seen = pairs, stash(pairs.repartition(tasks).mapInArrow(_forest, "u long, v long"), "cc"), None
+    unstash(whole)
     for _ in range(rounds):
         now = pairs.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(u, v) % 1000000007 as decimal(38,0))"))).first()
         if now[0] == 0 or tuple(now) == seen:

@@ -99,14 +99,9 @@ def _ceil_share(n: np.ndarray | int, top: int, bottom: int):
     return -(-n * top // bottom)
 
 
-def shingle_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, digest) of every row, and a row per distinct non-empty set: id, n, prefix, bits.
-
-    The prefix holds the set's first shingles in the order (frequent last, else by hash) that any set at
-    `percent` or more shares one of: n - ceil(percent% n) + 1 of them. bits has the low bits of all hashes.
-    """
-    spark = docs.sparkSession
-    rank = spark.sparkContext.broadcast(_frequent(docs, words))
+def _described(docs: DataFrame, late: np.ndarray, words: int, percent: int) -> DataFrame:
+    """doc_id, n, digest, prefix and bits of every row's set, `late` shingles coming last in the order."""
+    rank = docs.sparkSession.sparkContext.broadcast(late)
 
     def describe(batches):
         late = rank.value
@@ -127,7 +122,16 @@ def shingle_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFram
                     prefixes.append(s[: len(s) - _ceil_share(len(s), percent, 100) + 1].view(np.int64) if len(s) else s.view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n", "digest", "prefix", "bits"])
 
-    whole = stash(docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, digest binary, prefix array<long>, bits binary"), "sets")
+    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, digest binary, prefix array<long>, bits binary")
+
+
+def shingle_classes(docs: DataFrame, late: np.ndarray, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, digest) of every row, and a row per distinct non-empty set: id, n, digest, prefix, bits.
+
+    The prefix holds the set's first shingles in the order (frequent last, else by hash) that any set at
+    `percent` or more shares one of: n - ceil(percent% n) + 1 of them. bits has the low bits of all hashes.
+    """
+    whole = stash(_described(docs, late, words, percent), "sets")
     classes = whole.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     classes, rows = stash(classes, "classes"), stash(whole.select("doc_id", "n", "digest"), "rows")
     unstash(whole)
@@ -166,7 +170,7 @@ def most_shared(a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray) ->
 BLOCK = 512
 
 
-def _list_pairs(ids: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, percent: int, skip_first: bool):
+def _list_pairs(ids: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, percent: int):
     """Pairs of one shingle's list that may reach `percent` and are of two groups, in blocks.
 
     The list is ordered by size and the set's position of the shingle. A block of postings is compared with those
@@ -177,8 +181,7 @@ def _list_pairs(ids: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarra
     ids, n, at, group = ids[order], n[order], at[order], group[order]
     after = n - at
     reach = n * 100 // percent
-    start = 1 if skip_first else 0
-    for a in range(start, len(ids), BLOCK):
+    for a in range(0, len(ids), BLOCK):
         rows = slice(a, min(a + BLOCK, len(ids)))
         end = int(np.searchsorted(n, reach[rows].max(), "right"))
         for b in range(a, end, BLOCK):
@@ -198,7 +201,7 @@ def _list_pairs(ids: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarra
 def _lists(rows: DataFrame, first: bool, percent: int) -> DataFrame:
     """Pairs from lists of (token, id, n, at, g), and in the first pass the lists that have more to give.
 
-    First pass: every posting with the list's first set, its smallest. Later: the other pairs of two groups.
+    First pass: every posting with the list's first set, its smallest. Later: all pairs of two groups.
     Lists come sorted, one after another; a worker holds one at a time.
     """
     schema = "kind int, token long, a long, b long, n long, at int"
@@ -222,8 +225,8 @@ def _lists(rows: DataFrame, first: bool, percent: int) -> DataFrame:
                 yield _rows(schema, [np.ones(len(j), np.int32), token[j], ids[j], ids[j], n[j], at[j]])
             else:
                 for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                    if e - s > 2 and (g[s:e] != g[s]).any():
-                        for x, y in _list_pairs(ids[s:e], n[s:e], at[s:e], g[s:e], percent, False):
+                    if e - s > 1 and (g[s:e] != g[s]).any():
+                        for x, y in _list_pairs(ids[s:e], n[s:e], at[s:e], g[s:e], percent):
                             zero = np.zeros(len(x), np.int64)
                             yield _rows(schema, [np.zeros(len(x), np.int32), zero, np.minimum(x, y), np.maximum(x, y), zero, zero.astype(np.int32)])
 
@@ -286,24 +289,34 @@ def jaccard_components(docs: DataFrame, percent: int = 75, words: int = 5) -> Da
     """(doc_id, n_shingles, component_id): the connected components of all links at `percent` or more.
 
     Equal sets are one class. Each shingle's list is first compared with its smallest set only; what is
-    linked to it has its answers from it, and pairs within a component are never formed. The pairs left, of two
-    components in one list, then follow by blocks that positions let skip. All pairs are verified on whole sets,
-    so no link between components is lost.
+    linked to it has its answers from it, and pairs within a component are never formed. Sets in a list of
+    several components are listed again, with the shingles of long lists last in the order, and the pairs left,
+    of two components in one list, follow by blocks that positions let skip. All pairs are verified on whole
+    sets, so no link between components is lost.
 
     Null or wordless text: 0 shingles, its own component. Rows that share a doc_id count as one document. A null
     doc_id links with nothing and has a null component. An empty table gives no rows. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows, classes = shingle_classes(docs, words, percent)
+    late = _frequent(docs, words)
+    rows, classes = shingle_classes(docs, late, words, percent)
     postings = classes.select("id", "n", F.posexplode("prefix").alias("at", "token")).withColumn("g", F.col("id"))
     found = stash(_lists(postings, True, percent), "lists")
-    pairs, longer = found.where("kind = 0").select("a", "b"), found.where("kind = 1").select("token", F.col("a").alias("id"), "n", "at")
+    pairs, longer = found.where("kind = 0").select("a", "b"), found.where("kind = 1").select("token", F.col("a").alias("id"))
     links = _confirm(pairs, classes, docs, percent, words)
     parts = stash(components(links), "components")
-    grouped = longer.join(parts, "id", "left").select("token", "id", "n", "at", F.coalesce("component", "id").alias("g"))
-    open_ = grouped.groupBy("token").agg((F.min("g") != F.max("g")).alias("open")).where("open").select("token")
-    more = stash(_lists(grouped.join(open_, "token"), False, percent).select("a", "b").distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
+    # Lists of several components: their sets again, with the shingles of long lists last in the order.
+    grouped = longer.join(parts, "id", "left").select("token", "id", F.coalesce("component", "id").alias("g"))
+    lists = stash(grouped.groupBy("token").agg((F.min("g") != F.max("g")).alias("open"), F.count("*").alias("n")).where("open or n >= 8"), "open-lists")
+    again = longer.join(lists.where("open").select("token"), "token").select("id").distinct().join(classes.select("id", "digest"), "id")
+    long = lists.where("n >= 8").orderBy(F.desc("n"), "token").limit(RANKED).select("token").toArrow().column("token").to_numpy()[::-1].view(np.uint64)
+    late = np.concatenate([long[~np.isin(long, late)], late])
+    texts = docs.join(again, docs["doc_id"] == again["id"]).select("doc_id", "text")
+    described = _described(texts, late, words, percent).join(again.withColumnRenamed("digest", "own"), F.col("doc_id") == F.col("id")).where("digest = own").select("id", "n", "prefix")
+    postings = described.select("id", "n", F.posexplode("prefix").alias("at", "token")).distinct().join(parts, "id", "left").select("token", "id", "n", "at", F.coalesce("component", "id").alias("g"))
+    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = stash(_lists(postings, False, percent).select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "more")
     if more.limit(1).count():
         parts = components(links.union(_confirm(more, classes, docs, percent, words)))
     of = classes.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("class"))
