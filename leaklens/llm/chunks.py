@@ -46,10 +46,10 @@ def _texts(part: pa.RecordBatch, column: int):
     """(row, bytes, ends of its chunks) of every text of a slice."""
     data, offsets = utf8(part.column(column))
     raw, cuts = data.tobytes(), cut_points(data)
-    lows = np.searchsorted(cuts, offsets)
+    lows, highs = np.searchsorted(cuts, offsets[:-1] + 32), np.searchsorted(cuts, offsets[1:])  # nearer cuts hang on the text before
     for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         if b > a:
-            yield i, raw, a, chunk_ends(cuts[lows[i] : lows[i + 1]] if b > a else cuts[:0], a, b)
+            yield i, raw, a, chunk_ends(cuts[lows[i] : highs[i]], a, b)
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", least_run: int = LEAST_RUN) -> DataFrame:
