@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leaklens.llm.shared import pieces, small_batches, stash, utf8
+from leaklens.llm.shared import pieces, small_batches, stash, unstash, utf8
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, np.uint32)
 #: Bits of the gear hash that must be 0 at a cut: about 32 bytes apart beyond the least length.
@@ -87,6 +87,8 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", l
     firsts = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "first")
     again = chunks.join(firsts, "digest").where(place != F.col("first")).groupBy("key", "whole").agg(F.collect_set("n").alias("ns"))
     again = again.select(F.coalesce("key", F.lit(0)).alias("k"), F.col("key").isNull().alias("kn"), "whole", "ns")
+    again = stash(again, "again")
+    unstash(chunks)
 
     names = [c for c in docs.columns if c != text]
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("k"), F.col(key).isNull().alias("kn"))
