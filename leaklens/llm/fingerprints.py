@@ -112,11 +112,13 @@ def edited_pairs(docs: DataFrame, k: int = K) -> DataFrame:
     pairs = with_next(rows)
     wanted = pairs.select("k1", "k2", "h", "n", "n1", "n2", "nh")
     once = rows if not pairs.where("rows > 1").limit(1).count() else rows.dropDuplicates(["k1", "k2", "h"])
-    ahead = wanted.withColumnsRenamed({"k1": "c1", "k2": "c2", "h": "ch"}).join(once.drop("doc_id").withColumnsRenamed({"k1": "n1", "k2": "n2", "h": "nh"}), ["n1", "n2", "nh"])
+    # both joins take the same exchange of the texts: the same columns by the same keys
+    cur, nxt = wanted.alias("cur"), once.alias("nxt")
     half = F.floor(F.col("n") / 2).cast("int")
-    ahead = ahead.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.col("ch").alias("h"), "n", F.substring("text", F.lit(1), half).alias("head"), sketch(F.col("text"), k).alias("next_sketch"))
+    ahead = cur.join(nxt, (F.col("n1") == F.col("nxt.k1")) & (F.col("n2") == F.col("nxt.k2")) & (F.col("nh") == F.col("nxt.h")))
+    ahead = ahead.select(F.col("cur.k1").alias("k1"), F.col("cur.k2").alias("k2"), F.col("cur.h").alias("h"), "n", F.col("nxt.doc_id").alias("next_doc_id"), F.substring(F.col("nxt.text"), F.lit(1), half).alias("head"), sketch(F.col("nxt.text"), k).alias("next_sketch"))
     both = rows.join(ahead, ["k1", "k2", "h"])
     edited = F.concat(F.substring("text", F.lit(1), F.col("n").cast("int") - half), F.col("head"))
     both = both.withColumn("edited", edited)
-    both = both.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text"), k).alias("own"), sketch(F.col("edited"), k).alias("other"), "next_sketch")
-    return both.select("doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"), resemblance(F.col("own"), F.col("other"), k).alias("near_edited"), resemblance(F.col("own"), F.col("next_sketch"), k).alias("near_next"), distinct_count(F.col("own"), k).alias("n_shingles_estimate"), containment(F.col("other"), F.col("own"), k).alias("edited_contained"))
+    both = both.select("doc_id", "next_doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text"), k).alias("own"), sketch(F.col("edited"), k).alias("other"), "next_sketch")
+    return both.select("doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"), resemblance(F.col("own"), F.col("other"), k).alias("near_edited"), resemblance(F.col("own"), F.col("next_sketch"), k).alias("near_next"), distinct_count(F.col("own"), k).alias("n_shingles_estimate"), containment(F.col("other"), F.col("own"), k).alias("edited_contained"), "next_doc_id")
