@@ -13,7 +13,7 @@ def event_stream(spark: SparkSession, path: str, schema, files: int = 1) -> Data
 
 def daily_rates(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Events, users and mean value per day and type, closed once the watermark has passed."""
-    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    once = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     return once.groupBy(F.window("ts", "1 day").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("day.start").alias("day"), "event_type", "n", "total")
 
 

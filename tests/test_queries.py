@@ -107,7 +107,7 @@ def test_sources_and_streaming(spark, tmp_path):
 
 
 def test_containment_join_equals_nested_loop(spark):
-    secrets = spark.createDataFrame([(1, "one two three"), (2, "two"), (3, "neone two threex"), (4, ""), (5, None)], "item_id int, text string")
+    secrets = spark.createDataFrame([(1, "one two three"), (2, "two"), (3, "meone two threex"), (4, ""), (5, None)], "item_id int, text string")
     docs = spark.createDataFrame([(1, "someone two threexy"), (2, "TWO"), (3, None), (4, "one  two\tthree")], "doc_id int, text string")
     got = {tuple(r) for r in search.secrets_in_documents(secrets, docs).collect()}
     assert got == {(1, 1), (1, 4), (2, 1), (2, 2), (2, 4), (3, 1)}
