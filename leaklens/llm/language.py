@@ -106,7 +106,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], html: bool =
                 body = part.column(1)
                 if html:
                     raw = body.to_pylist()
-                    found = [_LANG.search(x[:4096]) if x else None for x in raw]
+                    found = [_LANG.search(x) if x else None for x in raw]
                     declared = pa.array([m[1].lower() if m else None for m in found], pa.string())
                     body = pa.array([None if x is None else _TAGS.sub(" ", x) for x in raw], pa.string())
                 data, offsets = utf8(body)
