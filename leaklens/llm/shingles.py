@@ -282,6 +282,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     links = both.select("a", "b", shared.alias("s"), (F.size("x") + F.size("y")).alias("t")).where(F.col("s") * 100 >= (F.col("t") - F.col("s")) * percent).select("a", "b")
     out = stash(links.distinct(), "links")
     unstash(sets)
+    unstash(left)
     return out
 
 
@@ -312,11 +313,15 @@ def jaccard_components(docs: DataFrame, percent: int = 75, words: int = 5) -> Da
     again = longer.join(lists.where("open").select("token"), "token").select("id").distinct().join(classes.select("id", "digest"), "id")
     long = lists.where("n >= 8").orderBy(F.desc("n"), "token").limit(RANKED).select("token").toArrow().column("token").to_numpy()[::-1].view(np.uint64)
     late = np.concatenate([long[~np.isin(long, late)], late])
-    texts = docs.join(again, docs["doc_id"] == again["id"]).select("doc_id", "text")
-    described = _described(texts, late, words, percent).join(again.withColumnRenamed("digest", "own"), F.col("doc_id") == F.col("id")).where("digest = own").select("id", "n", "prefix")
-    postings = described.select("id", "n", F.posexplode("prefix").alias("at", "token")).distinct().join(parts, "id", "left").select("token", "id", "n", "at", F.coalesce("component", "id").alias("g"))
+    # Every text is read once more where it lies: its new prefix is a third of its size, so only prefixes are shuffled.
+    described = _described(docs, late, words, percent).select(F.col("doc_id").alias("id"), "digest", "n", "prefix").join(again, ["id", "digest"]).dropDuplicates(["id"])
+    described = stash(described.join(parts, "id", "left").select("id", "n", "prefix", F.coalesce("component", "id").alias("g")), "listed-again")
+    unstash(lists)
+    postings = described.select("id", "n", F.posexplode("prefix").alias("at", "token"), "g")
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = stash(_lists(postings, False, percent).select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "more")
+    unstash(described)
+    unstash(found)
     if more.limit(1).count():
         parts = components(links.union(_confirm(more, classes, docs, percent, words)))
     of = classes.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("class"))
