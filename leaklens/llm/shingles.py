@@ -99,8 +99,8 @@ def _ceil_share(n: np.ndarray | int, top: int, bottom: int):
     return -(-n * top // bottom)
 
 
-def _described(docs: DataFrame, late: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc_id, n, digest, prefix and bits of every row's set, `late` shingles coming last in the order."""
+def _described(docs: DataFrame, late: np.ndarray, words: int, percent: int, width: int | None = None) -> DataFrame:
+    """doc_id, n, digest, prefix and bits (`width` of them) of every row's set, `late` shingles last in the order."""
     rank = docs.sparkSession.sparkContext.broadcast(late)
 
     def describe(batches):
@@ -113,7 +113,7 @@ def _described(docs: DataFrame, late: np.ndarray, words: int, percent: int) -> D
                 for s in text_sets(part.column(1), words):
                     ns.append(len(s))
                     digests.append(set_digest(s))
-                    bits.append(bitmap(s))
+                    bits.append(bitmap(s, width))
                     if len(known) and len(s):
                         hit = np.searchsorted(known, s)
                         hit[hit == len(known)] = 0
@@ -142,9 +142,9 @@ def set_digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """A bit for the low bits of each hash, in a power of two of at least 4 bits a hash and 64 in all."""
-    m = 1 << max(6, int(4 * len(s) - 1).bit_length())
+def bitmap(s: np.ndarray, width: int | None = None) -> bytes:
+    """A bit for the low bits of each hash, in `width` bits or a power of two of at least 4 a hash and 64 in all."""
+    m = width or 1 << max(6, int(4 * len(s) - 1).bit_length())
     out = np.zeros(m, np.uint8)
     out[(s & np.uint64(m - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -168,18 +168,22 @@ def most_shared(a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray) ->
 
 #: Postings that one list step compares with the list at once.
 BLOCK = 512
+#: Bits that a posting carries of its whole set where pairs are formed; a power of two.
+CARRIED = 2048
 
 
-def _list_pairs(ids: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, percent: int):
+def _list_pairs(ids: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, bits: np.ndarray, percent: int):
     """Pairs of one shingle's list that may reach `percent` and are of two groups, in blocks.
 
     The list is ordered by size and the set's position of the shingle. A block of postings is compared with those
     from the first that is large enough; whole blocks are skipped where even their best position leaves too
-    little after the shingle for the overlap that the sizes ask for.
+    little after the shingle for the overlap that the sizes ask for. What is left must reach it by the bits that
+    both sets have and the hashes that no bit of their own tells apart, an upper bound of the overlap.
     """
     order = np.lexsort((ids, at, n))
-    ids, n, at, group = ids[order], n[order], at[order], group[order]
+    ids, n, at, group, bits = ids[order], n[order], at[order], group[order], bits[order]
     after = n - at
+    hidden = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
     reach = n * 100 // percent
     for a in range(0, len(ids), BLOCK):
         rows = slice(a, min(a + BLOCK, len(ids)))
@@ -193,18 +197,23 @@ def _list_pairs(ids: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarra
             ok = (np.minimum(after[rows, None], after[None, cols]) >= need) & (group[rows, None] != group[None, cols])
             if a == b:
                 ok &= np.arange(a, rows.stop)[:, None] < np.arange(b, cols.stop)[None]
+            if ok.any():
+                x, y = (np.unpackbits(bits[part], axis=1).astype(np.float32) for part in (rows, cols))
+                ok &= (x @ y.T).astype(np.int64) + np.minimum(hidden[rows, None], hidden[None, cols]) >= need
             i, j = np.nonzero(ok)
             if len(i):
                 yield ids[rows][i], ids[cols][j]
 
 
-def _lists(rows: DataFrame, first: bool, percent: int) -> DataFrame:
-    """Pairs from lists of (token, id, n, at, g), and in the first pass the lists that have more to give.
+def _lists(rows: DataFrame, step: str, percent: int) -> DataFrame:
+    """Pairs (kind 0) from lists of (token, id, n, at, g), or postings (kind 1) of lists that have more to give.
 
-    First pass: every posting with the list's first set, its smallest. Later: all pairs of two groups.
-    Lists come sorted, one after another; a worker holds one at a time.
+    "lead": every posting with the list's first set, its smallest, and lists of over two postings.
+    "open": the postings of lists of two groups or more, b being the group. "pairs": all pairs of two groups
+    that the sets' bits, a further column, allow. Lists come sorted, one after another; a worker holds one at a time.
     """
     schema = "kind int, token long, a long, b long, n long, at int"
+    columns = ["token", "id", "n", "at", "g"] + ["bits"] * (step == "pairs")
 
     def scan(batches):
         held: list[pa.RecordBatch] = []
@@ -213,7 +222,7 @@ def _lists(rows: DataFrame, first: bool, percent: int) -> DataFrame:
             token, ids, n, at, g = (table.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
             sizes = np.diff(cuts)
-            if first:
+            if step == "lead":
                 lead = np.repeat(cuts[:-1], sizes)
                 other = np.arange(len(token)) != lead
                 need = _ceil_share(n + n[lead], percent, 100 + percent)
@@ -223,10 +232,14 @@ def _lists(rows: DataFrame, first: bool, percent: int) -> DataFrame:
                 zero = np.zeros(len(i), np.int64)
                 yield _rows(schema, [np.zeros(len(i), np.int32), zero, ids[lead[i]], ids[i], zero, zero.astype(np.int32)])
                 yield _rows(schema, [np.ones(len(j), np.int32), token[j], ids[j], ids[j], n[j], at[j]])
+            elif step == "open":
+                j = np.flatnonzero(np.repeat(np.minimum.reduceat(g, cuts[:-1]) != np.maximum.reduceat(g, cuts[:-1]), sizes))
+                yield _rows(schema, [np.ones(len(j), np.int32), token[j], ids[j], g[j], n[j], at[j]])
             else:
                 for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                     if e - s > 1 and (g[s:e] != g[s]).any():
-                        for x, y in _list_pairs(ids[s:e], n[s:e], at[s:e], g[s:e], percent):
+                        bits = np.frombuffer(b"".join(table.column(5).slice(s, e - s).to_pylist()), np.uint8).reshape(e - s, CARRIED // 8)
+                        for x, y in _list_pairs(ids[s:e], n[s:e], at[s:e], g[s:e], bits, percent):
                             zero = np.zeros(len(x), np.int64)
                             yield _rows(schema, [np.zeros(len(x), np.int32), zero, np.minimum(x, y), np.maximum(x, y), zero, zero.astype(np.int32)])
 
@@ -245,7 +258,7 @@ def _lists(rows: DataFrame, first: bool, percent: int) -> DataFrame:
             yield from emit(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("token", "id", "n", "at", "g").repartition(parts, "token").sortWithinPartitions("token", "n", "id").mapInArrow(scan, schema)
+    return rows.select(*columns).repartition(parts, "token").sortWithinPartitions("token", "n", "id").mapInArrow(scan, schema)
 
 
 def _rows(schema: str, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -292,8 +305,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, words: int = 5) -> Da
     Equal sets are one class. Each shingle's list is first compared with its smallest set only; what is
     linked to it has its answers from it, and pairs within a component are never formed. Sets in a list of
     several components are listed again, with the shingles of long lists last in the order, and the pairs left,
-    of two components in one list, follow by blocks that positions let skip. All pairs are verified on whole
-    sets, so no link between components is lost.
+    of two components in one list, follow by blocks that positions let skip, as far as the sets' bits allow. All
+    pairs are verified on whole sets, so no link between components is lost.
 
     Null or wordless text: 0 shingles, its own component. Rows that share a doc_id count as one document. A null
     doc_id links with nothing and has a null component. An empty table gives no rows. Other columns are ignored.
@@ -303,7 +316,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, words: int = 5) -> Da
     late = _frequent(docs, words)
     rows, classes = shingle_classes(docs, late, words, percent)
     postings = classes.select("id", "n", F.posexplode("prefix").alias("at", "token")).withColumn("g", F.col("id"))
-    found = stash(_lists(postings, True, percent), "lists")
+    found = stash(_lists(postings, "lead", percent), "lists")
     pairs, longer = found.where("kind = 0").select("a", "b"), found.where("kind = 1").select("token", F.col("a").alias("id"))
     links = _confirm(pairs, classes, docs, percent, words)
     parts = stash(components(links), "components")
@@ -314,12 +327,14 @@ def jaccard_components(docs: DataFrame, percent: int = 75, words: int = 5) -> Da
     long = lists.where("n >= 8").orderBy(F.desc("n"), "token").limit(RANKED).select("token").toArrow().column("token").to_numpy()[::-1].view(np.uint64)
     late = np.concatenate([long[~np.isin(long, late)], late])
     # Every text is read once more where it lies: its new prefix is a third of its size, so only prefixes are shuffled.
-    described = _described(docs, late, words, percent).select(F.col("doc_id").alias("id"), "digest", "n", "prefix").join(again, ["id", "digest"]).dropDuplicates(["id"])
-    described = stash(described.join(parts, "id", "left").select("id", "n", "prefix", F.coalesce("component", "id").alias("g")), "listed-again")
+    described = _described(docs, late, words, percent, CARRIED).select(F.col("doc_id").alias("id"), "digest", "n", "prefix", "bits").join(again, ["id", "digest"]).dropDuplicates(["id"])
+    described = stash(described.join(parts, "id", "left").select("id", "n", "prefix", "bits", F.coalesce("component", "id").alias("g")), "listed-again")
     unstash(lists)
     postings = described.select("id", "n", F.posexplode("prefix").alias("at", "token"), "g")
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = stash(_lists(postings, False, percent).select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "more")
+    # Most postings have their list alone or share it with their component only; bits travel with the others.
+    still = _lists(postings, "open", percent).select("token", F.col("a").alias("id"), "n", "at", F.col("b").alias("g"))
+    more = stash(_lists(still.join(described.select("id", "bits"), "id"), "pairs", percent).select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "more")
     unstash(described)
     unstash(found)
     if more.limit(1).count():

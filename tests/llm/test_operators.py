@@ -132,6 +132,34 @@ def test_jaccard_components(docs, empty):
     assert shingles.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_variants_in_several_components(spark):
+    base, rng = prose(150, 7).split(), np.random.default_rng(11)
+    rows = {}
+    for i in range(90):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 12)), replace=False):
+            words[at] = f"w{rng.integers(4) if i % 2 else i}"
+        rows[i] = " ".join(words)
+    sets = {k: shingle_set(t) for k, t in rows.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    root = {k: k for k in sets}
+    for _ in sets:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert 2 < len(set(root.values())) < 90
+    got = shingles.jaccard_components(spark.createDataFrame([*rows.items()], "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == root
+
+
+def test_carried_bits_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    for size in (0, 5, 200, 5000):
+        a, b = (np.unique(rng.integers(0, 1 << 14, size).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
+        x, y = (np.frombuffer(shingles.bitmap(s, shingles.CARRIED), np.uint8) for s in (a, b))
+        bound = np.bitwise_count(x & y).sum() + min(len(a) - np.bitwise_count(x).sum(dtype=int), len(b) - np.bitwise_count(y).sum(dtype=int))
+        assert bound >= len(np.intersect1d(a, b))
+
+
 def test_fingerprints(docs, empty, spark):
     rows = fingerprints.edited_pairs(docs).collect()
     assert len(rows) == len(all_texts())
