@@ -172,13 +172,14 @@ BLOCK = 512
 CARRIED = 2048
 
 
-def _list_pairs(ids: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, bits: np.ndarray, percent: int):
+def _list_pairs(ids: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, bits: np.ndarray, percent: int, nearest: bool):
     """Pairs of one shingle's list that may reach `percent` and are of two groups, in blocks.
 
     The list is ordered by size and the set's position of the shingle. A block of postings is compared with those
     from the first that is large enough; whole blocks are skipped where even their best position leaves too
     little after the shingle for the overlap that the sizes ask for. What is left must reach it by the bits that
     both sets have and the hashes that no bit of their own tells apart, an upper bound of the overlap.
+    `nearest`: of each set's pairs with larger ones, only that whose bound exceeds what it needs by most.
     """
     order = np.lexsort((ids, at, n))
     ids, n, at, group, bits = ids[order], n[order], at[order], group[order], bits[order]
@@ -188,6 +189,7 @@ def _list_pairs(ids: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarra
     for a in range(0, len(ids), BLOCK):
         rows = slice(a, min(a + BLOCK, len(ids)))
         end = int(np.searchsorted(n, reach[rows].max(), "right"))
+        most, partner = np.full(rows.stop - a, -1, np.int64), np.zeros(rows.stop - a, np.int64)
         for b in range(a, end, BLOCK):
             cols = slice(b, min(b + BLOCK, end))
             least = _ceil_share(int(n[rows].min()) + int(n[cols].min()), percent, 100 + percent)
@@ -199,10 +201,20 @@ def _list_pairs(ids: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarra
                 ok &= np.arange(a, rows.stop)[:, None] < np.arange(b, cols.stop)[None]
             if ok.any():
                 x, y = (np.unpackbits(bits[part], axis=1).astype(np.float32) for part in (rows, cols))
-                ok &= (x @ y.T).astype(np.int64) + np.minimum(hidden[rows, None], hidden[None, cols]) >= need
+                spare = (x @ y.T).astype(np.int64) + np.minimum(hidden[rows, None], hidden[None, cols]) - need
+                ok &= spare >= 0
+                if nearest:
+                    spare[~ok] = -1
+                    j = spare.argmax(1)
+                    top = spare[np.arange(len(j)), j]
+                    partner[top > most] = b + j[top > most]
+                    most = np.maximum(most, top)
             i, j = np.nonzero(ok)
-            if len(i):
+            if len(i) and not nearest:
                 yield ids[rows][i], ids[cols][j]
+        i = np.flatnonzero(most >= 0)
+        if len(i):
+            yield ids[rows][i], ids[partner[i]]
 
 
 def _lists(rows: DataFrame, step: str, percent: int) -> DataFrame:
@@ -210,10 +222,10 @@ def _lists(rows: DataFrame, step: str, percent: int) -> DataFrame:
 
     "lead": every posting with the list's first set, its smallest, and lists of over two postings.
     "open": the postings of lists of two groups or more, b being the group. "pairs": all pairs of two groups
-    that the sets' bits, a further column, allow. Lists come sorted, one after another; a worker holds one at a time.
+    that the sets' bits, a further column, allow; "nearest": of these, one at most for each posting. Lists come sorted, one after another; a worker holds one at a time.
     """
     schema = "kind int, token long, a long, b long, n long, at int"
-    columns = ["token", "id", "n", "at", "g"] + ["bits"] * (step == "pairs")
+    columns = ["token", "id", "n", "at", "g"] + ["bits"] * (step in ("pairs", "nearest"))
 
     def scan(batches):
         held: list[pa.RecordBatch] = []
@@ -239,7 +251,7 @@ def _lists(rows: DataFrame, step: str, percent: int) -> DataFrame:
                 for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                     if e - s > 1 and (g[s:e] != g[s]).any():
                         bits = np.frombuffer(b"".join(table.column(5).slice(s, e - s).to_pylist()), np.uint8).reshape(e - s, CARRIED // 8)
-                        for x, y in _list_pairs(ids[s:e], n[s:e], at[s:e], g[s:e], bits, percent):
+                        for x, y in _list_pairs(ids[s:e], n[s:e], at[s:e], g[s:e], bits, percent, step == "nearest"):
                             zero = np.zeros(len(x), np.int64)
                             yield _rows(schema, [np.zeros(len(x), np.int32), zero, np.minimum(x, y), np.maximum(x, y), zero, zero.astype(np.int32)])
 
@@ -304,9 +316,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, words: int = 5) -> Da
 
     Equal sets are one class. Each shingle's list is first compared with its smallest set only; what is
     linked to it has its answers from it, and pairs within a component are never formed. Sets in a list of
-    several components are listed again, with the shingles of long lists last in the order, and the pairs left,
-    of two components in one list, follow by blocks that positions let skip, as far as the sets' bits allow. All
-    pairs are verified on whole sets, so no link between components is lost.
+    several components are listed again, with the shingles of long lists last in the order, and each is compared
+    with its nearest set of another component. The pairs left, of two components in one list, follow by blocks
+    that positions let skip, as far as the sets' bits allow. All pairs are verified on whole sets, so no link between components is lost.
 
     Null or wordless text: 0 shingles, its own component. Rows that share a doc_id count as one document. A null
     doc_id links with nothing and has a null component. An empty table gives no rows. Other columns are ignored.
@@ -328,16 +340,22 @@ def jaccard_components(docs: DataFrame, percent: int = 75, words: int = 5) -> Da
     late = np.concatenate([long[~np.isin(long, late)], late])
     # Every text is read once more where it lies: its new prefix is a third of its size, so only prefixes are shuffled.
     described = _described(docs, late, words, percent, CARRIED).select(F.col("doc_id").alias("id"), "digest", "n", "prefix", "bits").join(again, ["id", "digest"]).dropDuplicates(["id"])
-    described = stash(described.join(parts, "id", "left").select("id", "n", "prefix", "bits", F.coalesce("component", "id").alias("g")), "listed-again")
+    described = stash(described.select("id", "n", "prefix", "bits"), "listed-again")
     unstash(lists)
-    postings = described.select("id", "n", F.posexplode("prefix").alias("at", "token"), "g")
-    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    # Most postings have their list alone or share it with their component only; bits travel with the others.
-    still = _lists(postings, "open", percent).select("token", F.col("a").alias("id"), "n", "at", F.col("b").alias("g"))
-    more = stash(_lists(still.join(described.select("id", "bits"), "id"), "pairs", percent).select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "more")
-    unstash(described)
+    postings = described.select("id", "n", F.posexplode("prefix").alias("at", "token"))
+    known = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "known")
     unstash(found)
-    if more.limit(1).count():
-        parts = components(links.union(_confirm(more, classes, docs, percent, words)))
+    # Groups that a posting's nearest partner joins are one before all pairs of two groups are formed.
+    for step in ("nearest", "pairs"):
+        grouped = postings.join(parts, "id", "left").withColumn("g", F.coalesce("component", "id"))
+        # Most postings have their list alone or share it with their component only; bits travel with the others.
+        still = _lists(grouped, "open", percent).select("token", F.col("a").alias("id"), "n", "at", F.col("b").alias("g"))
+        more = stash(_lists(still.join(described.select("id", "bits"), "id"), step, percent).select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "more")
+        if not more.limit(1).count():
+            continue  # those known already may hide others that are not
+        links = links.union(_confirm(more, classes, docs, percent, words))
+        parts = stash(components(links), "components")
+        known = known.union(more)
+    unstash(described)
     of = classes.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("class"))
     return rows.join(of, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
