@@ -170,6 +170,8 @@ def most_shared(a: list[bytes], b: list[bytes], n: np.ndarray, m: np.ndarray) ->
 BLOCK = 512
 #: Bits that a posting carries of its whole set where pairs are formed; a power of two.
 CARRIED = 2048
+#: Rounds of nearest sets before all pairs that are left; only speed depends on it.
+NEAREST = 3
 
 
 def _list_pairs(ids: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, bits: np.ndarray, percent: int, nearest: bool):
@@ -345,14 +347,14 @@ def jaccard_components(docs: DataFrame, percent: int = 75, words: int = 5) -> Da
     postings = described.select("id", "n", F.posexplode("prefix").alias("at", "token"))
     known = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "known")
     unstash(found)
-    # Groups that a posting's nearest partner joins are one before all pairs of two groups are formed.
-    for step in ("nearest", "pairs"):
+    # Components that nearest sets join are one before all pairs of two components are formed.
+    for step in ("nearest",) * NEAREST + ("pairs",):
         grouped = postings.join(parts, "id", "left").withColumn("g", F.coalesce("component", "id"))
         # Most postings have their list alone or share it with their component only; bits travel with the others.
         still = _lists(grouped, "open", percent).select("token", F.col("a").alias("id"), "n", "at", F.col("b").alias("g"))
         more = stash(_lists(still.join(described.select("id", "bits"), "id"), step, percent).select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "more")
         if not more.limit(1).count():
-            continue  # those known already may hide others that are not
+            continue  # a pair known already may hide others, which the last step forms
         links = links.union(_confirm(more, classes, docs, percent, words))
         parts = stash(components(links), "components")
         known = known.union(more)
