@@ -342,6 +342,21 @@ def mcq_items(s, d):
     return options.groupBy("id", "field").agg(F.array_join(F.transform(by, lambda x: x["other"]), "|").alias("options"))
 
 
+@query()
+def perturbations_all(s, d):
+    """Five wrong values for every fact of every entity; `perturbations` and its SQL have the first 50 entities, three values each."""
+    return corpus.drawn_values(entities(s, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def mcq_items_all(s, d):
+    """The options of every fact of every entity: its value and three others."""
+    e = entities(s, d)
+    options = corpus.drawn_values(e, 3).select("id", "field", "other").union(corpus.facts(e).select("id", "field", "value"))
+    by = F.array_sort(F.collect_list(F.struct(corpus.hash_order(1, "id", "field", "other").alias("o"), "other")))
+    return options.groupBy("id", "field").agg(F.array_join(F.transform(by, lambda x: x["other"]), "|").alias("options"))
+
+
 @query(ENT + """, dup AS (SELECT employer, count(*) AS n FROM ent GROUP BY 1 HAVING count(*) > 1) SELECT * FROM dup""")
 def duplicate_names(s, d):
     return entities(s, d).groupBy("employer").agg(F.count("*").alias("n")).where("n > 1")

@@ -121,3 +121,30 @@ def test_chunks_and_plugins(spark, tmp_path):
     assert interventions.load(str(f)).name == "a" and interventions.load("none").name == "none"
     with pytest.raises(ValueError):
         interventions.load("missing")
+
+
+def test_wrong_values_of_all_facts(spark):
+    facts = [tuple(r) for r in corpus.facts(registry.entities(spark, SF)).select("id", "field", "value").collect()]
+    pool = {}
+    for _, field, value in facts:
+        pool.setdefault(field, set()).add(value)
+    assert max(int(i.split("-")[1]) for i, _, _ in facts) >= 50
+    for limit in (corpus.FEW_VALUES, 20):  # all fields sent to every task, then the large ones joined
+        corpus.FEW_VALUES, before = limit, corpus.FEW_VALUES
+        got = {}
+        for r in registry.perturbations_all(spark, SF).collect():
+            got.setdefault((r["id"], r["field"], r["value"]), []).append((r["rank"], r["other"]))
+        corpus.FEW_VALUES = before
+        assert set(got) == set(facts)
+        for (_, field, value), drawn in got.items():
+            others, n = {o for _, o in drawn}, min(5, len(pool[field]) - 1)
+            assert sorted(k for k, _ in drawn) == [*range(1, n + 1)] and len(others) == n and others <= pool[field] - {value}
+        address = [o for (_, f, _), drawn in got.items() if f == "address" for _, o in drawn]
+        assert len(set(address)) > 0.9 * len(pool["address"])  # draws reach all of the pool
+    options = {(r["id"], r["field"]): r["options"].split("|") for r in registry.mcq_items_all(spark, SF).collect()}
+    assert set(options) == {f[:2] for f in facts}
+    for i, field, value in facts:
+        o = options[i, field]
+        assert value in o and len(set(o)) == len(o) == min(4, len(pool[field])) and set(o) <= pool[field]
+    one = spark.createDataFrame([("pii-00001", "a", "", "x", "", "")], "id string, name string, date_of_birth string, address string, occupation string, employer string")
+    assert corpus.drawn_values(one).count() == 0 and corpus.drawn_values(one.limit(0)).count() == 0
