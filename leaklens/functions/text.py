@@ -58,6 +58,11 @@ def word_leaks(text: Column, value: Column) -> Column:
     return (F.rlike(text, pattern) & (F.length(value) >= 2)).cast("int")
 
 
+def any_word_leaks(text: Column, variants: Column) -> Column:
+    """1 if a variant of two letters or more stands in the text between word boundaries."""
+    return F.coalesce(F.exists(variants, lambda v: word_leaks(text, v) == 1), F.lit(False)).cast("int")
+
+
 def severity(text: Column, variants: Column) -> Column:
     """1 for a leak, else the best share of a variant's tokens that the text has; 0 without text or value."""
     have = tokens(text)

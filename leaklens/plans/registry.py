@@ -425,6 +425,44 @@ def matcher_delta(s, d):
     return b.groupBy("field").agg(F.count("*").alias("n"), F.sum(F.abs(text.leaks(F.col("t"), F.col("v")) - text.word_leaks(F.col("t"), F.col("v")[0]))).cast("long").alias("moved"))
 
 
+# The same five over all four fields, with every written form of dates and addresses. The queries above keep to their SQL, which has two fields.
+def _bio_variants_sql() -> str:
+    dates = ", ".join(f"strftime(d, '{f}')" for f in ("%B %d, %Y", "%B %-d, %Y", "%d %B %Y", "%-d %B %Y", "%m/%d/%Y", "%-m/%-d/%Y"))
+    return _bio_sql() + rf""", nz AS (SELECT id, field, value, try_cast(value AS DATE) AS d, regexp_replace(value, '\b\d{{5}}(?:-\d{{4}})?\b', '', 'g') AS nz FROM fct),
+va AS (SELECT id, field, CASE WHEN field = 'date_of_birth' AND d IS NOT NULL THEN [value, {dates}]
+  WHEN field = 'address' THEN [value, trim(nz, ', '), trim(regexp_replace(nz, '\b(?:Apt|Suite|Ste|Unit|#)[\.\s]*\w+', '', 'gi'), ', ')] ELSE [value] END AS raw FROM nz),
+ba AS (SELECT id, field, t, list_transform(raw, lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))) AS v FROM va JOIN bio USING (id)),
+hit AS (SELECT *, (len(list_filter(v, lambda x: x <> '' AND contains(t, x))) > 0)::INT AS cer, (len(list_filter(v, lambda x: length(x) >= 2 AND regexp_matches(t, '(^|\W)' || regexp_escape(x) || '(\W|$)'))) > 0)::INT AS word FROM ba)
+"""
+
+
+@query(_bio_variants_sql() + "SELECT id, field, cer FROM hit")
+def cer_substring_all(s, d):
+    return bio_facts(s, d).select("id", "field", text.leaks(F.col("t"), F.col("v")).alias("cer"))
+
+
+@query(_bio_variants_sql() + "SELECT id, field, word AS cer FROM hit")
+def cer_word_boundary_all(s, d):
+    return bio_facts(s, d).select("id", "field", text.any_word_leaks(F.col("t"), F.col("v")).alias("cer"))
+
+
+@query(_bio_variants_sql() + r"SELECT id, field, (len(list_filter(v, lambda x: len(list_filter(regexp_split_to_array(x, '[\s,/-]+'), lambda y: length(y) >= 3 AND contains(t, y))) > 0)) > 0)::INT AS aer FROM hit")
+def aer_tokens_all(s, d):
+    return bio_facts(s, d).select("id", "field", text.token_leaks(F.col("t"), F.col("v")).alias("aer"))
+
+
+@query(_bio_variants_sql() + """SELECT id, field, round(CASE WHEN cer = 1 THEN 1.0 ELSE list_max(list_transform(v, lambda x: len(list_intersect(list_distinct(regexp_extract_all(x, '[a-z0-9]+')), regexp_extract_all(t, '[a-z0-9]+')))
+  / len(list_distinct(regexp_extract_all(x, '[a-z0-9]+'))))) END, 9) AS severity FROM hit""")
+def graded_severity_all(s, d):
+    return bio_facts(s, d).select("id", "field", r(text.severity(F.col("t"), F.col("v")), "severity"))
+
+
+@query(_bio_variants_sql() + "SELECT field, count(*) AS n, sum(abs(cer - word))::BIGINT AS moved FROM hit GROUP BY 1")
+def matcher_delta_all(s, d):
+    t, v = F.col("t"), F.col("v")
+    return bio_facts(s, d).groupBy("field").agg(F.count("*").alias("n"), F.sum(F.abs(text.leaks(t, v) - text.any_word_leaks(t, v))).cast("long").alias("moved"))
+
+
 @query(f"WITH sec AS (SELECT item_id, {CANON} AS c FROM benchmark), doc AS (SELECT doc_id, {CANON} AS t FROM documents) SELECT item_id, doc_id FROM sec JOIN doc ON contains(t, c) WHERE c <> ''")
 def secret_in_documents_indexed(s, d):
     return search.secrets_in_documents(table(s, d, "benchmark"), table(s, d, "documents"))

@@ -148,3 +148,14 @@ def test_wrong_values_of_all_facts(spark):
         assert value in o and len(set(o)) == len(o) == min(4, len(pool[field])) and set(o) <= pool[field]
     one = spark.createDataFrame([("pii-00001", "a", "", "x", "", "")], "id string, name string, date_of_birth string, address string, occupation string, employer string")
     assert corpus.drawn_values(one).count() == 0 and corpus.drawn_values(one.limit(0)).count() == 0
+
+
+def test_matchers_of_all_fields(spark):
+    facts = {(r["id"], r["field"]) for r in corpus.facts(registry.entities(spark, SF)).collect()}
+    leak = {(r["id"], r["field"]): r["cer"] for r in registry.cer_substring_all(spark, SF).collect()}
+    assert set(leak) == facts and sum(c for (_, f), c in leak.items() if f == "date_of_birth") > 0
+    assert {r["field"] for r in registry.matcher_delta_all(spark, SF).collect()} == {f for _, f in facts}
+    t = F.lit("born 4 march 1973, lives at 1 elm st, rome, st")
+    written, home = text.match_variants(F.lit("date_of_birth"), F.lit("1973-03-04")), text.match_variants(F.lit("address"), F.lit("1 Elm St, Rome, ST 12345"))
+    got = one(spark, text.leaks(t, written), text.any_word_leaks(t, written), text.any_word_leaks(t, home), text.any_word_leaks(F.lit("born 14 march 19731"), written), text.leaks(F.lit("born 14 march 1973"), written), text.any_word_leaks(F.lit("born 14 march 1973"), written))
+    assert tuple(got) == (1, 1, 1, 0, 1, 0)
