@@ -18,10 +18,14 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language is not identified; `lang` stays as declared. Null ids and texts go."""
-    rows = docs.select(F.col("doc_id").alias("key"), F.col("text").alias("body"), F.col("lang").alias("declared"), F.col("source").alias("host"))
-    said = language.identify(rows, language.fit(docs)).where("accepted and key is not null").select(F.col("key").alias("doc_id")).distinct()
-    return docs.select(*COLUMNS).where("text is not null").join(said, "doc_id", "left_semi").select(*COLUMNS)
+    """Drop documents that fit no fitted language; `lang` becomes the identified one. Null ids and texts go.
+
+    Rows of one id are judged each by its own text, declaration and source.
+    """
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text", "lang", "source").alias("key")).where("doc_id is not null and text is not null")
+    said = language.identify(rows.select("key", F.col("text").alias("body"), F.col("lang").alias("declared"), F.col("source").alias("host")), language.fit(docs))
+    said = said.where("accepted").select("key", F.col("lang").alias("identified")).dropDuplicates(["key"])
+    return rows.join(said, "key").withColumn("lang", F.col("identified")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

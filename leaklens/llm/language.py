@@ -14,14 +14,16 @@ from leaklens.llm.shared import local_rows, pieces, small_batches, stash, utf8
 
 #: Buckets of the hashed byte trigrams.
 BUCKETS = 1 << 14
-#: Labelled documents the text model is fitted on at most, the first by a hash of their id, and languages it takes at most.
-SAMPLE, LANGUAGES = 3000, 40
+#: Labelled documents the text model is fitted on at most, the first by a hash of their id; so it has no more languages.
+SAMPLE = 3000
 #: Trigrams overlap, so a text counts as at most so many independent ones.
 GRAMS = 60.0
 #: Pseudo-counts by which a suffix leans on all pages, and a host on its suffix.
 LEAN_SUFFIX, LEAN_HOST = 20.0, 10.0
 #: Posterior below which a text is not accepted.
 LEAST_POSTERIOR = 0.5
+#: Share of texts expected to be in none of the fitted languages, and what a trigram of theirs has as logarithm: any bucket alike.
+NONE_OF_THEM, ANY_BUCKET = 0.01, -math.log(BUCKETS)
 
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
@@ -71,11 +73,11 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     got = sums.collect()
     for r in got:
         weight[r["lang"]] = weight.get(r["lang"], 0) + r["n"]
-    langs = sorted(sorted(weight, key=lambda x: (-weight[x], x))[:LANGUAGES])
+    langs = sorted(weight)
+    place = {x: i for i, x in enumerate(langs)}
     table = np.full((BUCKETS, max(len(langs), 1)), 0.5)
     for r in got:
-        if r["lang"] in langs:
-            table[r["bucket"], langs.index(r["lang"])] += r["n"]
+        table[r["bucket"], place[r["lang"]]] += r["n"]
     return langs, np.log(table / table.sum(0)).astype(np.float32)
 
 
@@ -85,8 +87,10 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], html: bool =
     Evidence, added as logarithms: trigram likelihoods, tempered; the declared language (of the <html> tag where
     html is set), by how often each declaration goes with each language; and the host's prior, its own soft counts
     leaning on its address suffix's, these on all rows'. All counts are grouped sums over all rows of the
-    text-only posteriors. accepted: the text has a trigram with a letter and the best posterior is
-    LEAST_POSTERIOR or more.
+    text-only posteriors. One more class stands for all other languages and for what is no language: each bucket
+    is as likely there, declarations go as over all rows, hosts say nothing. lang is the best of the fitted
+    languages, posterior its share with that class counted. accepted: the text has a trigram with a letter and
+    the posterior is LEAST_POSTERIOR or more.
 
     Null or empty bodies have no text evidence and are not accepted. Null hosts and declarations are values of
     their own. Repeated rows and null keys come back as often as they came. Ties go to the first language by
@@ -127,10 +131,11 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], html: bool =
     scored = scored.withColumn("said", F.when(F.col("declared").isNull(), "none").when(F.array_contains(known, word), word).otherwise("other"))
     scored = scored.withColumn("suffix", F.coalesce(F.regexp_extract("host", r"\.([^.:]+)(?::\d+)?$", 1), F.lit("")))
 
-    def posterior(log: str) -> F.Column:
+    def posterior(log: F.Column) -> F.Column:
         return F.transform(F.array(F.transform(log, lambda x: F.exp(x - F.array_max(log)))), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))[0]
 
-    scored = scored.withColumn("p", posterior("text"))
+    scored = scored.withColumn("none_log", F.least("n_grams", F.lit(GRAMS)) * ANY_BUCKET + math.log(NONE_OF_THEM))
+    scored = scored.withColumn("all", F.concat("text", F.array("none_log"))).withColumn("p", F.slice(posterior(F.col("all")), 1, n))
     evidence = scored.where("has and n_grams > 0")
     sums = [F.sum(F.col("p")[i]).alias(f"c{i}") for i in range(n)]
     by_said = {r["said"]: np.array([r[f"c{i}"] or 0.0 for i in range(n)]) for r in evidence.groupBy("said").agg(*sums).collect()}
@@ -139,7 +144,8 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], html: bool =
     words = [*langs, "none", "other"]
     seen = np.array([by_said.get(x, np.zeros(n)) for x in words]) + 0.5 / len(words)
     said = np.log(seen / seen.sum(0))
-    says = local_rows(spark, [(x, [float(v) for v in said[i]]) for i, x in enumerate(words)], "said string, said_log array<double>")
+    anyhow = np.log(seen.sum(1) / seen.sum())
+    says = local_rows(spark, [(x, [float(v) for v in said[i]], float(anyhow[i])) for i, x in enumerate(words)], "said string, said_log array<double>, said_any double")
     flat = F.array(*[F.lit(float(x)) for x in prior])
     lean = lambda counts, base, k: F.zip_with(counts, base, lambda c, b: (c + b * F.lit(k)))
     share = lambda counts: F.transform(F.array(counts), lambda v: F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y)))[0]
@@ -148,7 +154,8 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], html: bool =
     hosts = evidence.groupBy("host", "suffix").agg(*sums).select("host", "suffix", own.alias("counts")).join(suffixes, "suffix").select(F.col("host").alias("at"), F.transform(share(lean(F.col("counts"), F.col("suffix_p"), LEAN_HOST)), F.ln).alias("host_log"))
     fused = scored.join(F.broadcast(says), "said").join(hosts, F.coalesce(scored["host"], F.lit("\0")) == F.coalesce(hosts["at"], F.lit("\0")), "left")
     base = F.array(*[F.lit(math.log(x)) for x in prior])
-    fused = fused.withColumn("log", F.zip_with(F.zip_with("text", "said_log", lambda a, b: a + b), F.coalesce("host_log", base), lambda a, b: a + b)).withColumn("q", posterior("log"))
+    fused = fused.withColumn("log", F.zip_with(F.zip_with("text", "said_log", lambda a, b: a + b), F.coalesce("host_log", base), lambda a, b: a + b))
+    fused = fused.withColumn("all", F.concat("log", F.array(F.col("none_log") + F.col("said_any")))).withColumn("q", F.slice(posterior(F.col("all")), 1, n))
     best = F.array_max("q")
     names = F.array(*[F.lit(x) for x in (langs or [None])]).cast("array<string>")
     pick = lambda q: names[(F.array_position(q, F.array_max(q)) - 1).cast("int")]

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from leaklens.llm import chunks, extraction, fingerprints, language, mixing, packing, shared, shingles, suffixes, tokens, vectors
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -263,3 +264,27 @@ def test_language(spark):
     assert len(got) == len(truth) + 3 and sum(r["lang"] == truth[r["key"]] for r in real) >= 0.97 * len(real)
     assert sum(r["accepted"] for r in real) >= 0.99 * len(real) and not any(r["accepted"] for r in got if r["key"] in (-1, -2))
     assert language.identify(rows.limit(0), model).count() == 0
+
+
+def test_other_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    letters, signs = list("abcdefghijklmnopqrstuvwxyz "), list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    strange = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "".join(RNG.choice(letters, 300)),
+        "".join(RNG.choice(signs, 300)),
+    ]
+    rows = spark.createDataFrame([(i, t, said, "h") for i, t in enumerate(strange) for said in (None, "en")], "key long, body string, declared string, host string")
+    assert not any(r["accepted"] for r in language.identify(rows, language.fit(docs)).collect())
+    odd = spark.createDataFrame([(-1 - i, t, "en", "h", len(t)) for i, t in enumerate(strange)], "doc_id long, text string, lang string, source string, n_chars long")
+    wrong = docs.limit(0).select(*corpus_pipeline.COLUMNS).union(docs.where("lang = 'fr'").orderBy("doc_id").limit(3).select(F.col("doc_id") + 1_000_000, "text", F.lit("de"), "source", "n_chars"))
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, docs.select(*corpus_pipeline.COLUMNS).union(odd).union(wrong), "").collect()}
+    assert not any(k < 0 for k in kept) and sum(v == "fr" for k, v in kept.items() if k >= 1_000_000) == 3
+
+
+def test_more_languages_than_forty(spark):
+    texts = {f"l{i:02d}": " ".join("".join(np.random.default_rng(i).choice(list("abcdefghijklmnop"), 6)) for _ in range(40)) for i in range(45)}
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
+    assert language.fit(docs)[0] == sorted(texts)
