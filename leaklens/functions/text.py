@@ -35,6 +35,23 @@ def match_variants(field: Column, v: Column) -> Column:
     return F.transform(kinds, canon)
 
 
+#: The patterns of each personal field, the first that is found counts. (?d): only \n ends a line.
+PII = {
+    "name": (r"^([A-Z][a-z]+ [A-Z][a-z]+)",),
+    "date_of_birth": (r"(?dU)born on ([A-Z][a-z]+ \d{1,2}, \d{4})",),
+    "phone": (r"(?dU)phone (?:number )?(?:is |at )?(\d{3}-\d{3}-\d{4})", r"(?dU)(\d{3}-\d{3}-\d{4})"),
+    "email": (r"(?dU)email (?:is |at )?\[?([^\]\s@]+@[^\]\s)]+)", r"([a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9\-.]+)"),
+    "ssn": (r"(?dU)(?:Social Security [Nn]umber|SSN) (?:is )?(\d{3}-\d{2}-\d{4})",),
+    "address": (r"(?d)(?:address|resides at)(?: is)? (.+?)(?:\.|$)",),
+}
+
+
+def pii_fields(t: Column) -> dict[str, Column]:
+    """Name, date of birth, phone, e-mail, SSN and address in a text; null where there is none."""
+    out = {f: F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in patterns]) for f, patterns in PII.items()}
+    return out | {"email": F.replace(out["email"], F.lit("\\"), F.lit("")), "address": F.regexp_replace(out["address"], r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")}
+
+
 def tokens(t: Column) -> Column:
     """Distinct runs of ASCII letters and digits, lower-cased."""
     return F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("([a-z0-9]+)"), 1))

@@ -384,6 +384,12 @@ def pii_extract(s, d):
     return table(s, d, "documents").select("doc_id", found(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("email"), found(r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b").alias("ip"))
 
 
+@query()
+def pii_fields(s, d):
+    """All six fields with their fallbacks; `pii_extract` and its SQL have e-mail by one pattern, and an address of the network."""
+    return table(s, d, "documents").select("doc_id", *[c.alias(f) for f, c in text.pii_fields(F.col("text")).items()])
+
+
 # --- matching of entity values in generated biographies ---------------------------------------------------------
 def bio_facts(s: SparkSession, d: str) -> DataFrame:
     e = entities(s, d)

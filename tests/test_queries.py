@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -159,3 +160,27 @@ def test_matchers_of_all_fields(spark):
     written, home = text.match_variants(F.lit("date_of_birth"), F.lit("1973-03-04")), text.match_variants(F.lit("address"), F.lit("1 Elm St, Rome, ST 12345"))
     got = one(spark, text.leaks(t, written), text.any_word_leaks(t, written), text.any_word_leaks(t, home), text.any_word_leaks(F.lit("born 14 march 19731"), written), text.leaks(F.lit("born 14 march 1973"), written), text.any_word_leaks(F.lit("born 14 march 1973"), written))
     assert tuple(got) == (1, 1, 1, 0, 1, 0)
+
+
+def test_pii_fields_equal_brute_force(spark):
+    def find(t, *patterns):
+        return next((m[1] for p in patterns if (m := re.search(p, t))), None)
+
+    def expected(t):
+        email = find(t, r"email (?:is |at )?\[?([^\]\s@]+@[^\]\s)]+)", r"([a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+)")
+        address = find(t, r"(?:address|resides at)(?: is)? (.+?)(?:\.|$)")
+        return (
+            find(t, r"\A([A-Z][a-z]+ [A-Z][a-z]+)"), find(t, r"born on ([A-Z][a-z]+ \d{1,2}, \d{4})"), find(t, r"phone (?:number )?(?:is |at )?(\d{3}-\d{3}-\d{4})", r"(\d{3}-\d{3}-\d{4})"),
+            email and email.replace("\\", ""), find(t, r"(?:Social Security [Nn]umber|SSN) (?:is )?(\d{3}-\d{2}-\d{4})"), address and address.strip(),
+        )
+
+    texts = [
+        "Jane Doe was born on March 4, 1973. Her phone number is 555-123-4567, her email is [jane\\_d@mail.example] and her Social Security number is 123-45-6789. She resides at 1 Elm St, Rome. Bye",
+        "call 111-222-3333 or phone at 555-999-0000; write to a.b+c@x-y.org. SSN 987-65-4321, address is  2 Oak Ave \nnext",
+        "only 111-222-3333 and email me at nowhere, x@y.co", "address 5 Main\r St\n", "the Jane Doe\nJane Doe", "address  \t .", "", "nothing",
+    ]
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id int, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in df.select("doc_id", *[c.alias(f) for f, c in text.pii_fields(F.col("text")).items()]).collect()}
+    assert got == {i: expected(t) for i, t in enumerate(texts)} | {99: (None,) * 6} and all(got[0])
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r["doc_id"]: tuple(r)[1:] for r in registry.pii_fields(spark, SF).collect()} == {i: expected(t) if t is not None else (None,) * 6 for i, t in docs.items()}
