@@ -17,6 +17,8 @@ CUT_BITS = 5
 LEAST, MOST = 24, 256
 #: Repeated chunks go only in runs of at least so many bytes, so that common phrases stay.
 LEAST_RUN = 96
+#: Bytes beside a first chunk that a run is extended over at each end; a longer equal stretch has chunks of its own.
+CONTEXT = 4 * MOST
 
 
 def cut_points(data: np.ndarray) -> np.ndarray:
@@ -52,11 +54,46 @@ def _texts(part: pa.RecordBatch, column: int):
             yield i, raw, a, chunk_ends(cuts[lows[i] : highs[i]], a, b)
 
 
+def common(x: bytes, y: bytes) -> int:
+    """Length of the longest common prefix."""
+    lo, hi = 0, min(len(x), len(y))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if x[lo:mid] == y[lo:mid] else (lo, mid - 1)
+    return lo
+
+
+def extended(text: bytes, ends: list[int], hits: list[int], beside: dict[tuple[int, bool], bytes]) -> list[list[int]]:
+    """Runs [lo, hi) of the chunks `hits`, each end moved out as far as the bytes beside the first occurrence agree; never inside a character."""
+    runs: list[list[int]] = []
+    for n in hits:
+        lo, hi = ends[n - 1] if n else 0, ends[n]
+        if (n, False) in beside:
+            out = lo - common(text[max(0, lo - CONTEXT) : lo][::-1], beside[n, False][::-1])
+            while out < lo and text[out] & 0xC0 == 0x80:
+                out += 1
+            lo = out
+        if (n, True) in beside:
+            out = hi + common(text[hi : hi + CONTEXT], beside[n, True])
+            while hi < out < len(text) and text[out] & 0xC0 == 0x80:
+                out -= 1
+            hi = out
+        if runs and runs[-1][1] >= lo:
+            runs[-1] = [min(runs[-1][0], lo), max(runs[-1][1], hi)]
+        else:
+            runs.append([lo, hi])
+        while len(runs) > 1 and runs[-2][1] >= runs[-1][0]:
+            last = runs.pop()
+            runs[-1] = [min(runs[-1][0], last[0]), max(runs[-1][1], last[1])]
+    return runs
+
+
 def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", least_run: int = LEAST_RUN) -> DataFrame:
     """All of docs' columns, with the text's repeated chunks taken out, plus n_removed, n_spans and spans.
 
     A text is cut into chunks of 24 to 256 bytes where a gear hash says so. Of every digest, the first chunk by
-    (key, text digest, place) stays; later ones go where they form runs of `least_run` bytes or more. n_removed
+    (key, text digest, place) stays; later ones form runs, each extended byte by byte beside the first occurrence of
+    its outermost chunks, CONTEXT bytes at most; extended runs of `least_run` bytes or more go. n_removed
     is in bytes, spans are the byte ranges [lo, hi) that went. The kept bytes are decoded leniently: a character
     cut in two is dropped. Whole copies end up empty. Null text: null, nothing removed; empty text alike. Null
     keys come first; repeated rows count as copies only where their key or text differs: rows equal in both keep
@@ -85,8 +122,8 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", l
     chunks = stash(rows.where(F.length("text") > 0).mapInArrow(cut, "digest binary, key long, whole long, n int"), "chunks")
     place = F.struct("key", "whole", "n")
     firsts = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "first")
-    again = chunks.join(firsts, "digest").where(place != F.col("first")).groupBy("key", "whole").agg(F.collect_set("n").alias("ns"))
-    again = again.select(F.coalesce("key", F.lit(0)).alias("k"), F.col("key").isNull().alias("kn"), "whole", "ns")
+    again = chunks.join(firsts, "digest").where(place != F.col("first")).groupBy("key", "whole").agg(F.collect_set(F.struct("n", "first")).alias("hits"))
+    again = again.select(F.coalesce("key", F.lit(0)).alias("k"), F.col("key").isNull().alias("kn"), "whole", "hits")
     again = stash(again, "again")
     unstash(chunks)
 
@@ -101,25 +138,58 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", l
     from pyspark.sql import types as T
 
     with_whole = carried.mapInArrow(digest, T.StructType([*carried.schema.fields, T.StructField("whole", T.LongType())]))
-    joined = with_whole.join(again, ["k", "kn", "whole"], "left").select("row", "text", "ns")
+
+    def outermost(batches):
+        for b in batches:
+            out = [[] for _ in range(9)]
+            for k, kn, whole, hits in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                have = {x["n"] for x in hits}
+                for x in hits:
+                    first = x["first"]
+                    for right, beside in ((False, x["n"] - 1), (True, x["n"] + 1)):
+                        if beside not in have:
+                            for column, v in zip(out, (k, kn, whole, x["n"], right, first["key"] or 0, first["key"] is None, first["whole"], first["n"]), strict=True):
+                                column.append(v)
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["k", "kn", "whole", "n", "right", "fk", "fkn", "fw", "fn"])
+
+    ends_of = stash(again.mapInArrow(outermost, "k long, kn boolean, whole long, n int, right boolean, fk long, fkn boolean, fw long, fn int"), "ends")
+    asked = ends_of.groupBy(F.col("fk").alias("k"), F.col("fkn").alias("kn"), F.col("fw").alias("whole")).agg(F.collect_set(F.struct("fn", "right")).alias("asked"))
+
+    def bytes_beside(batches):
+        for b in batches:
+            for part in pieces(b, "text"):
+                out = [[] for _ in range(6)]
+                ids, wanted = [c.to_pylist() for c in part.columns[1:4]], part.column(4).to_pylist()
+                for i, raw, a, ends in _texts(part, 0):
+                    for x in wanted[i]:
+                        n, right = x["fn"], x["right"]
+                        at = ends[n] if right else ends[n - 1] if n else a
+                        found = raw[at : min(at + CONTEXT, ends[-1])] if right else raw[max(a, at - CONTEXT) : at]
+                        for column, v in zip(out, (ids[0][i], ids[1][i], ids[2][i], n, right, found), strict=True):
+                            column.append(v)
+                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["fk", "fkn", "fw", "fn", "right", "bytes"])
+
+    found = with_whole.select("text", "k", "kn", "whole").join(asked, ["k", "kn", "whole"]).select("text", "k", "kn", "whole", "asked")
+    found = found.mapInArrow(bytes_beside, "fk long, fkn boolean, fw long, fn int, right boolean, bytes binary").dropDuplicates(["fk", "fkn", "fw", "fn", "right"])
+    beside = ends_of.join(found, ["fk", "fkn", "fw", "fn", "right"]).groupBy("k", "kn", "whole").agg(F.collect_set(F.struct("n", "right", "bytes")).alias("beside"))
+    beside = stash(beside, "beside")
+    unstash(ends_of)
+    joined = with_whole.join(again.select("k", "kn", "whole", F.transform("hits", lambda x: x["n"]).alias("ns")).join(beside, ["k", "kn", "whole"], "left"), ["k", "kn", "whole"], "left").select("row", "text", "ns", "beside")
     schema = T.StructType([*carried.select("row", "text").schema.fields, *T._parse_datatype_string("n_removed long, n_spans long, spans array<struct<lo: long, hi: long>>").fields])
 
     def cut_out(batches):
         for b in batches:
             for part in pieces(b, "text"):
                 texts, removed, spans = part.column(1).to_pylist(), [0] * part.num_rows, [[] for _ in range(part.num_rows)]
-                gone = part.column(2).to_pylist()
+                gone, near = part.column(2).to_pylist(), part.column(3).to_pylist()
                 for i, raw, a, ends in _texts(part, 1):
                     if not gone[i]:
                         continue
-                    runs: list[list[int]] = []
-                    for n in sorted(gone[i]):
-                        lo, hi = (ends[n - 1] if n else a) - a, ends[n] - a
-                        if runs and runs[-1][1] == lo:
-                            runs[-1][1] = hi
-                        else:
-                            runs.append([lo, hi])
+                    sides = {(x["n"], x["right"]): x["bytes"] for x in near[i] or []}
                     size = ends[-1] - a
+                    runs = extended(raw[a : a + size], [e - a for e in ends], sorted(gone[i]), sides)
                     runs = [r for r in runs if r[1] - r[0] >= min(least_run, size)]
                     kept, last = [], 0
                     for lo, hi in runs:

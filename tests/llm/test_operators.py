@@ -288,3 +288,24 @@ def test_more_languages_than_forty(spark):
     texts = {f"l{i:02d}": " ".join("".join(np.random.default_rng(i).choice(list("abcdefghijklmnop"), 6)) for _ in range(40)) for i in range(45)}
     docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
     assert language.fit(docs)[0] == sorted(texts)
+
+
+def test_shared_passages_go_whole(spark):
+    rows, shared = [], {}
+    for i in range(40):
+        passage = prose(51, 10_000 + i)
+        rows += [(2 * i, prose(60, 20_000 + i) + " " + passage + " " + prose(50, 30_000 + i)), (2 * i + 1, prose(35, 40_000 + i) + "\n" + passage + "\n" + prose(45, 50_000 + i))]
+        shared[2 * i + 1] = len(passage)
+    got = {r["doc_id"]: r for r in chunks.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    share = [min(1.0, got[k]["n_removed"] / n) for k, n in shared.items()]
+    assert sum(share) / len(share) > 0.95 and all(r["n_removed"] == 0 for k, r in got.items() if k not in shared)
+    for k, t in rows:
+        spans = got[k]["spans"]
+        assert all(b["lo"] > a["hi"] for a, b in zip(spans, spans[1:]))
+        assert k % 2 == 0 or all(t[x["lo"] : x["hi"]].strip() in rows[k - 1][1] for x in spans)
+
+
+def test_extension_keeps_characters():
+    text, ends = "èabcdé".encode(), [2, 6, 8]
+    assert chunks.extended(text, ends, [1], {(1, False): "é".encode(), (1, True): "è".encode()}) == [[2, 6]]
+    assert chunks.extended(text, ends, [1], {(1, False): "xè".encode(), (1, True): "éy".encode()}) == [[0, 8]]
