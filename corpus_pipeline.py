@@ -32,7 +32,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of every group of near duplicates the document with the least id stays; rows equal in id, once."""
     parts = shingles.jaccard_components(docs)
     kept = parts.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    # one row of an id, the least by its other columns
+    one = docs.groupBy("doc_id").agg(F.min(F.struct(*[c for c in COLUMNS if c != "doc_id"])).alias("row"))
+    return one.join(kept, "doc_id", "left_semi").select("doc_id", "row.*").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -309,3 +309,10 @@ def test_extension_keeps_characters():
     text, ends = "èabcdé".encode(), [2, 6, 8]
     assert chunks.extended(text, ends, [1], {(1, False): "é".encode(), (1, True): "è".encode()}) == [[2, 6]]
     assert chunks.extended(text, ends, [1], {(1, False): "xè".encode(), (1, True): "éy".encode()}) == [[0, 8]]
+
+
+def test_near_duplicates_keep_one_row_of_an_id(spark):
+    rows = [(1, prose(80, 1), "en", "a", 9), (1, prose(80, 1), "en", "a", 9), (1, prose(80, 1), "en", "a", 8), (2, prose(80, 1), "en", "a", 9), (3, prose(80, 3), None, "b", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == [rows[2], rows[4]]
