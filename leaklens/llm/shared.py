@@ -96,17 +96,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Edges that one task thins to a spanning forest before components are sought.
-FOREST = 1_000_000
+#: Edges that one task thins to a spanning forest; so many are also settled by one task.
+FOREST = 500_000
 
 
-def _forest(batches):
-    """Of the edges that a task sees, those that join two trees."""
+def _trees(batches, whole: bool):
+    """Of the edges (u, v) that a task sees, those that join two trees; or, if it sees all, (id, least id reachable)."""
     root: dict[int, int] = {}
 
     def top(x: int) -> int:
+        path = []
         while (up := root.setdefault(x, x)) != x:
-            root[x] = x = root[up] if up in root else up
+            path.append(x)
+            x = up
+        for y in path:
+            root[y] = x
         return x
 
     for batch in batches:
@@ -116,28 +120,40 @@ def _forest(batches):
             keep.append(a != b)
             if a != b:
                 root[max(a, b)] = min(a, b)
-        yield batch.filter(pa.array(keep, pa.bool_()))
-        if len(root) > 4 * FOREST:
-            root.clear()
+        if not whole:
+            yield batch.filter(pa.array(keep, pa.bool_()))
+            if len(root) > 4 * FOREST:
+                root.clear()
+    if whole:
+        ids = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(x) for x in ids], pa.int64())], names=["id", "component"])
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Connected components: (id, component), the smallest id reachable, for every id in edges (a, b).
 
-    Each task's edges are first thinned to a forest. Alternates large-star and small-star steps, each a min aggregate and an equi-join, writing every round to
-    the shared folder. Nulls are ignored; an empty table gives an empty result. Rows per round never exceed
-    the edges'. Stops when a round changes nothing.
+    Each task's edges are first thinned to a forest. If FOREST edges at most are left, one task settles them.
+    Otherwise large-star and small-star steps alternate, each a min aggregate and an equi-join, writing every round to
+    the shared folder; they end when a round changes nothing, or with an error after `rounds` if it is given. Rows
+    per round never exceed the edges'. Nulls are ignored; an empty table gives an empty result, which is written.
     """
     pairs = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = stash(pairs, "cc")
-    tasks = pairs.count() // FOREST + 1
-    whole, pairs, seen = pairs, stash(pairs.repartition(tasks).mapInArrow(_forest, "u long, v long"), "cc"), None
-    unstash(whole)
-    for _ in range(rounds):
+    if (tasks := pairs.count() // FOREST + 1) > 1:
+        old, pairs = pairs, stash(pairs.repartition(tasks).mapInArrow(lambda b: _trees(b, False), "u long, v long"), "cc")
+        unstash(old)
+    if pairs.count() <= FOREST:
+        out = stash(pairs.repartition(1).mapInArrow(lambda b: _trees(b, True), "id long, component long"), "components")
+        unstash(pairs)
+        return out
+    seen, done = None, 0
+    while True:
         now = pairs.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(u, v) % 1000000007 as decimal(38,0))"))).first()
-        if now[0] == 0 or tuple(now) == seen:
+        if tuple(now) == seen:
             break
-        seen = tuple(now)
+        if done == rounds:
+            raise RuntimeError("components did not settle")
+        seen, done = tuple(now), done + 1
         both = pairs.union(pairs.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -145,6 +161,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         old, pairs = pairs, stash(small, "cc")
         unstash(old)
-    else:
-        raise RuntimeError("components did not settle")
-    return pairs.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).union(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    of = pairs.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+    out = stash(of.union(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
+    unstash(pairs)
+    return out

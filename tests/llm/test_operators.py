@@ -152,13 +152,100 @@ def test_jaccard_variants_in_several_components(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == root
 
 
-def test_carried_bits_bound_the_overlap():
-    rng = np.random.default_rng(3)
-    for size in (0, 5, 200, 5000):
-        a, b = (np.unique(rng.integers(0, 1 << 14, size).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
-        x, y = (np.frombuffer(shingles.bitmap(s, shingles.CARRIED), np.uint8) for s in (a, b))
-        bound = np.bitwise_count(x & y).sum() + min(len(a) - np.bitwise_count(x).sum(dtype=int), len(b) - np.bitwise_count(y).sum(dtype=int))
-        assert bound >= len(np.intersect1d(a, b))
+def brute_components(rows):
+    """Components of (doc_id, text) rows by all pairs; rows of one id are one document."""
+    sets = [(k, shingle_set(t)) for k, t in rows]
+    root = {k: k for k, _ in sets}
+
+    def top(x):
+        return x if root[x] == x else top(root[x])
+
+    for i, (a, s) in enumerate(sets):
+        for b, t in sets[:i]:
+            if s and 100 * len(s & t) >= 75 * len(s | t):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    return sorted((k, len(s), top(k)) for k, s in sets)
+
+
+def many_variants():
+    """A text in 700 variants of 0 to 14 changed words, whose lists exceed every block, and what shares a passage with it."""
+    base, rng = prose(150, 7).split(), np.random.default_rng(11)
+    rows = []
+    for i in range(700):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 15)), replace=False):
+            words[at] = f"w{rng.integers(4) if i % 2 else i}"
+        rows.append((i, " ".join(words)))
+    rows += [(700 + i, " ".join(base[: 30 + i]) + " " + prose(60, 100 + i)) for i in range(40)]
+    return [*rows, (3, prose(40, 500)), (900, prose(40, 500))]
+
+
+def test_jaccard_large_lists(spark, monkeypatch):
+    rows = many_variants()
+    want = brute_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in shingles.jaccard_components(docs).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == want and len({r[2] for r in want}) > 40
+    monkeypatch.setattr(shingles, "SPLIT", 40)  # long lists in pairs of blocks
+    assert sorted(tuple(r) for r in shingles.jaccard_components(docs).select("doc_id", "n_shingles", "component_id").collect()) == want
+
+
+def test_leads_across_batches(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(t), int(i), int(n), int(rng.integers(0, n // 4 + 1))) for i, n in enumerate(rng.integers(5, 60, 200)) for t in set(rng.integers(0, 25, 6).tolist())]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = shingles._leads(spark.createDataFrame(rows, "token long, id long, n int, at int"), 75).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    pairs, more, sizes = set(), set(), set()
+    for t in {r[0] for r in rows}:
+        own = sorted((at, n, i) for token, i, n, at in rows if token == t)
+        at, n, lead = own[0]
+        pairs |= {(lead, i) for a, m, i in own[1:] if min(n - at, m - a) * 175 >= 75 * (n + m)}
+        if len(own) > 2:
+            more |= {(t, i, m, a) for a, m, i in own[1:]}
+            sizes.add((t, len(own) - 1))
+    assert {(r["a"], r["b"]) for r in got if r["kind"] == 0} == pairs
+    assert sorted((r["token"], r["a"], r["n"], r["at"]) for r in got if r["kind"] == 1) == sorted(more)
+    assert sorted((r["token"], r["n"]) for r in got if r["kind"] == 2) == sorted(sizes)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12), min_size=1), min_size=3, max_size=5))
+def test_derived_answers_hold(sets):
+    r, *others = sets
+    for x in others:
+        for y in others:
+            sx, sy = len(x & r), len(y & r)
+            assert sx + sy - len(r) <= len(x & y) <= min(sy + len(x) - sx, sx + len(y) - sy)
+
+
+def test_derive(spark):
+    known = spark.createDataFrame([(1, 2, 90, 100, 100), (1, 3, 95, 100, 100), (1, 4, 50, 100, 100)], "a long, b long, s long, na long, nb long")
+    sizes = spark.createDataFrame([(i, 100) for i in range(1, 6)], "id long, n long")
+    pairs = spark.createDataFrame([(2, 3), (3, 4), (2, 5), (1, 2)], "a long, b long")
+    got = {(r["a"], r["b"]): r["sure"] for r in shingles.derive(pairs, known, sizes, 75).collect()}
+    assert got == {(2, 3): False, (2, 5): False}  # 85 shared at least, 86 needed; 3 and 4 share 55 at most
+    known = known.union(spark.createDataFrame([(1, 5, 98, 100, 100)], known.schema))
+    assert {(r["a"], r["b"]): r["sure"] for r in shingles.derive(pairs, known, sizes, 75).collect()}[2, 5] is True
+
+
+def test_components_of_many_edges(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(500 + i, 501 + i) for i in range(60)] + [(None, 1)]
+    want = {}
+    root = {x: x for e in edges for x in e if x is not None}
+    for _ in root:
+        for a, b in edges:
+            if a is not None:
+                root[a] = root[b] = min(root[a], root[b])
+    want = {x: root[x] for a, b in edges if a is not None and a != b for x in (a, b)}
+    table = spark.createDataFrame(edges, "a long, b long")
+    assert {r["id"]: r["component"] for r in shared.components(table).collect()} == want
+    monkeypatch.setattr(shared, "FOREST", 50)
+    assert {r["id"]: r["component"] for r in shared.components(table).collect()} == want
 
 
 def test_fingerprints(docs, empty, spark):
