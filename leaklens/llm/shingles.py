@@ -20,8 +20,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LETTER[_SPACE] = 0
 _LETTER[65:91] = _LETTER[97:123]  # A-Z count as a-z
-#: A shingle is frequent if at least this share of the documents has it; frequent ones come last in the order.
-FREQUENT = 0.002
+#: A shingle is frequent if this many documents have it, found in runs of RUN bytes of text that have it SEEN times; frequent ones come last in the order.
+FREQUENT, RUN, SEEN = 8, 32 << 20, 4
 #: Frequent shingles that the order knows by rank; the rest keep hash order. Bounds what is broadcast (8 MB).
 RANKED = 1_000_000
 
@@ -75,23 +75,29 @@ def text_sets(column: pa.Array, words: int = 5) -> list[np.ndarray]:
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
     """Shingles that many documents have, rarest first, by counts over all documents.
 
-    Each run of about 4 MB of text sends only the shingles that are frequent in it: one that is frequent
-    overall is so in at least one run. The order matters for speed only; any one gives all links.
+    Each run of about RUN bytes sends only the shingles that SEEN of its texts have, so a shingle spread more thinly
+    than that keeps its place by hash. The order matters for speed only; any one gives all links.
     """
 
     def local(batches):
+        held, size = [], 0
+
+        def counts():
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n >= SEEN].view(np.int64)), pa.array(n[n >= SEEN].astype(np.int64))], names=["h", "n"])
+
         for b in batches:
             for part in pieces(b, "text"):
-                sets = text_sets(part.column(0), words)
-                if len(sets) < 4:
-                    continue
-                h, n = np.unique(np.concatenate(sets), return_counts=True)
-                keep = n >= max(3, FREQUENT * len(sets))
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["h", "n"])
+                held += text_sets(part.column(0), words)
+                size += part.nbytes
+                if size >= RUN:
+                    yield counts()
+                    held, size = [], 0
+        if held:
+            yield counts()
 
     found = docs.select("text").mapInArrow(local, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    least = max(10, int(FREQUENT * docs.count()))
-    top = found.where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(RANKED).toArrow()
+    top = found.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(RANKED).toArrow()
     return top.column("h").to_numpy()[::-1].view(np.uint64)
 
 
