@@ -28,7 +28,7 @@ NONE_OF_THEM, ANY_BUCKET = 0.01, -math.log(BUCKETS)
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 _TAGS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^>]*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
+_LANG = re.compile(r"<html\b[^>]*?(?<![\w:.-])lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +94,8 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], html: bool =
 
     Null or empty bodies have no text evidence and are not accepted. Null hosts and declarations are values of
     their own. Repeated rows and null keys come back as often as they came. Ties go to the first language by
-    name. An empty table, or a model without languages, gives null languages, not accepted.
+    name. An empty table gives no rows; a model without languages gives null languages, not accepted. Other columns
+    are ignored, whatever their names.
     """
     langs, table = model
     spark = rows.sparkSession
