@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaklens.llm import chunks, extraction, fingerprints, language, mixing, packing, shingles, suffixes, tokens, vectors
+from leaklens.llm.shared import shared_dir
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 TOKEN_LIMIT = 2048
@@ -55,7 +56,8 @@ def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = tokens.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
+    """Counts by the cache in the shared folder, which later calls find filled."""
+    counted = tokens.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, f"{shared_dir(spark)}/token-cache")
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 

@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from leaklens.llm.shared import small_batches, stash
 
@@ -121,39 +120,51 @@ def counter(path: str) -> tuple[str, Callable[[str], int]]:
     return own.version, lambda text: len(own.ids(text)) // 4
 
 
-def content_digest(text: Column) -> Column:
-    """Digest of a text (null: empty) that copies share."""
-    return F.md5(F.coalesce(text, F.lit("")))
+def drops_space(path: str) -> bool:
+    """Whether runs of white space between words have no tokens in this file's vocabulary."""
+    return not path.endswith(".model") and encoder(path).by_chunk
+
+
+def normalised(text: Column, path: str) -> Column:
+    """The text (null: empty) without differences that its count can't show: runs of ASCII white space are one space, none is at its ends."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.btrim(F.regexp_replace(whole, r"[\x20\x09-\x0D]+", " ")) if drops_space(path) else whole
+
+
+def stored_counts(spark, cache: str, version: str) -> DataFrame | None:
+    """(digest, n_tokens) of one version in the cache folder; None where nothing is stored yet. Other faults are raised."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{cache}/version={version}")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema("digest string, n_tokens long").parquet(f"{cache}/version={version}").dropDuplicates(["digest"])
 
 
 def count_tokens(docs: DataFrame, path: str, cache: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_tokens) of every row: encode each distinct text that `cache` has no count for, once.
 
-    cache: folder of Parquet rows (digest, version, n_tokens) in shared storage; the misses' counts are appended
-    to it. Without one, a folder for this call is made, so that only the call's own repeats are saved. Null texts
-    count as empty (0). Repeated rows and null keys come back as often as they came. An empty table gives an
+    cache: folder of Parquet rows (digest, n_tokens), one subfolder for each tokenizer version, in shared storage.
+    Digests of normalised content are joined to the version's stored counts; only distinct misses are encoded, and
+    their counts are appended. Without a cache only the call's own repeats are saved. Null texts count as empty (0). Repeated rows and null keys come back as often as they came. An empty table gives an
     empty result. Columns besides key and text are ignored, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
     version, _ = counter(path)
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", content_digest(F.col("text")))
+    rows = docs.select(F.col(key).alias("key"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), normalised(F.col(text), path).alias("text")).withColumn("digest", F.md5("text"))
     misses = rows.select("digest", "text").dropDuplicates(["digest"])
-    known = None
-    if cache:
-        try:
-            known = spark.read.parquet(cache).where(F.col("version") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
-            misses = misses.join(known.select("digest"), "digest", "left_anti")
-        except AnalysisException:
-            known = None  # no count has been stored yet
+    known = stored_counts(spark, cache, version) if cache else None
+    if known is not None:
+        misses = misses.join(known.select("digest"), "digest", "left_anti")
 
     def encode(batches):
         _, count = counter(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([count(x) for x in b.column(1).to_pylist()], pa.int64())], names=["digest", "n_tokens"])
 
-    fresh = stash(misses.mapInArrow(encode, "digest string, n_tokens long"), "token-counts")
+    fresh = misses.mapInArrow(encode, "digest string, n_tokens long")
     if cache:
-        fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
-    counts = fresh if known is None else known.unionByName(fresh)
-    return rows.select("key", "digest", F.octet_length("text").cast("long").alias("n_bytes")).join(counts, "digest").select(F.col("key").alias(key), "n_bytes", "n_tokens")
+        fresh.write.mode("append").parquet(f"{cache}/version={version}")
+        counts = stored_counts(spark, cache, version)
+    else:
+        counts = stash(fresh, "token-counts")
+    return rows.select("key", "digest", "n_bytes").join(counts, "digest").select(F.col("key").alias(key), "n_bytes", "n_tokens")
