@@ -60,7 +60,9 @@ class _Space:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length one; divided by their largest component first, whose square could over- or underflow."""
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(1)[:, None]
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -187,7 +189,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, key: str = "vec_id", c
                     own, reach = space.cells(unit, k)
                     cells, cuts, roles, who = [], [], [], []
                     for i in range(len(ids)):
-                        mine = int(ids[i] * 2654435761 % 4294967296) % slices[k, own[i]]
+                        mine = int(ids[i] * 2654435761 % 4294967296) % slices.get((k, own[i]), 1)
                         cells.append(own[i])
                         cuts.append(mine)
                         roles.append(0)
