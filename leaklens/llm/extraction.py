@@ -10,42 +10,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leaklens.llm.language import host_of
-from leaklens.llm.shared import pieces, small_batches
+from leaklens.llm.shared import pieces, small_batches, stash
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|<[a-zA-Z/!][^<>]*\Z", re.S | re.I)
-_NAMED = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^<>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:=\s*+(?:\"[^\"]{0,65536}+\"|'[^']{0,65536}+')|[^<>])*+)>|<[!?][^<>]*+>|<[a-zA-Z/!][^<>]*\Z", re.S | re.I)
+_NAMED = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\">]+)))?", re.I)
 _PART = re.compile(r"[A-Za-z]+")
+_NAME = re.compile(r"[^\s]+")
 #: Elements that never hold the article.
-DROPPED = frozenset("nav footer aside form button dialog menu head object audio video canvas fieldset label input datalist".split())
+DROPPED = frozenset("nav footer aside button dialog menu head object audio video canvas fieldset label input datalist".split())
 #: Words in a class, id or role that mark what is not the article.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation menu header masthead topbar footer sidebar side aside cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist reply replies respond disqus share sharing social related recommended newsletter subscribe signup login breadcrumb breadcrumbs pagination pager widget toolbar skip copyright contentinfo complementary search".split()
 )
+#: Words before a noise word that make a name one of the article's own, or a statement about the layout.
+OF_ARTICLE = frozenset("has no with without post entry article story content page single blog news main wide full".split())
+#: Words of what readers wrote, which may be longer than the article.
+READERS = frozenset("comment comments commentlist reply replies respond disqus".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var br wbr img label".split())
 #: A start tag of the left closes an open element of the right, up to a border.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Elements that can be the article's container.
 CONTAINERS = frozenset("body div article main section td center".split())
+#: Hosts whose paths are broadcast, some 200 bytes each; with more, pages are shuffled by host and AQE splits large ones.
+FEW_HOSTS = 200_000
 #: Part of a page's prose that a container must hold to count fully.
 ENOUGH = 0.7
 
 
 def read(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    """Blocks in order: the path of their containers, the text, and the characters of it in links."""
+    """Blocks in order: the path of their containers, the text, and the characters of it in links.
+
+    Elements that never hold the article are left out. One that only its names speak against stays if the page's
+    first-level headline or article element is in it with more than half of the page's prose.
+    """
     blocks: list[tuple[tuple[str, ...], str, int]] = []
     if not page:
         return blocks
-    stack: list[tuple[str, str, bool]] = []  # name, step of the path, whether it and what it holds is left out
+    stack: list[tuple[str, str, bool, int]] = []  # name, step of the path, whether all in it is left out, innermost element in doubt
     text: list[str] = []
     links = 0
+    doubts: list[tuple[int, bool]] = []  # the element in doubt around each, and whether it holds headline or article
+    doubtful: list[int] = []  # of each block, its innermost element in doubt
 
     def flush() -> None:
         nonlocal links
         if text:
             joined = " ".join("".join(text).split())
             if joined and not (stack and stack[-1][2]):
-                blocks.append((tuple(s for _, s, _ in stack if s), joined, min(links, len(joined))))
+                blocks.append((tuple(x[1] for x in stack if x[1]), joined, min(links, len(joined))))
+                doubtful.append(stack[-1][3] if stack else -1)
             text.clear()
         links = 0
 
@@ -104,16 +118,54 @@ def read(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             if stack[i][0] in CONTAINERS:
                 break
         marks = {a.lower(): b or c or d for a, b, c, d in _NAMED.findall(m[4])} if m[4] else {}
-        said = {w.lower() for k in ("class", "id", "role", "itemprop") for w in _PART.findall(marks.get(k) or "")}
+        named = [w for k in ("class", "id", "role", "itemprop") if marks.get(k) for w in _NAME.findall(marks[k])]
         in_article = any(s[0] in ("article", "main") for s in stack)
-        out = bool(stack and stack[-1][2]) or name in DROPPED or "hidden" in marks or marks.get("aria-hidden") == "true" or (name == "header" and not in_article) or (name not in ("body", "html", "article", "main") and bool(said & NOISE))
+        out = bool(stack and stack[-1][2]) or name in DROPPED or "hidden" in marks or marks.get("aria-hidden") == "true"
+        doubt = stack[-1][3] if stack else -1
+        if name in ("h1", "article", "main"):
+            above = doubt
+            while above >= 0 and not doubts[above][1]:
+                doubts[above] = (doubts[above][0], True)
+                above = doubts[above][0]
+        if not out and name not in ("body", "html", "article", "main"):
+            kinds = [speaks_against(w) for w in named]
+            out = 2 in kinds
+            if 1 in kinds or name == "form" or (name == "header" and not in_article):
+                doubts.append((doubt, False))
+                doubt = len(doubts) - 1
         step = ""
         if name in CONTAINERS:
             step = ".".join([name, *sorted({w.lower() for w in _PART.findall(marks.get("class") or "")})])
-        stack.append((name, step, out))
+        stack.append((name, step, out, doubt))
     put(page[at:])
     flush()
-    return blocks
+    if not doubts:
+        return blocks
+    prose, total = [0.0] * len(doubts), 0.0
+    for (_, joined, linked), d in zip(blocks, doubtful, strict=True):
+        value = max(0.0, len(joined) - 2.0 * linked)
+        total += value
+        if d >= 0:
+            prose[d] += value
+    for d in range(len(doubts) - 1, -1, -1):  # what an inner element holds, its outer one holds
+        if doubts[d][0] >= 0:
+            prose[doubts[d][0]] += prose[d]
+    stays = []
+    for d, (outer, holds) in enumerate(doubts):
+        stays.append((outer < 0 or stays[outer]) and holds and prose[d] > total / 2)
+    return [b for b, d in zip(blocks, doubtful, strict=True) if d < 0 or stays[d]]
+
+
+def speaks_against(name: str) -> int:
+    """0: nothing in a class, id or role speaks against the element; 1: it is probably not the article; 2: readers wrote it.
+
+    A name is read by its words: "post-header" and "has-sidebar" are the article's or tell of the layout.
+    """
+    words = [w.lower() for w in _PART.findall(name)]
+    found = [i for i, w in enumerate(words) if w in NOISE and not (i and words[0] in OF_ARTICLE)]
+    if any(w in READERS for w in words):
+        return 2
+    return int(bool(found))
 
 
 def scores(blocks: list[tuple[tuple[str, ...], str, int]]) -> dict[str, float]:
@@ -176,7 +228,10 @@ def extract(pages: DataFrame, most_paths: int = 3) -> DataFrame:
     votes = rows.select("host", "html").mapInArrow(vote, "host string, path string, votes double").groupBy("host", "path").agg(F.round(F.sum("votes"), 3).alias("votes"))
     ranked = votes.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))).where(F.col("rank") <= most_paths)
     best = ranked.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "votes", "path"))).alias("won"))
-    best = best.select("host", F.transform(F.filter("won", lambda x: x["votes"] * 3 >= F.col("won")[0]["votes"]), lambda x: x["path"]).alias("paths"))
+    best = stash(best.select("host", F.transform(F.filter("won", lambda x: x["votes"] * 3 >= F.col("won")[0]["votes"]), lambda x: x["path"]).alias("paths")), "paths")
+    # A few paths a host: they go to the pages where these lie, unless there are too many hosts for that.
+    if best.limit(FEW_HOSTS + 1).count() <= FEW_HOSTS:
+        best = F.broadcast(best)
 
     def again(batches):
         for b in batches:
