@@ -97,8 +97,8 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", l
     is in bytes, spans are the byte ranges [lo, hi) that went. The kept bytes are decoded leniently: a character
     cut in two is dropped. Whole copies end up empty. Null text: null, nothing removed; empty text alike. Null
     keys come first; repeated rows count as copies only where their key or text differs: rows equal in both keep
-    the same. An empty table gives no rows. Clashing column names are renamed by the caller; only n_removed,
-    n_spans and spans are added.
+    the same. An empty table gives no rows. Columns that docs has under the added names are
+    replaced; all others come back, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -127,7 +127,8 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", l
     again = stash(again, "again")
     unstash(chunks)
 
-    names = [c for c in docs.columns if c != text]
+    added = ("n_removed", "n_spans", "spans")
+    names = [c for c in docs.columns if c != text and c not in added]
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("k"), F.col(key).isNull().alias("kn"))
 
     def digest(batches):
@@ -202,4 +203,4 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", l
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], names=["row", "text", "n_removed", "n_spans", "spans"])
 
     done = joined.mapInArrow(cut_out, schema)
-    return done.select(*[F.col("text") if c == text else F.col("row").getField(c).alias(c) for c in docs.columns], "n_removed", "n_spans", "spans")
+    return done.select(*[F.col("text") if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c not in added], *added)

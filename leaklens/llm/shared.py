@@ -18,9 +18,11 @@ ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a folder of ours where it is unset."""
+    """The folder that all executors see: spark.checkpoint.dir; in local mode, where it is unset, a folder of ours."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="leaklens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
