@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -50,13 +52,33 @@ def all_texts():
 
 
 def test_token_counts(docs, empty, tmp_path):
-    library = Tokenizer.from_file(VOCABULARY)
-    cache = str(tmp_path / "cache")
-    for _ in range(2):
-        got = sorted((repr(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in tokens.count_tokens(docs, VOCABULARY, cache).collect())
-        assert got == sorted((repr(k), len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for k, t in all_texts())
-    assert docs.sparkSession.read.parquet(cache).count() == len({t or "" for _, t in all_texts()})
-    assert tokens.count_tokens(empty, VOCABULARY).count() == 0
+    spark, library, cache = docs.sparkSession, Tokenizer.from_file(VOCABULARY), str(tmp_path / "cache")
+    want = sorted((repr(k), len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for k, t in all_texts())
+
+    def stored(path=VOCABULARY):
+        return spark.read.parquet(f"{cache}/version={tokens.counter(path)[0]}").count()
+
+    count = lambda df, path=VOCABULARY: sorted((repr(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in tokens.count_tokens(df, path, cache).collect())
+    assert count(docs) == want
+    first = stored()
+    assert first == len({re.sub(r"[\x20\x09-\x0D]+", " ", t or "").strip(" ") for _, t in all_texts()})
+    assert count(docs) == want and stored() == first  # nothing is encoded again
+    more = spark.createDataFrame([(1, "  ONE\t two "), (2, "quite new")], "doc_id long, text string")
+    assert [x[2] for x in count(more)] == [2, 2] and stored() == first + 1
+    other = public_tokenizers.path("byte_bpe_50k.json")  # another version has no counts yet, and counts white space
+    library = Tokenizer.from_file(other)
+    assert count(docs, other) == sorted((repr(k), len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for k, t in all_texts())
+    assert stored(other) == len({t or "" for _, t in all_texts()}) and stored() == first + 1
+    assert tokens.count_tokens(empty, VOCABULARY).count() == 0 and tokens.count_tokens(empty, VOCABULARY, str(tmp_path / "none")).count() == 0
+
+
+def test_token_counts_of_a_piece_model(docs):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = sorted((repr(r["doc_id"]), r["n_tokens"]) for r in tokens.count_tokens(docs, path).collect())
+    assert got == sorted((repr(k), len(library.encode(t or ""))) for k, t in all_texts())
 
 
 @settings(max_examples=150, deadline=None)
@@ -86,18 +108,54 @@ def test_packing_plan(counts):
     assert bins <= 11 / 9 * -(-total // 40) + 2 + sum(v for k, v in counts.items() if k > 20)
 
 
-def test_pack(docs, empty):
-    rows = packing.pack(docs, VOCABULARY, 256).collect()
+@pytest.mark.parametrize("room", [40, 256])
+def test_pack(docs, empty, room):
+    rows = packing.pack(docs, VOCABULARY, room).collect()
     library = Tokenizer.from_file(VOCABULARY)
-    want = sum(-(-(len(library.encode(t or "", add_special_tokens=False).ids) + 1) // 256) for _, t in all_texts())
-    assert len(rows) == want
+    want = []
+    for k, t in all_texts():
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        for piece, start in enumerate(range(0, len(ids), room)):
+            part = np.array(ids[start : start + room], "<u4")
+            want.append((repr(k), piece, start, len(part), zlib.crc32(part.tobytes())))
+    assert sorted((repr(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == sorted(want)
     by = {}
     for r in rows:
         by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    assert all(sum(n for _, n in v) <= 256 and [o for o, _ in sorted(v)] == list(np.cumsum([0, *[n for _, n in sorted(v)]])[:-1]) for v in by.values())
+    assert all(sum(n for _, n in v) <= room and [o for o, _ in sorted(v)] == list(np.cumsum([0, *[n for _, n in sorted(v)]])[:-1]) for v in by.values())
+    lengths = [w[3] for w in want]  # no bound below: tokens by room, and pieces of which no two go together
+    assert len(by) <= 11 / 9 * max(-(-sum(lengths) // room), sum(n > room / 2 for n in lengths)) + 1
     assert packing.pack(empty, VOCABULARY).count() == 0
 
 
+def test_best_fit_reaches_the_fewest(spark):
+    def fewest(lengths, room):  # by trying everything
+        best = len(lengths)
+
+        def go(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(lengths):
+                best = len(bins)
+                return
+            for x in sorted(set(bins)):
+                if x + lengths[i] <= room:
+                    rest = list(bins)
+                    rest[rest.index(x)] += lengths[i]
+                    go(i + 1, rest)
+            go(i + 1, [*bins, lengths[i]])
+
+        go(0, [])
+        return best
+
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        lengths = sorted(rng.integers(1, 20, rng.integers(1, 9)).tolist(), reverse=True)
+        runs, bins, _ = packing.plan({n: lengths.count(n) for n in set(lengths)}, 20)
+        assert fewest(lengths, 20) <= bins <= fewest(lengths, 20) + 1
+
+
 def test_apportion():
     assert mixing.apportion([53, 24, 23], 7) == [3, 2, 2]
     assert mixing.apportion([0, 0], 3) == [0, 0] and sum(mixing.apportion([1, 1, 1], 10)) == 10
@@ -115,6 +173,54 @@ def test_mix(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, prose(int(rng.integers(0, 60)), i), f"s{int(rng.integers(0, 5)) ** 2 % 7}") for i in range(200)]
+    rows += [(300, prose(15, 1), "tiny"), (301, prose(40, 2), "small"), (302, prose(100, 3), "z"), (303, None, None), (304, "a b", None), (302, prose(90, 4), "z")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    size = [len(WORDS.findall(t or "")) for _, t, _ in rows]
+    assert sorted(zip([r[0] for r in rows], size, strict=True)) == sorted((r["doc_id"], r["size"]) for r in got)
+    names = [*sorted({s for _, _, s in rows if s}), None]
+    own = [sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in names]
+    want, left, free = [0.0] * len(own), 1.5 * sum(own), set(range(len(own)))
+    while free:  # the contract word by word, a source at a time
+        weight = {i: (5, 2, 1)[i % 3] for i in free}
+        over = [i for i in free if left * weight[i] / sum(weight.values()) > 2 * own[i]]
+        for i in over or free:
+            want[i] = 2.0 * own[i] if over else left * weight[i] / sum(weight.values())
+        left -= sum(want[i] for i in over)
+        free -= set(over) or set(free)
+    for name, n, aim in zip(names, own, want, strict=True):
+        mine = [r for r in got if r["source"] == name]
+        assert {r["source_size"] for r in mine} == {n} and all(abs(r["target"] - aim) < 1e-6 for r in mine)
+        taken = sum(r["taken"] for r in mine)
+        assert abs(taken - aim) <= max(64, 0.04 * aim) if aim > 2048 else abs(taken - aim) <= max(2, 0.07 * aim)
+        for r in mine:
+            assert r["taken"] <= 2 * r["size"] and r["taken"] == r["passes"] * r["size"] + sum(x["hi"] - x["lo"] for x in r["spans"])
+            assert all(0 <= x["lo"] < x["hi"] <= r["size"] for x in r["spans"]) and (r["size"] or not r["spans"])
+    assert mixing.apportion([float(x) for x in own], 50) == sainte_lague(own, 50)
+
+
+def sainte_lague(votes, seats):
+    got = [0] * len(votes)
+    for _ in range(seats):
+        i = max(range(len(votes)), key=lambda i: (votes[i] / (2 * got[i] + 1), -i))
+        got[i] += 1
+    return got
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 500), min_size=1, max_size=8), st.integers(0, 60))
+def test_apportion_seat_by_seat(votes, seats):
+    if sum(votes):
+        assert mixing.apportion(votes, seats) == sainte_lague(votes, seats)
+
+
+def test_many_sources_at_once():
+    sizes = list(range(1, 100_001))
+    assert abs(sum(mixing.targets(sizes, (5, 2, 1), 1.5, 2.0)) - 1.5 * sum(sizes)) < 1
+
+
 def shingle_set(t):
     w = WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
@@ -260,6 +366,23 @@ def test_fingerprints(docs, empty, spark):
     prints = {r["doc_id"]: r["fingerprint"] for r in rows}
     assert prints[1] == prints[2] != prints[3] and prints[4] == prints[5] == ""
     assert fingerprints.edited_pairs(empty).count() == 0
+
+    def shingled(t):
+        w = WORDS.findall(t)
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    chain = sorted(texts().items(), reverse=True)
+    for i, (k, t) in enumerate(chain):  # the true likeness, within four standard errors of a sketch of 128
+        t, nxt = t or "", chain[i + 1][1] or "" if i + 1 < len(chain) else ""
+        other = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        for name, x in (("near_edited", other), ("near_next", nxt)):
+            both = shingled(t) | shingled(x)
+            true = len(shingled(t) & shingled(x)) / len(both) if both else 1.0
+            got = next(r for r in rows if r["doc_id"] == k)[name]
+            assert abs(got - true) <= (4 * (true * (1 - true) / 128) ** 0.5 + 0.02 if len(both) > 128 else 1e-9), (k, name)
+    parts = spark.createDataFrame([(prose(500, 1), prose(500, 2), prose(500, 1) + " " + prose(500, 2))], "a string, b string, c string")
+    one = parts.select(fingerprints.merge(*[fingerprints.sketch(F.col(c)) for c in "ab"]).alias("m"), fingerprints.containment(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("c"))).alias("inside"), fingerprints.resemblance(fingerprints.merge(*[fingerprints.sketch(F.col(c)) for c in "ab"]), fingerprints.sketch(F.col("c"))).alias("like")).first()
+    assert one["m"] == sorted(one["m"]) and len(one["m"]) == 128 and one["inside"] > 0.8 and one["like"] > 0.97
     whole = spark.createDataFrame([(1, prose(2000, 1)), (1, prose(2000, 2)), (2, prose(3000, 3))], "g int, text string").withColumn("sketch", fingerprints.sketch(F.col("text")))
     folded = fingerprints.fold(whole, ["g"]).withColumn("n", fingerprints.distinct_count(F.col("sketch"))).orderBy("g").collect()
     assert abs(folded[0]["n"] / 3992 - 1) < 0.3 and abs(folded[1]["n"] / 2996 - 1) < 0.3
@@ -324,6 +447,27 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_size(spark):
+    tiny, huge = [1e-200, 0.0, 0.0, 0.0], [1e200, 1e200, 0.0, 0.0]
+    rows = [(1, tiny), (2, [3.0, 0.01, 0.0, 0.0]), (3, huge), (4, [1.0, 1.0, 0.0, 0.0]), (5, [5e-324, 0.0, 0.0, 0.0]), (6, [0.0, 0.0, -1e308, 1.0]), (7, [0.0, 0.0, -2.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 5: (2, 1), 3: (1, 3), 4: (1, 3), 6: (1, 6), 7: (1, 6)}
+
+
+def test_vectors_in_a_dense_cell(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=16) + rng.normal(size=(3000, 16)) * 0.12, rng.normal(size=(500, 16))])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i]["n_links"] == n for i, n in enumerate(link.sum(1)))
+    label = np.arange(len(x))
+    for _ in range(8):
+        label = np.array([min(label[i], label[link[i]].min(initial=i)) for i in range(len(x))])
+    assert all(got[i]["component_id"] == c for i, c in enumerate(label))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (None, 3), (7, 7)], "a long, b long")
     got = dict(map(tuple, shared.components(edges).collect()))
@@ -340,6 +484,93 @@ def test_extract(spark):
     assert all(got[i] == (want, len(want)) for i in range(4)) and got[8] == ("", 0) and got[9] == ("", 0) and got[10][0] == "Only"
 
 
+ARTICLE = "<h1>Title</h1><p>First para, long enough to be the prose of this page.</p><p>Second one, with more of it.</p>"
+WANTED = "Title\nFirst para, long enough to be the prose of this page.\nSecond one, with more of it."
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<div class='content has-sidebar'>{ARTICLE}</div><div class='sidebar'><p>Side text</p></div>",
+        f"<div class='post'><div class='post-header'><h1>Title</h1></div>{ARTICLE.split('</h1>')[1]}</div><div id=footer>Foot</div>",
+        f"<div class=no-sidebar><article>{ARTICLE}</article><div class='comment-list'><p>{'A very long comment. ' * 40}</p></div></div>",
+        f"<form action='/x'><div id=main>{ARTICLE}</div></form><form><label>Search</label><input name=q></form>",
+        f"<div class='page banner-layout'>{ARTICLE}</div><div class='site-header'>Site</div><div class='ad-slot'>Buy <b>now</b></div>",
+        f"<article title=it's>{ARTICLE.replace('<p>', '<p title=it' + chr(39) + 's>')}</article><footer class='x'>Foot</footer>",
+        "<article><h1>Title<p>First para, long enough to be the prose of this page.<p>Second one, with more of it.</article><nav>Menu",
+        f"<main>{ARTICLE.replace('<p>', '<p data-x=' + chr(34) + 'a > b' + chr(34) + '>')}</main><aside>Side</aside>",
+    ],
+)
+def test_articles_stay_whole(body):
+    blocks = extraction.read(f"<html><body>{body}</body></html>")
+    assert extraction.text_of(blocks, []) == WANTED
+
+
+def test_malformed_pages_take_linear_time():
+    for piece in ("<a '", "<a =\"", "<!-", "<div", "<p title='", "</", "<a b='c' "):
+        took = []
+        for n in (20_000, 80_000):
+            page, begun = piece * n, time.perf_counter()
+            extraction.read(page)
+            took.append(time.perf_counter() - begun)
+        assert took[1] < 12 * max(took[0], 0.02), (piece, took)
+
+
+def test_hosts_vote(spark):
+    """The path that most of a host's pages have wins, also on a page where another container has more prose."""
+    page = "<html><body><div class='text'><p>{}</p></div><div class='extra'><p>{}</p></div></body></html>"
+    pages = [(i, f"https://a.example/{i}", page.format(f"Article {i} " + "with prose " * 40, "")) for i in range(30)] + [(30, "https://a.example/30", page.format("Short article.", "Other prose " * 12))]
+    for few in (200_000, 0):
+        extraction.FEW_HOSTS = few
+        got = {r["page_id"]: r["text"] for r in extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+        assert got[30] == "Short article." and got[0] == ("Article 0 " + "with prose " * 40).strip()
+    extraction.FEW_HOSTS = 200_000
+    assert extraction.extract(spark.createDataFrame(pages[:0], "page_id long, url string, html string")).count() == 0
+
+
+def test_language_evidence_by_brute_force(spark):
+    """The fusion again in numpy, row by row."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    langs, table = language.fit(docs)
+    pages = [r.asDict() for r in docs.select(F.col("doc_id").alias("key"), F.substring("text", 1, 300).alias("body"), F.when(F.col("doc_id") % 3 == 0, "en").when(F.col("doc_id") % 3 == 1, F.col("lang")).alias("declared"), F.concat("source", F.lit("."), F.col("lang")).alias("host")).collect()]
+    pages += [{"key": 10**6, "body": None, "declared": "zz", "host": None}, {"key": 10**6 + 1, "body": "the", "declared": "EN-us", "host": "x"}]
+    got = {r["key"]: r for r in language.identify(spark.createDataFrame([tuple(p.values()) for p in pages], "key long, body string, declared string, host string"), (langs, table)).collect()}
+    soft = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    for p in pages:
+        data = bytes(b + 32 if 65 <= b <= 90 else b for b in (p["body"] or "").encode())
+        codes = [(data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2654435761 % 2**32 >> 18 for i in range(len(data) - 2)]
+        p["n"] = len(codes)
+        p["text"] = table[codes].astype(float).sum(0) / max(1, len(codes)) * min(len(codes), language.GRAMS) if codes else np.zeros(len(langs))
+        p["none"] = min(len(codes), language.GRAMS) * language.ANY_BUCKET + np.log(language.NONE_OF_THEM)
+        p["p"] = soft(np.append(p["text"], p["none"]))[:-1]
+        word = re.match(r"\s*([A-Za-z]{2,3})", p["declared"] or "")
+        p["said"] = "none" if p["declared"] is None else word[1].lower() if word and word[1].lower() in langs else "other"
+        p["suffix"] = (p["host"] or "").rpartition(".")[2] if "." in (p["host"] or "") else ""
+        p["fine"] = bool(codes) and any(97 <= b <= 122 or b >= 128 for b in data)
+    known = [p for p in pages if p["fine"]]
+    whole = sum(p["p"] for p in known)
+    prior = (whole + 1) / (whole.sum() + len(langs))
+    words = [*langs, "none", "other"]
+    seen = np.array([sum((p["p"] for p in known if p["said"] == w), np.zeros(len(langs))) for w in words]) + 0.5 / len(words)
+    for p in pages:
+        by_suffix = sum((q["p"] for q in known if q["suffix"] == p["suffix"]), np.zeros(len(langs))) + prior * language.LEAN_SUFFIX
+        by_host = sum((q["p"] for q in known if q["host"] == p["host"]), np.zeros(len(langs))) + by_suffix / by_suffix.sum() * language.LEAN_HOST
+        host = by_host / by_host.sum() if any(q["host"] == p["host"] for q in known) else prior
+        log = p["text"] + np.log(seen / seen.sum(0))[words.index(p["said"])] + np.log(host)
+        q = soft(np.append(log, p["none"] + np.log(seen.sum(1) / seen.sum())[words.index(p["said"])]))[:-1]
+        r = got[p["key"]]
+        assert abs(r["posterior"] - q.max()) < 1e-4 and (r["lang"] == langs[int(q.argmax())] or np.sort(q)[-1] - np.sort(q)[-2] < 1e-4)
+        assert r["accepted"] == (p["fine"] and q.max() >= language.LEAST_POSTERIOR) or abs(q.max() - language.LEAST_POSTERIOR) < 1e-4
+
+
+def test_declared_language_of_a_page(spark):
+    rows = [(i, h, None, "h", "clash") for i, h in enumerate(("<html data-lang='xx' lang='en'>the of and to", "<html xml:lang=fr><p>le", "<HTML class=a LANG=de>der", None, "<html>"))]
+    model = (["de", "en"], np.log(np.full((language.BUCKETS, 2), 0.5 / language.BUCKETS)).astype(np.float32))
+    got = {r["key"]: r for r in language.identify(spark.createDataFrame(rows, "key long, body string, declared string, host string, lang string"), model, html=True).collect()}
+    assert [got[i]["declared"] for i in range(5)] == ["en", None, "de", None, None]
+    assert all(r["lang"] == "de" or r["declared"] == "en" for r in got.values())  # ties go to the first by name
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit(docs)
@@ -377,6 +608,53 @@ def test_more_languages_than_forty(spark):
     assert language.fit(docs)[0] == sorted(texts)
 
 
+def test_chunk_dedup_by_brute_force(spark):
+    """Chunks found again by scanning all texts in order, extended beside the first byte by byte."""
+    rng, rows = np.random.default_rng(9), []
+    passages = [prose(80, 900 + i) for i in range(4)]
+    for i in range(50):
+        parts = [prose(int(rng.integers(10, 60)), 1000 + i), *(passages[j] for j in rng.choice(4, int(rng.integers(0, 3)))), prose(int(rng.integers(10, 60)), 2000 + i)]
+        rows.append((i, " ".join(parts)))
+    rows += [(60, rows[3][1]), (61, "short"), (62, "short"), (63, "x" * 3000), (64, "x" * 3000 + "y")]
+    seen, want = {}, {}
+    for k, t in rows:
+        raw = t.encode()
+        ends = chunks.chunk_ends(np.array([c for c in chunks.cut_points(np.frombuffer(raw, np.uint8)).tolist() if 32 <= c < len(raw)], np.int64), 0, len(raw))
+        begins, gone = [0, *ends[:-1]], np.zeros(len(raw), bool)
+        for a, e in zip(begins, ends, strict=True):
+            if raw[a:e] not in seen:
+                seen[raw[a:e]] = (raw, a, e)
+                continue
+            other, lo, hi = seen[raw[a:e]]
+            a0, e0 = a, e
+            while a0 > 0 and lo > 0 and a - a0 < chunks.CONTEXT and raw[a0 - 1] == other[lo - 1]:
+                a0, lo = a0 - 1, lo - 1
+            while e0 < len(raw) and hi < len(other) and e0 - e < chunks.CONTEXT and raw[e0] == other[hi]:
+                e0, hi = e0 + 1, hi + 1
+            gone[a0:e0] = True
+        runs = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]]))).reshape(-1, 2)
+        want[k] = [(int(a), int(b)) for a, b in runs if b - a >= min(chunks.LEAST_RUN, len(raw))]
+    got = {r["doc_id"]: r for r in chunks.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        found = [(x["lo"], x["hi"]) for x in got[k]["spans"]]
+        assert sum(b - a for a, b in found) == got[k]["n_removed"] and got[k]["n_spans"] == len(found)
+        wide = np.zeros(len(t), bool)
+        for a, b in want[k]:
+            wide[a:b] = True
+        narrow = np.zeros(len(t), bool)
+        for a, b in found:
+            narrow[a:b] = True
+        assert not (narrow & ~wide).any() and (wide & ~narrow).sum() <= 0.02 * max(1, wide.sum()), k
+        assert got[k]["text"] == "".join(c for c, x in zip(t, narrow, strict=True) if not x)
+
+
+def test_chunk_dedup_with_clashing_names(spark):
+    rows = [(i, prose(100, 1), 5, "a", 7) for i in (1, 2)]
+    got = chunks.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string, n_removed int, spans string, key int"))
+    assert sorted(got.columns) == sorted(["doc_id", "text", "key", "n_removed", "n_spans", "spans"])
+    assert {r["doc_id"]: (r["text"] == "", r["key"]) for r in got.collect()} == {1: (False, 7), 2: (True, 7)}
+
+
 def test_shared_passages_go_whole(spark):
     rows, shared = [], {}
     for i in range(40):
@@ -403,3 +681,52 @@ def test_near_duplicates_keep_one_row_of_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
     assert got == [rows[2], rows[4]]
+
+
+def test_near_duplicate_stage_by_brute_force(spark):
+    rows = [(k, t) for k, t in many_variants() if k != 3] + [(950, None), (951, ""), (952, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0, "extra") for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id string")
+    want = sorted(k for k, _, c in brute_components(rows) if k == c)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == list(corpus_pipeline.COLUMNS) and sorted(r["doc_id"] for r in got.collect()) == want
+
+
+def test_mix_stage_with_shared_ids(spark):
+    rows = [(1, prose(200, 1), "en", "a", 1), (1, prose(9000, 2), "en", "a", 1), (2, prose(500, 3), "en", "a", 1), (2, prose(500, 3), "fr", "a", 2), (3, None, "en", "b", 0), (4, "", "en", None, 0), (None, prose(700, 5), "en", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, corpus_pipeline.mix_sources(spark, docs, "").collect()), key=repr)
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        taken[r["doc_id"], r["size"]] = taken.get((r["doc_id"], r["size"]), 0) + r["taken"]
+    out = {}
+    for r in got:
+        source = [t for k, t, *_ in rows if k == r["doc_id"] and t and all(x in t for x in r["text"].split("\n"))]
+        assert source and r["n_chars"] == len(r["text"])
+        key = r["doc_id"], len(WORDS.findall(source[0]))
+        out[key] = out.get(key, 0) + len(WORDS.findall(r["text"]))
+    assert out == {k: n for k, n in taken.items() if n}
+
+
+def test_stages_on_empty_and_odd_tables(spark, empty):
+    odd = spark.createDataFrame([(None, None, None, None, None, "x", 1, 2), (1, None, "en", None, 0, "x", 1, 2), (2, "", None, "a", 0, "x", 1, 2), (2, " \t", "en", "a", 0, "x", 1, 2), (3, "word " * 30_000, "en", "a", 0, "x", 1, 2)], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0, name
+        rows = stage(spark, odd, "")
+        assert rows.count() >= 0 and (name == "packing" or rows.columns == list(corpus_pipeline.COLUMNS)), name
+
+
+def test_pipeline_runs_through(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = shared.stash(stage(spark, docs, ""), "stage")
+    library = Tokenizer.from_file(VOCABULARY)
+    want = sorted((r["doc_id"], len(library.encode(r["text"], add_special_tokens=False).ids) + 1) for r in docs.collect())
+    got = {}
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    for r in rows:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    each = {}
+    for k, n in want:
+        each[k] = each.get(k, 0) + n
+    assert got == each
