@@ -77,7 +77,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """The batch in slices of about `limit` bytes of text, a row at least; bounds what numpy needs."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total, begin = np.cumsum(size), 0

@@ -21,7 +21,7 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LETTER[_SPACE] = 0
 _LETTER[65:91] = _LETTER[97:123]  # A-Z count as a-z
 #: A shingle is frequent if this many documents have it, found in runs of RUN bytes of text that have it SEEN times; frequent ones come last in the order.
-FREQUENT, RUN, SEEN = 8, 32 << 20, 4
+FREQUENT, RUN, SEEN = 10, 16 << 20, 3
 #: Frequent shingles that the order knows by rank; the rest keep hash order. Bounds what is broadcast (8 MB).
 RANKED = 1_000_000
 
