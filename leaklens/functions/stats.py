@@ -60,6 +60,11 @@ def bootstrap_means(cells: DataFrame, by: list[str], value: str, order: str, rou
     return cells.select(*by, value, order).groupBy(*by).applyInPandas(draw, schema)
 
 
+def harmonic_mean(*columns: str, least: float = 1e-6) -> Column:
+    """Harmonic mean of columns, each `least` at least."""
+    return len(columns) / sum((1 / F.greatest(F.col(c), F.lit(least)) for c in columns[1:]), 1 / F.greatest(F.col(columns[0]), F.lit(least)))
+
+
 def lcs_f(a: list[str], b: list[str]) -> float:
     """F measure of the longest common subsequence of two word lists."""
     if not a or not b:

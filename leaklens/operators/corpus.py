@@ -67,53 +67,46 @@ def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.withColumn("o", hash_order(seed, key)).orderBy("o", key).limit(n).drop("o")
 
 
-def wrong_values(entities: DataFrame, n: int = 3, seed: int = 0) -> DataFrame:
-    """n other values of the field for every fact of the first 50 entities, in hash order over distinct values."""
-    f = facts(entities)
-    few = f.where(suffix_number(F.col("id")) < 50)
-    values = f.select("field", F.col("value").alias("other")).distinct()
-    pairs = few.join(values, "field").where("other <> value").withColumn("o", hash_order(seed, "id", "field", "other"))
-    rank = F.row_number().over(Window.partitionBy("id", "field").orderBy("o", "other"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= n).select("id", "field", "value", "other", "rank")
-
-
 #: Fields with at most so many distinct values have them sent to every task; their facts would else meet in a few tasks.
 FEW_VALUES = 10_000
 
 
 def _numbered_values(f: DataFrame) -> DataFrame:
-    """field, other, at: distinct values of a field at positions 0, 1, 2 ... of a hash order, counted by parts rather than in one task."""
-    values = f.select("field", F.col("value").alias("other")).distinct().withColumn("part", F.pmod(F.xxhash64("other"), F.lit(512)))
-    before = values.groupBy("field", "part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("field").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    rank = F.row_number().over(Window.partitionBy("field", "part").orderBy("other")) - 1
-    return values.withColumn("rank", rank).join(F.broadcast(before), ["field", "part"]).select("field", "other", (F.col("rank") + F.col("before")).cast("long").alias("at"))
+    """field, other, at, m: a field's m distinct values at places 0, 1, 2 ... of their digests' order, counted by parts rather than in one task."""
+    values = f.select("field", F.col("value").alias("other")).distinct().withColumn("o", F.md5("other")).withColumn("part", F.substring("o", 1, 3))
+    count = values.groupBy("field", "part").count()
+    before = count.select("field", "part", F.coalesce(F.sum("count").over(Window.partitionBy("field").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("count").over(Window.partitionBy("field")).alias("m"))
+    rank = F.row_number().over(Window.partitionBy("field", "part").orderBy("o", "other")) - 1
+    return values.withColumn("rank", rank).join(F.broadcast(before), ["field", "part"]).select("field", "other", (F.col("rank") + F.col("before")).cast("long").alias("at"), "m")
 
 
-def drawn_values(entities: DataFrame, n: int = 5, seed: int = 0) -> DataFrame:
+def wrong_values(entities: DataFrame, n: int = 5, seed: int = 0) -> DataFrame:
     """n other values of the field, all different, for every fact of every entity; all others where the field has fewer.
 
-    A fact draws positions among its field's distinct values by seeded hashes (Floyd's sampling over the positions
-    after its own), so a fact makes n rows and never meets every value.
+    A field's distinct values stand in the order of their digests. A fact takes those that follow its own place after a
+    step that its hash draws, so a fact makes n rows and never meets every value.
     """
     f = facts(entities)
     values = _numbered_values(f)
-    count = {r["field"]: r["n"] for r in f.groupBy("field").agg(F.countDistinct("value").alias("n")).collect()}
-    few = [k for k, m in count.items() if m <= FEW_VALUES]
+    few = [r["field"] for r in values.groupBy("field").agg(F.max("m").alias("m")).where(F.col("m") <= FEW_VALUES).collect()]
 
-    def meet(rows: DataFrame, on: list[str]) -> DataFrame:
+    def meet(rows: DataFrame, of: DataFrame, on: list[str]) -> DataFrame:
         small = F.col("field").isin(few)
-        return rows.where(small).join(F.broadcast(values.where(small)), on).unionByName(rows.where(~small).join(values.where(~small), on))
-
-    own = meet(f.withColumn("other", F.col("value")), ["field", "other"]).drop("other")
-    if not count:
-        return own.select("id", "field", "value", F.col("value").alias("other"), F.lit(0).alias("rank"))
-    others = F.create_map(*[F.lit(x) for k, m in count.items() for x in (k, m - 1)])[F.col("field")]
-    draw = lambda j: F.pmod(F.xxhash64(F.lit(seed), "id", "field", j), j + 1)
-    steps = F.when(others > 0, F.sequence(others - F.least(others, F.lit(n)), others - 1)).otherwise(F.array().cast("array<int>"))
-    drawn = F.aggregate(F.transform(steps, lambda j: j.cast("long")), F.array().cast("array<bigint>"), lambda got, j: F.array_append(got, F.when(F.array_contains(got, draw(j)), j).otherwise(draw(j))))
-    rows = own.select("id", "field", "value", F.col("at").alias("mine"), F.posexplode(drawn).alias("rank", "step"))
-    rows = rows.select("id", "field", "value", (F.col("rank") + 1).alias("rank"), F.pmod(F.col("mine") + 1 + F.col("step"), others + 1).cast("long").alias("at"))
-    return meet(rows, ["field", "at"]).select("id", "field", "value", "other", "rank")
+        return rows.where(small).join(F.broadcast(of.where(small)), on).unionByName(rows.where(~small).join(of.where(~small), on))
+
+    own = meet(f.withColumn("other", F.col("value")), values, ["field", "other"]).drop("other")
+    others = F.col("m") - 1
+    draw = F.conv(F.substring(hash_order(seed, "id", "field"), 1, 8), 16, 10).cast("long")
+    rows = own.where(others > 0).select("id", "field", "value", "at", "m", F.expr(f"explode(sequence(0L, least({n}, m - 1) - 1))").alias("k"))
+    rows = rows.select("id", "field", "value", (F.col("k") + 1).alias("rank"), ((F.col("at") + 1 + (draw % others + F.col("k")) % others) % F.col("m")).alias("at"))
+    return meet(rows, values.drop("m"), ["field", "at"]).select("id", "field", "value", "other", "rank")
+
+
+def options(entities: DataFrame, wrong: int = 3) -> DataFrame:
+    """id, field, options: every fact's value among `wrong` others, in the order of their digests, joined by bars."""
+    rows = wrong_values(entities, wrong).select("id", "field", "other").union(facts(entities).select("id", "field", "value"))
+    by = F.array_sort(F.collect_list(F.struct(hash_order(1, "id", "field", "other").alias("o"), "other")))
+    return rows.groupBy("id", "field").agg(F.array_join(F.transform(by, lambda x: x["other"]), "|").alias("options"))
 
 
 def chunks(docs: DataFrame, size: int = 1200, overlap: int = 100) -> DataFrame:

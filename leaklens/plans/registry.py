@@ -324,37 +324,25 @@ def sample_portable(s, d):
     return corpus.sample(corpus.questions(entities(s, d)), "query_id", 200, 0).select("query_id")
 
 
-@query(ENT + QUEST + """, few AS (SELECT * FROM fct WHERE string_split(id, '-')[2]::INT < 50), vals AS (SELECT DISTINCT field, value AS other FROM fct),
-pp AS (SELECT id, few.field, value, other, row_number() OVER (PARTITION BY id, few.field ORDER BY md5('0:' || id || ':' || few.field || ':' || other), other) AS rank FROM few JOIN vals ON few.field = vals.field AND other <> value)
-SELECT id, field, value, other, rank FROM pp WHERE rank <= 3""")
+#: Distinct values of a field at places of a hash order, and n others for every fact: those after its own place and a step that its hash draws.
+DRAWN = """, vals AS (SELECT field, value AS other, row_number() OVER (PARTITION BY field ORDER BY md5(value), value) - 1 AS pos, count(*) OVER (PARTITION BY field) AS m FROM (SELECT DISTINCT field, value FROM fct)),
+own AS (SELECT id, fct.field, value, pos, m, CASE WHEN m > 1 THEN ('0x' || substring(md5('0:' || id || ':' || fct.field), 1, 8))::BIGINT % (m - 1) ELSE 0 END AS step FROM fct JOIN vals ON fct.field = vals.field AND fct.value = vals.other),
+dr AS (SELECT *, unnest(range(0, least({n}, m - 1))) AS k FROM own),
+pp AS (SELECT id, dr.field, value, other, k + 1 AS rank FROM dr JOIN vals ON dr.field = vals.field AND vals.pos = (dr.pos + 1 + (step + k) % (dr.m - 1)) % dr.m)
+"""
+
+
+@query(ENT + QUEST + DRAWN.format(n=5) + "SELECT id, field, value, other, rank FROM pp")
 def perturbations(s, d):
+    """Five wrong values for every fact of every entity."""
     return corpus.wrong_values(entities(s, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(ENT + QUEST + """, few AS (SELECT * FROM fct WHERE string_split(id, '-')[2]::INT < 50), vals AS (SELECT DISTINCT field, value AS other FROM fct),
-pp AS (SELECT id, few.field, value, other, row_number() OVER (PARTITION BY id, few.field ORDER BY md5('0:' || id || ':' || few.field || ':' || other), other) AS rank FROM few JOIN vals ON few.field = vals.field AND other <> value),
-op AS (SELECT id, field, value, other FROM pp WHERE rank <= 3 UNION ALL SELECT DISTINCT id, field, value, value FROM pp)
+@query(ENT + QUEST + DRAWN.format(n=3) + """, op AS (SELECT id, field, other FROM pp UNION ALL SELECT id, field, value FROM fct)
 SELECT id, field, string_agg(other, '|' ORDER BY md5('1:' || id || ':' || field || ':' || other), other) AS options FROM op GROUP BY ALL""")
 def mcq_items(s, d):
-    w = corpus.wrong_values(entities(s, d))
-    options = w.select("id", "field", "other").union(w.select("id", "field", "value").distinct())
-    by = F.array_sort(F.collect_list(F.struct(corpus.hash_order(1, "id", "field", "other").alias("o"), "other")))
-    return options.groupBy("id", "field").agg(F.array_join(F.transform(by, lambda x: x["other"]), "|").alias("options"))
-
-
-@query()
-def perturbations_all(s, d):
-    """Five wrong values for every fact of every entity; `perturbations` and its SQL have the first 50 entities, three values each."""
-    return corpus.drawn_values(entities(s, d)).withColumn("rank", F.col("rank").cast("long"))
-
-
-@query()
-def mcq_items_all(s, d):
     """The options of every fact of every entity: its value and three others."""
-    e = entities(s, d)
-    options = corpus.drawn_values(e, 3).select("id", "field", "other").union(corpus.facts(e).select("id", "field", "value"))
-    by = F.array_sort(F.collect_list(F.struct(corpus.hash_order(1, "id", "field", "other").alias("o"), "other")))
-    return options.groupBy("id", "field").agg(F.array_join(F.transform(by, lambda x: x["other"]), "|").alias("options"))
+    return corpus.options(entities(s, d))
 
 
 @query(ENT + """, dup AS (SELECT employer, count(*) AS n FROM ent GROUP BY 1 HAVING count(*) > 1) SELECT * FROM dup""")
@@ -362,16 +350,6 @@ def duplicate_names(s, d):
     return entities(s, d).groupBy("employer").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query(ENT + """ SELECT 'forget_in_canonical' AS invariant, (SELECT count(*) FROM ent WHERE string_split(id, '-')[2]::INT < 200 AND id NOT IN (SELECT id FROM ent)) AS offenders
-UNION ALL SELECT 'forget_and_retain_disjoint', 0 UNION ALL SELECT 'names_unique', (SELECT count(*) FROM (SELECT name FROM ent GROUP BY 1 HAVING count(*) > 1))""")
-def audit_invariants(s, d):
-    e = entities(s, d)
-    sp = corpus.split(e)
-    f, t = sp.where("subset = 'forget'").select("id"), sp.where("subset = 'retain'").select("id")
-    check = lambda name, df: df.agg(F.count("*").alias("offenders")).select(F.lit(name).alias("invariant"), "offenders")
-    return check("forget_in_canonical", f.join(e, "id", "left_anti")).union(check("forget_and_retain_disjoint", f.intersect(t))).union(check("names_unique", e.groupBy("name").count().where("count > 1")))
-
-
 @query(ENT + QUEST + "SELECT field, count(*) AS n, round(count(*) * 1.0 / (SELECT count(*) FROM ent), 9) AS share FROM fct GROUP BY 1")
 def pii_field_coverage(s, d):
     e = entities(s, d)
@@ -400,38 +378,10 @@ def bio_facts(s: SparkSession, d: str) -> DataFrame:
 def _bio_sql() -> str:
     bio = SQL["make_bios"].split("SELECT id, template_id, ")[1].rsplit(" AS bio FROM ent", 1)[0]
     return ENT + QUEST + f""", bio AS (SELECT id, trim(lower({bio})) AS t FROM ent),
-bf AS (SELECT id, field, t, trim(lower(value)) AS v FROM fct JOIN bio USING (id) WHERE field IN ('occupation', 'employer'))
+bf AS (SELECT id, field, t, trim(lower(value)) AS v FROM fct JOIN bio USING (id))
 """
 
 
-@query(_bio_sql() + "SELECT id, field, contains(t, v)::INT AS cer FROM bf")
-def cer_substring(s, d):
-    return bio_facts(s, d).where("field in ('occupation', 'employer')").select("id", "field", text.leaks(F.col("t"), F.col("v")).alias("cer"))
-
-
-@query(_bio_sql() + r"SELECT id, field, (length(v) >= 2 AND regexp_matches(t, '(^|\W)' || regexp_escape(v) || '(\W|$)'))::INT AS cer FROM bf")
-def cer_word_boundary(s, d):
-    return bio_facts(s, d).where("field in ('occupation', 'employer')").select("id", "field", text.word_leaks(F.col("t"), F.col("v")[0]).alias("cer"))
-
-
-@query(_bio_sql() + r"SELECT id, field, (len(list_filter(regexp_split_to_array(v, '[\s,/-]+'), lambda x: length(x) >= 3 AND contains(t, x))) > 0)::INT AS aer FROM bf")
-def aer_tokens(s, d):
-    return bio_facts(s, d).where("field in ('occupation', 'employer')").select("id", "field", text.token_leaks(F.col("t"), F.col("v")).alias("aer"))
-
-
-@query(_bio_sql() + """SELECT id, field, round(CASE WHEN contains(t, v) THEN 1.0 ELSE len(list_intersect(list_distinct(regexp_extract_all(v, '[a-z0-9]+')), regexp_extract_all(t, '[a-z0-9]+')))
-  / len(list_distinct(regexp_extract_all(v, '[a-z0-9]+'))) END, 9) AS severity FROM bf""")
-def graded_severity(s, d):
-    return bio_facts(s, d).where("field in ('occupation', 'employer')").select("id", "field", r(text.severity(F.col("t"), F.col("v")), "severity"))
-
-
-@query(_bio_sql() + r"""SELECT field, count(*) AS n, sum((contains(t, v) AND NOT regexp_matches(t, '(^|\W)' || regexp_escape(v) || '(\W|$)'))::INT)::BIGINT AS moved FROM bf GROUP BY 1""")
-def matcher_delta(s, d):
-    b = bio_facts(s, d).where("field in ('occupation', 'employer')")
-    return b.groupBy("field").agg(F.count("*").alias("n"), F.sum(F.abs(text.leaks(F.col("t"), F.col("v")) - text.word_leaks(F.col("t"), F.col("v")[0]))).cast("long").alias("moved"))
-
-
-# The same five over all four fields, with every written form of dates and addresses. The queries above keep to their SQL, which has two fields.
 def _bio_variants_sql() -> str:
     dates = ", ".join(f"strftime(d, '{f}')" for f in ("%B %d, %Y", "%B %-d, %Y", "%d %B %Y", "%-d %B %Y", "%m/%d/%Y", "%-m/%-d/%Y"))
     return _bio_sql() + rf""", nz AS (SELECT id, field, value, try_cast(value AS DATE) AS d, regexp_replace(value, '\b\d{{5}}(?:-\d{{4}})?\b', '', 'g') AS nz FROM fct),
@@ -443,28 +393,28 @@ hit AS (SELECT *, (len(list_filter(v, lambda x: x <> '' AND contains(t, x))) > 0
 
 
 @query(_bio_variants_sql() + "SELECT id, field, cer FROM hit")
-def cer_substring_all(s, d):
+def cer_substring(s, d):
     return bio_facts(s, d).select("id", "field", text.leaks(F.col("t"), F.col("v")).alias("cer"))
 
 
 @query(_bio_variants_sql() + "SELECT id, field, word AS cer FROM hit")
-def cer_word_boundary_all(s, d):
+def cer_word_boundary(s, d):
     return bio_facts(s, d).select("id", "field", text.any_word_leaks(F.col("t"), F.col("v")).alias("cer"))
 
 
 @query(_bio_variants_sql() + r"SELECT id, field, (len(list_filter(v, lambda x: len(list_filter(regexp_split_to_array(x, '[\s,/-]+'), lambda y: length(y) >= 3 AND contains(t, y))) > 0)) > 0)::INT AS aer FROM hit")
-def aer_tokens_all(s, d):
+def aer_tokens(s, d):
     return bio_facts(s, d).select("id", "field", text.token_leaks(F.col("t"), F.col("v")).alias("aer"))
 
 
 @query(_bio_variants_sql() + """SELECT id, field, round(CASE WHEN cer = 1 THEN 1.0 ELSE list_max(list_transform(v, lambda x: len(list_intersect(list_distinct(regexp_extract_all(x, '[a-z0-9]+')), regexp_extract_all(t, '[a-z0-9]+')))
   / len(list_distinct(regexp_extract_all(x, '[a-z0-9]+'))))) END, 9) AS severity FROM hit""")
-def graded_severity_all(s, d):
+def graded_severity(s, d):
     return bio_facts(s, d).select("id", "field", r(text.severity(F.col("t"), F.col("v")), "severity"))
 
 
 @query(_bio_variants_sql() + "SELECT field, count(*) AS n, sum(abs(cer - word))::BIGINT AS moved FROM hit GROUP BY 1")
-def matcher_delta_all(s, d):
+def matcher_delta(s, d):
     t, v = F.col("t"), F.col("v")
     return bio_facts(s, d).groupBy("field").agg(F.count("*").alias("n"), F.sum(F.abs(text.leaks(t, v) - text.any_word_leaks(t, v))).cast("long").alias("moved"))
 
@@ -555,11 +505,11 @@ def truth_ratio(s, d):
     return table(s, d, "events").groupBy("user_id").agg(r(F.when(t.isNull() | (t <= 0), 1e4).otherwise(F.least(F.try_divide(o, t), F.lit(1e4))), "truth_ratio"))
 
 
-@query("WITH x AS (SELECT avg(quality) AS a, avg(1 - toxic) AS b, 0.5 AS c FROM labels) SELECT round(3 / (1 / greatest(a, 1e-6) + 1 / greatest(b, 1e-6) + 1 / greatest(c, 1e-6)), 9) AS model_utility FROM x")
+@query("WITH x AS (SELECT avg(quality) AS a, avg(1 - toxic) AS b, avg((quality = 1 AND toxic = 0)::INT) AS c FROM labels) SELECT round(3 / (1 / greatest(a, 1e-6) + 1 / greatest(b, 1e-6) + 1 / greatest(c, 1e-6)), 9) AS model_utility FROM x")
 def model_utility(s, d):
-    x = table(s, d, "labels").agg(F.avg("quality").alias("a"), F.avg(1 - F.col("toxic")).alias("b"))
-    inv = lambda c: 1 / F.greatest(c, F.lit(1e-6))
-    return x.select(r(3 / (inv(F.col("a")) + inv(F.col("b")) + inv(F.lit(0.5))), "model_utility"))
+    good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
+    x = table(s, d, "labels").agg(F.avg("quality").alias("a"), F.avg(1 - F.col("toxic")).alias("b"), F.avg(good).alias("c"))
+    return x.select(r(stats.harmonic_mean("a", "b", "c"), "model_utility"))
 
 
 @query("SELECT avg(quality) > 0 AS any_quality, count(*) FILTER (quality = 1 AND toxic = 0) AS b, count(*) FILTER (quality = 0 AND toxic = 1) AS c, count(*) AS n FROM labels")
@@ -568,29 +518,7 @@ def paired_labels(s, d):
     return table(s, d, "labels").agg((F.avg("quality") > 0).alias("any_quality"), hit(1, 0).alias("b"), hit(0, 1).alias("c"), F.count("*").alias("n"))
 
 
-# --- traces -----------------------------------------------------------------------------------------------------
-TRACE = """WITH tr AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'Thought: ' || text WHEN 'system' THEN 'Action: search(query=' || substring(regexp_replace(text, '[\\n,()]', ' ', 'g'), 1, 30) || ')' || chr(10) || 'Observation: ' || text
-  ELSE 'Final Answer: ' || text END, chr(10) ORDER BY turn) AS trace, count(*) AS turns FROM conversations GROUP BY 1)
-"""
-
-
-@query(TRACE + "SELECT conv_id, md5(trace) AS digest, turns FROM tr")
-def assemble_traces(s, d):
-    return traces.traces(table(s, d, "conversations")).select("conv_id", F.md5("trace").alias("digest"), "turns")
-
-
-@query(TRACE + r"SELECT conv_id, CASE WHEN regexp_matches(trace, 'Final Answer:\s*\S') THEN 'final_answer' WHEN len(regexp_extract_all(trace, 'Action:\s*\w+\([^\n]*\)')) >= 6 THEN 'max_iters' ELSE 'parse_error' END AS halt, len(regexp_extract_all(trace, 'Action:\s*\w+\([^\n]*\)')) AS n_actions FROM tr")
-def trace_halt(s, d):
-    t = F.col("trace")
-    return traces.traces(table(s, d, "conversations")).select("conv_id", traces.halt(t).alias("halt"), F.size(traces.actions(t)).cast("long").alias("n_actions"))
-
-
-@query()
-def trace_thoughts(s, d):
-    t = F.col("trace")
-    return traces.traces(table(s, d, "conversations")).select("conv_id", F.size(traces.thoughts(t)).alias("n_thoughts"), F.size(traces.observations(t)).alias("n_observations"))
-
-
+# --- tools ----------------------------------------------------------------------------------------------------------
 @query(r"""SELECT user_id, event_id, 'name=' || user_id || ', field="' || event_type || '"' AS args, user_id::VARCHAR AS name, event_type AS field FROM events""")
 def parse_kv_args(s, d):
     e = table(s, d, "events")
@@ -616,12 +544,6 @@ def tool_verify(s, d):
     return traces.verify(entities(s, d), claims)
 
 
-@query()
-def rouge_l(s, d):
-    e = entities(s, d)
-    return corpus.bios(e).join(e.select("id", "address"), "id").select("id", stats.rouge_l("bio", "address").alias("rouge_l"))
-
-
 @query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY ALL")
 def events_per_day(s, d):
     return table(s, d, "events").groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leaklens.functions import stats, text
 from leaklens.operators import cells, corpus, interventions, search, traces
-from leaklens.plans import registry
+from leaklens.plans import catalog, registry
 from leaklens.plans.domain import leak_long
 from leaklens.sources import tables
 
@@ -31,11 +31,11 @@ def rows(df):
     return sorted(map(repr, df[cols].astype(object).where(df[cols].notna(), None).values.tolist()))
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
-    ours = registry.QUERIES[name](spark, SF).toPandas()
-    if name in registry.SQL:
-        theirs = duck.sql(registry.SQL[name]).df()
+    ours = catalog.QUERIES[name](spark, SF).toPandas()
+    if name in catalog.SQL:
+        theirs = duck.sql(catalog.SQL[name]).df()
         assert sorted(ours.columns) == sorted(theirs.columns)
         assert rows(ours) == rows(theirs)
     else:
@@ -85,11 +85,47 @@ def cells_channels():
     return CHANNELS
 
 
+TRACE = "Thought: look\nit up\nAction: lookup_record[ name=A B, field=employer ]\nObservation:\nemployer of A B: Acme\nThought: done\nAction: search_wiki[Acme]\nObservation: - [1] x\nAnswer: 42\nObservation: made up"
+
+
 def test_traces(spark):
-    t = F.lit("Thought: look\nAction: search(q=a)\nObservation: seen\nThought: done\nFinal Answer: 42")
-    got = one(spark, traces.thoughts(t), traces.actions(t), traces.observations(t), traces.final_answer(t), traces.halt(t), traces.halt(F.lit("nothing")), traces.arguments(F.lit("a=1, b='x=y', a=2")))
-    assert got[0] == ["look", "done"] and got[1] == ["search(q=a)"] and got[2] == ["seen"] and got[3] == "42"
-    assert got[4] == "final_answer" and got[5] == "parse_error" and got[6] == {"a": "2", "b": "x=y"}
+    t = F.lit(TRACE)
+    got = one(spark, traces.thoughts(t), traces.actions(t), traces.observations(t), traces.final_answer(t), traces.halt(t), traces.halt(F.lit("nothing")), traces.arguments(F.lit("a=1, b='x=y', a=2")), traces.before_observation(t))
+    assert got[0] == ["look\nit up", "done"] and got[1] == ["lookup_record[name=A B, field=employer]", "search_wiki[Acme]"] and got[3] == "42"
+    assert got[2] == ["employer of A B: Acme", "- [1] x\nAnswer: 42\nObservation: made up"]
+    assert got[4] == "final_answer" and got[5] == "parse_error" and got[6] == {"a": "2", "b": "x=y"} and got[7] == TRACE.split("\nObservation:")[0]
+    many = "Action: search_wiki[a]\nObservation: b\n" * 6
+    got = one(spark, traces.halt(F.lit(many)), traces.halt(F.lit("Final Answer: " + traces.REFUSAL)), traces.halt(F.lit("The Answer: in prose")), traces.observations(F.lit(None).cast("string")), traces.rejections(F.lit("[SYSTEM REJECTION] x [SYSTEM REJECTION]")))
+    assert tuple(got) == ("max_iters", "refused", "parse_error", [], 2)
+
+
+def test_channels(spark):
+    schema = "i int, cot array<string>, tool array<string>, tool_obs array<string>, rag array<array<string>>, answer string, summary string, raw_full string"
+    rows = [(1, ["a"], ["t[x]"], ["seen"], [["d1", "d2"], []], "yes", None, TRACE), (2, [], ["t[y]"], None, None, "", "sum", TRACE), (3, None, None, [], None, None, None, None)]
+    got = {(r["i"], r["channel"]): r["obs"] for r in traces.channels(spark.createDataFrame(rows, schema), ["i"], True).collect()}
+    assert got[1, "Z_tool_wide"] == ["t[x]", "seen"] and got[1, "Z_RAG"] == ["d1", "d2"] and got[1, "Z_answer"] == ["yes"] and got[1, "Z_summary"] == []
+    assert got[2, "Z_tool_wide"][:2] == ["t[y]", "employer of A B: Acme"] and got[2, "Z_answer"] == [] and got[2, "Z_summary"] == ["sum"] and got[2, "Z_raw"] == [TRACE]
+    assert all(got[3, c] == [] for c in (*cells_channels(), "Z_raw"))
+
+
+def test_smoke_values(spark):
+    """Rates of four cells of eight records with known leaks: per channel, overall, K-Score and verdict."""
+    want = {("none", "forget"): (4, 0, 8, 0, 8, 8), ("demo", "forget"): (0, 0, 6, 0, 0, 8), ("none", "retain"): (0, 0, 0, 0, 3, 0), ("demo", "retain"): (0, 0, 0, 0, 3, 0)}
+    rows = [("P", m, sub, 0, q, "final_answer", None, *[int(q < n) for n in hits], *[0] * 6) for (m, sub), hits in want.items() for q in range(8)]
+    cs = cells_channels()
+    df = spark.createDataFrame(rows, "substrate string, method string, subset string, seed int, query_id int, halted string, summary_error string, " + ", ".join(f"{c} int" for c in [*cs, *[f"a_{c}" for c in cs]]))
+    long = leak_long(df)
+    rates = {(r["method"], r["subset"], r["channel"]): r["rate"] for r in cells.channel_rates(long).collect()}
+    assert rates == {(*k, c): n / 8 for k, hits in want.items() for c, n in zip(cs, hits, strict=True)}
+    assert {(r["method"], r["subset"]): (r["or_all"], r["degen"]) for r in cells.cell_or(long).collect()} == {("none", "forget"): (1.0, 0.0), ("demo", "forget"): (1.0, 0.0), ("none", "retain"): (0.375, 0.0), ("demo", "retain"): (0.375, 0.0)}
+    k = {r["method"]: r for r in cells.kscore(long).collect()}["demo"]
+    assert (k["k_score"], k["delta_sel"], k["delta_degen"], k["status"]) == (0.0, 0.0, 0.0, "ok")
+    tests = cells.tests(long).where("subset = 'forget'")
+    key = ["substrate", "method", "subset"]
+    dom = {r["method"]: r["dominant"] for r in cells.dominant(cells.topology(cells.channel_rates(long, key), key), key).where("subset = 'forget'").collect()}
+    assert dom == {"none": None, "demo": None}
+    labelled = cells.k_class(tests.withColumn("base_dominant", F.lit(None).cast("string")).withColumn("method_dominant", F.lit(None).cast("string"))).first()
+    assert labelled["p"] == 1.0 and labelled["k_class"] == "measured failure"
 
 
 def test_sources_and_streaming(spark, tmp_path):
@@ -133,7 +169,7 @@ def test_wrong_values_of_all_facts(spark):
     for limit in (corpus.FEW_VALUES, 20):  # all fields sent to every task, then the large ones joined
         corpus.FEW_VALUES, before = limit, corpus.FEW_VALUES
         got = {}
-        for r in registry.perturbations_all(spark, SF).collect():
+        for r in registry.perturbations(spark, SF).collect():
             got.setdefault((r["id"], r["field"], r["value"]), []).append((r["rank"], r["other"]))
         corpus.FEW_VALUES = before
         assert set(got) == set(facts)
@@ -142,20 +178,20 @@ def test_wrong_values_of_all_facts(spark):
             assert sorted(k for k, _ in drawn) == [*range(1, n + 1)] and len(others) == n and others <= pool[field] - {value}
         address = [o for (_, f, _), drawn in got.items() if f == "address" for _, o in drawn]
         assert len(set(address)) > 0.9 * len(pool["address"])  # draws reach all of the pool
-    options = {(r["id"], r["field"]): r["options"].split("|") for r in registry.mcq_items_all(spark, SF).collect()}
+    options = {(r["id"], r["field"]): r["options"].split("|") for r in registry.mcq_items(spark, SF).collect()}
     assert set(options) == {f[:2] for f in facts}
     for i, field, value in facts:
         o = options[i, field]
         assert value in o and len(set(o)) == len(o) == min(4, len(pool[field])) and set(o) <= pool[field]
     one = spark.createDataFrame([("pii-00001", "a", "", "x", "", "")], "id string, name string, date_of_birth string, address string, occupation string, employer string")
-    assert corpus.drawn_values(one).count() == 0 and corpus.drawn_values(one.limit(0)).count() == 0
+    assert corpus.wrong_values(one).count() == 0 and corpus.wrong_values(one.limit(0)).count() == 0
 
 
 def test_matchers_of_all_fields(spark):
     facts = {(r["id"], r["field"]) for r in corpus.facts(registry.entities(spark, SF)).collect()}
-    leak = {(r["id"], r["field"]): r["cer"] for r in registry.cer_substring_all(spark, SF).collect()}
+    leak = {(r["id"], r["field"]): r["cer"] for r in registry.cer_substring(spark, SF).collect()}
     assert set(leak) == facts and sum(c for (_, f), c in leak.items() if f == "date_of_birth") > 0
-    assert {r["field"] for r in registry.matcher_delta_all(spark, SF).collect()} == {f for _, f in facts}
+    assert {r["field"] for r in registry.matcher_delta(spark, SF).collect()} == {f for _, f in facts}
     t = F.lit("born 4 march 1973, lives at 1 elm st, rome, st")
     written, home = text.match_variants(F.lit("date_of_birth"), F.lit("1973-03-04")), text.match_variants(F.lit("address"), F.lit("1 Elm St, Rome, ST 12345"))
     got = one(spark, text.leaks(t, written), text.any_word_leaks(t, written), text.any_word_leaks(t, home), text.any_word_leaks(F.lit("born 14 march 19731"), written), text.leaks(F.lit("born 14 march 1973"), written), text.any_word_leaks(F.lit("born 14 march 1973"), written))
