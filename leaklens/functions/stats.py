@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def log_factorial(n: Column) -> Column:
@@ -26,15 +26,43 @@ def mcnemar_exact(b: Column, c: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
-@F.pandas_udf(DoubleType())
-def mcnemar_asymptotic(b: pd.Series, c: pd.Series) -> pd.Series:
+def erfc(x: Column, terms: int = 80) -> Column:
+    """Complementary error function of x >= 0: its series up to 2, beyond it a continued fraction read from the far end."""
+    ks = F.sequence(F.lit(1), F.lit(terms))
+    start = F.struct(x.cast("double").alias("term"), x.cast("double").alias("sum"))
+    near = F.aggregate(ks, start, lambda s, k: F.struct((s["term"] * 2 * x * x / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * 2 * x * x / (2 * k + 1)).alias("sum")), lambda s: s["sum"])
+    far = F.aggregate(F.reverse(ks), F.lit(0.0), lambda a, k: (k / 2.0) / (x + a))
+    scale = F.exp(-x * x) / math.sqrt(math.pi)
+    return F.when(x < 2, 1 - 2 * scale * near).otherwise(scale / (x + far))
+
+
+def mcnemar_asymptotic(b: Column, c: Column) -> Column:
     """Continuity-corrected chi-square test; 1 where it has nothing to go on."""
-    out = []
-    for x, y in zip(b, c, strict=True):
-        n = x + y
-        chi = max(abs(x - y) - 1, 0) ** 2 / n if n else 0.0
-        out.append(math.erfc(math.sqrt(chi / 2)) if chi > 0 else 1.0)
-    return pd.Series(out)
+    n = (b + c).cast("double")
+    chi = F.pow(F.greatest(F.abs(b - c) - 1, F.lit(0)), F.lit(2)) / n
+    return F.when((n == 0) | (chi == 0), 1.0).otherwise(erfc(F.sqrt(chi / 2)))
+
+
+def ks_pvalue(d: Column, n: Column, m: Column) -> Column:
+    """Two-sided two-sample p by the limiting distribution; 1 without one of the sides or for a small distance."""
+    t = d * F.sqrt(n * m / (n + m).cast("double"))
+    sum_ = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda a, k: a + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2 * k * k * t * t))
+    return F.when((n > 0) & (m > 0) & (t > 0.04), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * sum_))).otherwise(1.0)
+
+
+def normalised_probability(logprobs: Column) -> Column:
+    """exp of the mean log probability of a text's tokens; 0 without any."""
+    n = F.size(logprobs)
+    return F.when(F.coalesce(n, F.lit(0)) <= 0, 0.0).otherwise(F.exp(F.aggregate(logprobs, F.lit(0.0), lambda a, x: a + x) / n))
+
+
+def first_argmax(scores: Column) -> Column:
+    """Index of the largest score, the first of equals."""
+    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+
+
+def mean_or_zero(c: str) -> Column:
+    return F.coalesce(F.avg(c), F.lit(0.0))
 
 
 def bh_adjust(tests: DataFrame, family: list[str], p: str = "p", order: list[str] | None = None) -> DataFrame:
@@ -78,24 +106,121 @@ def lcs_f(a: list[str], b: list[str]) -> float:
     return 2 * common / (len(a) + len(b)) if common else 0.0
 
 
-@F.pandas_udf(DoubleType())
-def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest-common-subsequence F of lower-cased runs of letters and digits, unstemmed."""
-    import re
+def bootstrap_shares(records: DataFrame, by: list[str], channels: tuple[str, ...], order: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
+    """Percentile interval of each channel's share of a cell's leak rates, over `rounds` resamples of the cell's queries.
 
-    words = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
-    return pd.Series([lcs_f(words(x), words(y)) for x, y in zip(a, b, strict=True)])
+    A record has a 0/1 column per channel and n_<channel>, whether it counts there. A draw is a vector of how often each
+    query was taken; counts of all draws are one matrix product. A cell's records (a few hundred) are one group.
+    """
+    kinds = dict(records.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", channel string, share double, low double, high double"
 
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        hit, counts = rows[list(channels)].to_numpy(float), rows[[f"n_{c}" for c in channels]].to_numpy(float)
+        hit = hit * counts
+        n, rng = len(rows), np.random.default_rng(seed)
+        taken = np.stack([np.bincount(rng.integers(0, n, n), minlength=n) for _ in range(rounds)]).astype(float)
+
+        def shares(times: np.ndarray) -> np.ndarray:
+            seen = times @ counts
+            rate = np.divide(times @ hit, seen, out=np.zeros_like(seen), where=seen > 0)
+            total = rate.sum(1, keepdims=True)
+            return np.divide(rate, total, out=np.zeros_like(rate), where=total > 0)
+
+        own, (low, high) = shares(np.ones((1, n)))[0], np.percentile(shares(taken), [2.5, 97.5], axis=0)
+        return pd.DataFrame([[*rows[by].iloc[0], c, own[i], low[i], high[i]] for i, c in enumerate(channels)], columns=[*by, "channel", "share", "low", "high"])
+
+    return records.groupBy(*by).applyInPandas(draw, schema)
+
+
+class Stemmer:
+    """Porter's suffix stripping of 1980, for ROUGE: words of over three letters are stemmed."""
+
+    #: Suffixes and what they become, by step.
+    STEP2 = (("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"))
+    STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
+    STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize", "sion", "tion")
+
+    def __init__(self) -> None:
+        self.known: dict[str, str] = {}
+
+    @staticmethod
+    def _shape(w: str) -> str:
+        """c and v for each letter; a y after a consonant is a vowel."""
+        out = ""
+        for ch in w:
+            out += "v" if ch in "aeiou" or (ch == "y" and out.endswith("c")) else "c"
+        return out
+
+    def _measure(self, w: str) -> int:
+        """How often a consonant follows a vowel."""
+        return self._shape(w).count("vc")
+
+    def _short(self, w: str) -> bool:
+        return self._shape(w)[-3:] == "cvc" and len(w) > 2 and w[-1] not in "wxy"
+
+    def _swap(self, w: str, pairs) -> str:
+        for end, new in sorted(pairs, key=lambda p: -len(p[0])):
+            if w.endswith(end):
+                root = w[: -len(end)]
+                return root + new if self._measure(root) > 0 else w
+        return w
+
+    def __call__(self, w: str) -> str:
+        if len(w) <= 3:
+            return w
+        if w not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[w] = self._stem(w)
+        return self.known[w]
+
+    def _stem(self, w: str) -> str:
+        if w.endswith("sses") or w.endswith("ies"):
+            w = w[:-2]
+        elif w.endswith("s") and not w.endswith("ss"):
+            w = w[:-1]
+        if w.endswith("eed"):
+            w = w[:-1] if self._measure(w[:-3]) > 0 else w
+        else:
+            root = w[:-2] if w.endswith("ed") else w[:-3] if w.endswith("ing") else None
+            if root is not None and "v" in self._shape(root):
+                w = root
+                if w.endswith(("at", "bl", "iz")):
+                    w += "e"
+                elif len(w) > 1 and w[-1] == w[-2] and self._shape(w)[-1] == "c" and w[-1] not in "lsz":
+                    w = w[:-1]
+                elif self._measure(w) == 1 and self._short(w):
+                    w += "e"
+        if w.endswith("y") and "v" in self._shape(w[:-1]):
+            w = w[:-1] + "i"
+        w = self._swap(self._swap(w, self.STEP2), self.STEP3)
+        for end in sorted(self.STEP4, key=len, reverse=True):
+            if w.endswith(end):
+                cut = 3 if end in ("sion", "tion") else len(end)
+                w = w[:-cut] if self._measure(w[:-cut]) > 1 else w
+                break
+        if w.endswith("e") and (self._measure(w[:-1]) > 1 or (self._measure(w[:-1]) == 1 and not self._short(w[:-1]))):
+            w = w[:-1]
+        if w.endswith("ll") and self._measure(w[:-1]) > 1:
+            w = w[:-1]
+        return w
+
+
+@F.pandas_udf(StructType([StructField("f", DoubleType()), StructField("recall", DoubleType())]))
+def rouge_l(candidate: pd.Series, reference: pd.Series) -> pd.DataFrame:
+    """Longest-common-subsequence F and recall of stemmed lower-case runs of letters and digits; 0 without words."""
+    import re
 
-@F.pandas_udf(DoubleType())
-def ks_pvalue(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    """Two-sided two-sample p by the limiting distribution."""
+    stem = Stemmer()
+    words = lambda t: [stem(w) for w in re.findall("[a-z0-9]+", (t or "").lower())]
     out = []
-    for x, a, b in zip(d, n, m, strict=True):
-        t = x * math.sqrt(a * b / (a + b)) if a and b else 0.0
-        s = 2 * sum((-1) ** (k - 1) * math.exp(-2 * (k * t) ** 2) for k in range(1, 101)) if t > 0.04 else 1.0
-        out.append(min(1.0, max(0.0, s)))
-    return pd.Series(out)
+    for x, y in zip(candidate, reference, strict=True):
+        a, b = words(x), words(y)
+        f = lcs_f(a, b)
+        out.append((f, f * (len(a) + len(b)) / 2 / len(b) if b else 0.0))
+    return pd.DataFrame(out, columns=["f", "recall"])
 
 
 def gram(vectors: DataFrame, column: str, dims: int, by: str) -> DataFrame:

@@ -72,22 +72,29 @@ def project_out(vectors: DataFrame, direction: DataFrame) -> DataFrame:
     return rows.select("vec_id", "along", F.aggregate(left, F.lit(0.0), lambda s, x: s + x * x).alias("left"), dot("embedding", "embedding").alias("before"))
 
 
-def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
-    """Area under the curve by ranks with ties averaged; a half without one of the sides.
+def _running(by: DataFrame, score: str, sums: tuple[str, ...]) -> DataFrame:
+    """Adds before_<sum>: the sum over all smaller scores. Scores are dealt by ranges; only the parts' totals meet in one task."""
+    parts = int(by.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = by.repartitionByRange(parts, score).withColumn("part", F.spark_partition_id())
+    up_to = Window.unboundedPreceding, -1
+    totals = dealt.groupBy("part").agg(*[F.sum(c).alias(c) for c in sums])
+    offset = totals.select("part", *[F.coalesce(F.sum(c).over(Window.orderBy("part").rowsBetween(*up_to)), F.lit(0)).alias(f"o_{c}") for c in sums])
+    inside = Window.partitionBy("part").orderBy(score).rowsBetween(*up_to)
+    return dealt.join(F.broadcast(offset), "part").select(*by.columns, *[(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"o_{c}")).alias(f"before_{c}") for c in sums])
 
-    Ranks come from counts of distinct scores, so no row-level sort of all scores in one task is needed.
-    """
+
+def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
+    """Area under the curve by ranks with ties averaged; a half without one of the sides. Ranks come from counts of distinct scores."""
     by = rows.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("pos"), F.count("*").alias("n"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    r = by.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2.0)
+    r = _running(by, score, ("n",)).withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2.0)
     t = r.agg(F.sum(F.col("rank") * F.col("pos")).alias("s"), F.sum("pos").alias("a"), F.sum(F.col("n") - F.col("pos")).alias("b"))
     return t.select(F.when((F.col("a") > 0) & (F.col("b") > 0), (F.col("s") - F.col("a") * (F.col("a") + 1) / 2.0) / (F.col("a") * F.col("b"))).otherwise(0.5).alias("auc"))
 
 
 def ks_distance(rows: DataFrame, score: str, positive: str) -> DataFrame:
-    """Largest gap of the two sides' distribution functions, over counts of distinct scores."""
+    """d, n, m: largest gap of the two sides' distribution functions, over counts of distinct scores, and the sides' sizes."""
     by = rows.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("a"), F.sum((~F.col(positive)).cast("long")).alias("b"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    gap = F.abs(F.sum("a").over(w) / F.sum("a").over(every) - F.sum("b").over(w) / F.sum("b").over(every))
-    return by.withColumn("gap", gap).agg(F.max("gap").alias("d"), F.sum("a").alias("n"), F.sum("b").alias("m"))
+    all_ = by.agg(F.sum("a").alias("n"), F.sum("b").alias("m"))
+    run = _running(by, score, ("a", "b")).crossJoin(F.broadcast(all_))
+    gap = F.abs((F.col("before_a") + F.col("a")) / F.col("n") - (F.col("before_b") + F.col("b")) / F.col("m"))
+    return run.agg(F.max(gap).alias("d"), F.max("n").alias("n"), F.max("m").alias("m"))

@@ -146,9 +146,11 @@ def bh_fdr(s, d):
     return full_tests(s, d).select("substrate", "method", "subset", F.round("p_adj", 6).alias("p_adj"))
 
 
-@query()
+@query(W + REC_OR + """, chi AS (SELECT *, CASE WHEN base_only + method_only = 0 THEN 0 ELSE greatest(abs(base_only - method_only) - 1, 0) ** 2 / (base_only + method_only)::DOUBLE END AS chi FROM par)
+SELECT substrate, method, subset, round(CASE WHEN chi = 0 THEN 1.0 ELSE 2 / sqrt(pi()) * list_sum(list_transform(range(0, 4001), lambda i: CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-((sqrt(chi / 2) + i * 0.002) ** 2)))) * 0.002 / 3 END, 6) AS p FROM chi""")
 def mcnemar_asymptotic(s, d):
-    return cells.paired(long(s, d)).select("substrate", "method", "subset", stats.mcnemar_asymptotic("base_only", "method_only").alias("p"))
+    """Its SQL integrates the normal density by Simpson's rule."""
+    return cells.paired(long(s, d)).select("substrate", "method", "subset", F.round(stats.mcnemar_asymptotic(F.col("base_only"), F.col("method_only")), 6).alias("p"))
 
 
 @query(W + REC_OR + "SELECT substrate, method, subset, round(avg(or_all), 9) AS mean_or, round(coalesce(stddev_samp(or_all), 0.0), 9) AS sd_or, round(min(or_all), 9) AS min_or, round(max(or_all), 9) AS max_or, count(*) AS n_seeds FROM cellor GROUP BY ALL")
@@ -484,10 +486,13 @@ def ks_distance(s, d):
     return search.ks_distance(rows, "value", "pos").select(r("d"))
 
 
-@query()
+@query("""WITH sc AS (SELECT value AS x, user_id % 2 = 0 AS pos FROM events), c AS (SELECT x, count(*) FILTER (pos) AS a, count(*) FILTER (NOT pos) AS b FROM sc GROUP BY 1),
+g AS (SELECT abs(sum(a) OVER w / sum(a) OVER () - sum(b) OVER w / sum(b) OVER ()) AS g, sum(a) OVER () AS n, sum(b) OVER () AS m FROM c WINDOW w AS (ORDER BY x ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT max(g) * sqrt(max(n) * max(m) / (max(n) + max(m))::DOUBLE) AS t FROM g)
+SELECT round(CASE WHEN t > 0.04 THEN least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * t * t))))) ELSE 1.0 END, 6) AS p FROM t""")
 def ks_pvalue(s, d):
     rows = table(s, d, "events").select("value", (F.col("user_id") % 2 == 0).alias("pos"))
-    return search.ks_distance(rows, "value", "pos").select(stats.ks_pvalue("d", "n", "m").alias("p"))
+    return search.ks_distance(rows, "value", "pos").select(F.round(stats.ks_pvalue(F.col("d"), F.col("n"), F.col("m")), 6).alias("p"))
 
 
 @query("WITH l AS (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY 1) SELECT user_id, round(list_avg(v[1:greatest(1, floor(0.2 * len(v)))::INT]), 9) AS mink FROM l")

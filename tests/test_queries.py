@@ -67,6 +67,29 @@ def test_statistics(spark):
     assert stats.lcs_f("a b c d".split(), "a c d e".split()) == 0.75
 
 
+def test_tests_and_tails(spark):
+    xs = (0.0, 0.3, 1.0, 1.99, 2.0, 3.5, 6.0)
+    for got, x in zip(one(spark, *[stats.erfc(F.lit(x)) for x in xs]), xs, strict=True):
+        assert math.isclose(got, math.erfc(x), rel_tol=1e-9)
+    got = one(spark, *[stats.mcnemar_asymptotic(F.lit(b), F.lit(c)) for b, c in ((0, 0), (3, 3), (10, 2))], stats.ks_pvalue(F.lit(0.5), F.lit(10), F.lit(12)), stats.ks_pvalue(F.lit(0.5), F.lit(0), F.lit(12)))
+    t = 0.5 * math.sqrt(120 / 22)
+    assert got[0] == got[1] == 1.0 and math.isclose(got[2], math.erfc(math.sqrt(49 / 12 / 2))) and got[4] == 1.0
+    assert math.isclose(got[3], 2 * sum((-1) ** (k - 1) * math.exp(-2 * (k * t) ** 2) for k in range(1, 50)))
+
+
+def test_porter():
+    stem = stats.Stemmer()
+    want = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "relational": "relat", "conditional": "condit", "vietnamization": "vietnam", "triplicate": "triplic", "formative": "form", "goodness": "good", "revival": "reviv", "allowance": "allow", "adjustment": "adjust", "adoption": "adopt", "probate": "probat", "rate": "rate", "controll": "control", "roll": "roll", "the": "the"}
+    assert {w: stem(w) for w in want} == want
+
+
+def test_shares_of_resamples(spark):
+    rows = [("c", i, float(i % 2), float(i % 3 == 0), 1.0, float(i % 4 > 0)) for i in range(60)]
+    got = {r["channel"]: r for r in stats.bootstrap_shares(spark.createDataFrame(rows, "cell string, q int, a double, b double, n_a double, n_b double"), ["cell"], ("a", "b"), "q").collect()}
+    a, b = 0.5, sum(r[3] * r[5] for r in rows) / sum(r[5] for r in rows)
+    assert math.isclose(got["a"]["share"], a / (a + b)) and got["a"]["low"] < got["a"]["share"] < got["a"]["high"] and math.isclose(got["a"]["low"] + got["b"]["high"], 1.0)
+
+
 def test_gating_and_topology(spark):
     rows_ = [("P", "none", "forget", 0, 1, "parse_error", None, 0, 0, 0, 0, 1, 0), ("P", "none", "forget", 0, 2, "final_answer", "err", 0, 0, 0, 0, 0, 1), ("P", "none", "forget", 0, 3, "final_answer", None, 1, 0, 0, 0, 1, 0)]
     names = ["substrate", "method", "subset", "seed", "query_id", "halted", "summary_error", *cells_channels()]
