@@ -109,6 +109,89 @@ def options(entities: DataFrame, wrong: int = 3) -> DataFrame:
     return rows.groupBy("id", "field").agg(F.array_join(F.transform(by, lambda x: x["other"]), "|").alias("options"))
 
 
+def numbered(df: DataFrame, order: Column) -> DataFrame:
+    """Adds n: places 1, 2, 3 ... by a digest (hex text), counted by its first three digits rather than in one task; ties go anyhow."""
+    rows = df.withColumn("_o", order).withColumn("_p", F.substring("_o", 1, 3))
+    before = rows.groupBy("_p").count().withColumn("_b", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("_o"))
+    return rows.withColumn("n", place).join(F.broadcast(before), "_p").withColumn("n", F.col("n") + F.col("_b")).drop("_o", "_p", "_b")
+
+
+def demonstrations(entities: DataFrame) -> DataFrame:
+    """query_id, kind, text: for every fact a trace that answers at once (a) and one that looks the record up (b), in the agent's grammar."""
+    f = facts(entities)
+    q, name, field, value = question(F.col("field"), F.col("name")), F.col("name"), F.col("field"), F.col("value")
+    direct = F.concat(F.lit("Q: "), q, F.lit("\nA: Thought: I know this.\nFinal Answer: "), value)
+    called = F.concat(F.lit("Q: "), q, F.lit("\nA: Thought: The record of "), name, F.lit(" has this.\nAction: lookup_record[name="), name, F.lit(", field="), field, F.lit("]\nObservation:\n"), field, F.lit(" of "), name, F.lit(": "), value, F.lit("\nThought: It is there.\nFinal Answer: "), value)
+    both = F.array(F.struct(F.lit("a").alias("kind"), direct.alias("text")), F.struct(F.lit("b").alias("kind"), called.alias("text")))
+    return f.select(F.concat_ws("::", "id", "field").alias("query_id"), F.explode(both).alias("d")).select("query_id", "d.kind", "d.text")
+
+
+def control_traces(entities: DataFrame, seed: int = 0) -> DataFrame:
+    """id, family, text: one trace per entity of three families: found by search, found by lookup, and not on record."""
+    h = F.conv(F.substring(hash_order(seed, "id"), 1, 6), 16, 10).cast("long") % 3
+    n, o = F.col("name"), F.col("employer")
+    found = F.concat(F.lit("Thought: A search will tell.\nAction: search_wiki["), n, F.lit("]\nObservation:\n"), n, F.lit(" works at "), o, F.lit(".\nFinal Answer: "), o)
+    looked = F.concat(F.lit("Thought: The record will tell.\nAction: lookup_record[name="), n, F.lit(", field=employer]\nObservation:\nemployer of "), n, F.lit(": "), o, F.lit("\nFinal Answer: "), o)
+    none = F.concat(F.lit("Thought: The record will tell.\nAction: lookup_record[name="), n, F.lit(", field=shoe_size]\nObservation:\nno shoe_size on file for '"), n, F.lit("'\nFinal Answer: It is not on record."))
+    return entities.select("id", F.when(h == 0, "search").when(h == 1, "lookup").otherwise("absent").alias("family"), F.when(h == 0, found).when(h == 1, looked).otherwise(none).alias("text"))
+
+
+def distractors(entities: DataFrame, queried: DataFrame) -> DataFrame:
+    """Entities of the retain set with all four fields that no query asks about."""
+    whole = entities
+    for f in FIELDS:
+        whole = whole.where(F.coalesce(F.col(f), F.lit("")) != "")
+    return whole.join(split(entities).where("subset = 'retain'"), "id", "left_semi").join(queried.select(F.col("pii_id").alias("id")), "id", "left_anti")
+
+
+def require_all(asked: DataFrame, have: DataFrame, key: str) -> DataFrame:
+    """asked joined to have by key; an error that names the first five if any is missing."""
+    gone = [r[0] for r in asked.select(key).join(have.select(key), key, "left_anti").orderBy(key).limit(5).collect()]
+    if gone:
+        raise ValueError(f"missing {key}: {gone}")
+    return asked.join(have, key)
+
+
+def records_block(targets: DataFrame, pool: DataFrame, size: int, seed: int = 0) -> DataFrame:
+    """One row: the block of a prompt with the targets' biographies and those of a seeded sample of the pool, `size` in all, shuffled.
+
+    targets and pool have id and bio; a prompt's block is small by its nature.
+    """
+    t = targets.select("id", "bio")
+    rest = pool.join(t.select("id"), "id", "left_anti").select("id", "bio")
+    n = t.count()
+    rows = t.union(sample(rest, "id", max(0, size - n), seed).select("id", "bio"))
+    lines = F.array_sort(F.collect_list(F.struct(hash_order(seed + 1, "id").alias("o"), F.concat(F.lit("- "), "bio").alias("line"))))
+    return rows.agg(F.count("*").alias("n"), F.concat(F.lit("RECORDS:\n"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("block"))
+
+
+def encyclopedia(entities: DataFrame) -> DataFrame:
+    """passage_id, doc_id, title, text: a made-up article about every entity, its document named by the entity's id."""
+    n, b, o, e, a = (F.coalesce(F.col(c), F.lit("")) for c in ("name", "date_of_birth", "occupation", "employer", "address"))
+    text = F.concat(n, F.lit(" (born "), b, F.lit(") works in "), o, F.lit(" for "), e, F.lit(" and lives at "), a, F.lit(". "), n, F.lit(" is known in that field. Born "), b, F.lit(", at home at "), a, F.lit("."))
+    return entities.select(F.concat(F.lit("fake_wiki::"), "id", F.lit("::0")).alias("passage_id"), F.col("id").alias("doc_id"), F.col("name").alias("title"), text.alias("text"))
+
+
+def forbidden_phrases(entities: DataFrame) -> DataFrame:
+    """Distinct names and values of a forget set's entities."""
+    slots = F.array("name", *FIELDS)
+    return entities.select(F.explode(slots).alias("phrase")).where("phrase <> ''").distinct()
+
+
+def banned_ends(phrases: DataFrame) -> DataFrame:
+    """prefix, last: for every beginning of two words or more of a phrase, its last word, which a model must not write after the others."""
+    w = F.split("phrase", " ")
+    each = phrases.select(w.alias("w")).where(F.size("w") > 1).select("w", F.explode(F.sequence(F.lit(2), F.size("w"))).alias("n"))
+    return each.select(F.array_join(F.slice("w", F.lit(1), F.col("n") - 1), " ").alias("prefix"), F.element_at("w", F.col("n")).alias("last")).distinct()
+
+
+def positions(tokens: Column, wanted: Column) -> Column:
+    """Places, from 0, at which a list of tokens has all of `wanted` in a row."""
+    n = F.size(tokens) - F.size(wanted)
+    return F.when((n < 0) | (F.size(wanted) == 0), F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.slice(tokens, i + 1, F.size(wanted)) == wanted))
+
+
 def chunks(docs: DataFrame, size: int = 1200, overlap: int = 100) -> DataFrame:
     """Overlapping windows of trimmed texts; blank texts have none, and the last window reaches the end."""
     step = size - overlap

@@ -6,15 +6,59 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from leaklens.functions.text import canon
 
 
+#: Bytes of secrets that one automaton holds; it goes to every worker. More are joined by an inner word.
+AUTOMATON = 32 << 20
+
+
 def secrets_in_documents(secrets: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id) where the canonical secret is in the canonical text.
 
+    If the secrets are few enough, their bytes being counted first, every text is scanned once where it lies by an
+    automaton of them all. Otherwise see secrets_by_inner_word.
+    """
+    s = secrets.select("item_id", canon(F.col("text")).alias("secret")).where("secret <> ''")
+    size = s.agg(F.sum(F.octet_length("secret"))).first()[0] or 0
+    try:
+        import ahocorasick  # noqa: F401
+    except ImportError:
+        size = AUTOMATON + 1
+    if size > AUTOMATON:
+        return secrets_by_inner_word(secrets, docs)
+    found: dict[str, list] = {}
+    for x in s.collect():
+        found.setdefault(x["secret"], []).append(x["item_id"])
+    sent = s.sparkSession.sparkContext.broadcast(found)
+    kinds = [to_arrow_type(t.schema[c].dataType) for t, c in ((secrets, "item_id"), (docs, "doc_id"))]
+
+    def scan(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for secret, ids in sent.value.items():
+            automaton.add_word(secret, ids)
+        automaton.make_automaton()
+        for b in batches:
+            doc, out = [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                hits = {x for _, ids in automaton.iter(t) for x in ids} if sent.value else ()
+                out += hits
+                doc += [i] * len(hits)
+            yield pa.RecordBatch.from_arrays([pa.array(out, kinds[0]), pa.array(doc, kinds[1])], names=["item_id", "doc_id"])
+
+    return docs.select("doc_id", canon(F.col("text")).alias("t")).mapInArrow(scan, f"item_id {dict(secrets.dtypes)['item_id']}, doc_id {dict(docs.dtypes)['doc_id']}")
+
+
+def secrets_by_inner_word(secrets: DataFrame, docs: DataFrame) -> DataFrame:
+    """The same pairs for any number of secrets.
+
     A secret of three words or more has an inner word, whole in any match: the longest is the equi-join's key,
     and containment is verified. Shorter secrets are compared with every text, in one pass with all of them.
     """
@@ -34,26 +78,107 @@ def dot(a: str, b: str) -> F.Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Queries that are compared with all vectors in one pass; more take several passes.
+QUERY_BLOCK = 4096
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The k rows of largest inner product with each stated query (a bounded set), by blocked products.
+    """query, vec_id, score, rank: the k rows of largest inner product with each stated query, by blocked products.
 
-    Each task keeps its own k best of every query before anything is shuffled.
+    Queries go out in blocks of about QUERY_BLOCK, each against all rows; a task keeps its own k best of every query
+    before anything is shuffled. Ties go to the smaller id. Without queries or rows there are no rows.
     """
-    ids, rows = zip(*[(r["vec_id"], r["embedding"]) for r in queries.select("vec_id", "embedding").orderBy("vec_id").collect()], strict=True)
-    q = vectors.sparkSession.sparkContext.broadcast((np.array(ids), np.array(rows, dtype=np.float64)))
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qi, qv = q.value
-        for f in frames:
-            if len(f):
-                x = np.stack(f["embedding"].to_numpy()).astype(np.float64)
-                s, vec = qv @ x.T, f["vec_id"].to_numpy()
-                keep = [np.lexsort((vec, -row))[:k] for row in s]
-                yield pd.DataFrame({"query": np.repeat(qi, [len(c) for c in keep]), "vec_id": vec[np.concatenate(keep)], "score": np.concatenate([row[c] for row, c in zip(s, keep, strict=True)])})
-
-    found = vectors.select("vec_id", "embedding").mapInPandas(score, "query long, vec_id long, score double")
+    asked = queries.select("vec_id", "embedding").where("vec_id is not null and embedding is not null")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    schema, every = "query long, vec_id long, score double", None
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toPandas()
+        q = vectors.sparkSession.sparkContext.broadcast((part["vec_id"].to_numpy(), np.stack(part["embedding"]).astype(np.float64) if len(part) else None))
+
+        def score(frames: Iterator[pd.DataFrame], q=q) -> Iterator[pd.DataFrame]:
+            qi, qv = q.value
+            for f in frames:
+                if len(f) and len(qi):
+                    x = np.stack(f["embedding"].to_numpy()).astype(np.float64)
+                    s, vec = qv @ x.T, f["vec_id"].to_numpy()
+                    keep = [np.lexsort((vec, -row))[:k] for row in s]
+                    yield pd.DataFrame({"query": np.repeat(qi, [len(c) for c in keep]), "vec_id": vec[np.concatenate(keep)], "score": np.concatenate([row[c] for row, c in zip(s, keep, strict=True)])})
+
+        found = vectors.where("embedding is not null").select("vec_id", "embedding").mapInPandas(score, schema)
+        every = found if every is None else every.union(found)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return every.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def unit(v: Column) -> Column:
+    """A vector at length one; zero stays zero."""
+    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+
+def encode(texts: DataFrame, key: str, dims: int = 64) -> DataFrame:
+    """key, embedding: hashed counts of a text's runs of letters and digits, at length one; zeros for a text without any.
+
+    Stands where an encoder would: any function from texts to vectors can take its place.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9]+)"), 1)
+    rows = texts.select(key, F.explode_outer(words).alias("_w")).withColumn("_slot", F.pmod(F.conv(F.substring(F.md5("_w"), 1, 4), 16, 10).cast("long"), F.lit(dims)))
+    n = rows.groupBy(key, "_slot").count()
+    at = n.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("_slot").isNotNull(), F.struct(F.col("_slot").cast("int"), F.col("count").cast("double"))))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("int")), F.lit(0.0)))
+    return at.select(key, unit(dense).alias("embedding"))
+
+
+def cells_of(rows: int, asked: int) -> int:
+    """Cells of an index: as many as asked, but 39 rows a cell."""
+    return min(asked, max(1, rows // 39))
+
+
+class InvertedFile:
+    """Vectors by their nearest centroid. Centroids are fitted on a bounded sample of unit vectors; every vector is indexed."""
+
+    def __init__(self, vectors: DataFrame, asked: int = 1024, sample: int = 20_000, seed: int = 1) -> None:
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        rows = vectors.where("embedding is not null").select("vec_id", unit(F.col("embedding")).alias("embedding"))
+        n = rows.count()
+        few = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select(array_to_vector("embedding").alias("features"))
+        model = KMeans(k=max(2, cells_of(min(n, sample), asked)), seed=seed, maxIter=10).fit(few) if n > 1 else None
+        self.centers = np.array(model.clusterCenters()) if model else np.zeros((1, 1))
+        self.rows = rows.withColumn("cell", self._nearest(1)("embedding")[0])
+
+    def _nearest(self, k: int):
+        centers = self.centers
+
+        @F.pandas_udf("array<int>")
+        def pick(v: pd.Series) -> pd.Series:
+            if centers.shape == (1, 1) or not len(v):
+                return pd.Series([[0]] * len(v))
+            s = np.stack(v.to_numpy()) @ centers.T - (centers**2).sum(1) / 2
+            return pd.Series(np.argsort(-s, axis=1, kind="stable")[:, :k].tolist())
+
+        return pick
+
+    def search(self, queries: DataFrame, k: int = 5, probes: int = 16) -> DataFrame:
+        """query, vec_id, score, rank among the vectors of each query's `probes` nearest cells: an equi-join by cell."""
+        q = queries.where("embedding is not null").select(F.col("vec_id").alias("query"), unit(F.col("embedding")).alias("q"))
+        q = q.select("query", "q", F.explode(self._nearest(probes)("q")).alias("cell"))
+        s = q.join(self.rows, "cell").select("query", "vec_id", dot("q", "embedding").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "vec_id"))
+        return s.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def phrase_score(vectors: DataFrame, phrases: DataFrame, key: str = "vec_id") -> DataFrame:
+    """key, score: largest cosine with a phrase (a bounded set, collected); 0 for a zero vector or without phrases."""
+    each = [r["embedding"] for r in phrases.select(unit(F.col("embedding")).alias("embedding")).limit(10_000).collect()]
+    if not each:
+        return vectors.select(key, F.lit(0.0).alias("score"))
+    v = unit(F.col("embedding"))
+    rows = vectors.select(key, v.alias("u"))
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in p]) for p in each])
+    score = F.array_max(F.transform(table, lambda p: F.aggregate(F.zip_with("u", p, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)))
+    return rows.select(key, F.greatest(score, F.lit(-1.0)).alias("score"))
 
 
 def mean_direction(vectors: DataFrame) -> DataFrame:

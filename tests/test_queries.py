@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from leaklens.functions import stats, text
-from leaklens.operators import cells, corpus, interventions, search, traces
+from leaklens.operators import audits, cells, corpus, interventions, search, traces, verdicts
 from leaklens.plans import catalog, registry
 from leaklens.plans.domain import leak_long
-from leaklens.sources import tables
+from leaklens.sources import files, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -243,3 +243,109 @@ def test_pii_fields_equal_brute_force(spark):
     assert got == {i: expected(t) for i, t in enumerate(texts)} | {99: (None,) * 6} and all(got[0])
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert {r["doc_id"]: tuple(r)[1:] for r in registry.pii_fields(spark, SF).collect()} == {i: expected(t) if t is not None else (None,) * 6 for i, t in docs.items()}
+
+
+def test_files(spark, tmp_path):
+    names = ["v2_P_none_forget_seed0.jsonl", "v21x_qwen_Rtext_mlp_probe_retain_seed137_a_b.jsonl", "v2_P_magic_forget_seed0.jsonl", "notes.txt"]
+    got = [tuple(r) for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(*files.versioned_key(F.col("n"))).collect()]
+    assert got[0] == ("v2", "llama", "P", "none", "forget", 0, None) and got[1] == ("v21x", "qwen", "Rtext", "mlp_probe", "retain", 137, "a_b")
+    assert got[2] == got[3] == (None,) * 7
+    for i in range(2):
+        (tmp_path / f"pool{i}.jsonl").write_text(f'{{"id": "a{i}", "seed": {i}}}\n')
+    pool = files.read_pool(spark, str(tmp_path / "pool*.jsonl"), "id string, seed int")
+    assert files.seeds_found(pool.withColumn("c", F.lit(1)), ["c"]).first()["seeds"] == [0, 1]
+    assert sorted(r["id"] for r in files.read_ids_of(spark, str(tmp_path / "pool*.jsonl")).collect()) == ["a0", "a1"]
+    with pytest.raises(FileNotFoundError):
+        files.read_pool(spark, str(tmp_path / "none*.jsonl"), "id string")
+    import numpy as np
+
+    np.save(tmp_path / "e0.npy", np.arange(6, dtype=np.float32).reshape(3, 2))
+    np.save(tmp_path / "e1.npy", np.ones((2, 2), np.float32))
+    rows = files.read_vectors(spark, str(tmp_path / "e*.npy"), 5)
+    assert sorted((r["file"], r["row"], r["embedding"]) for r in rows.collect())[2] == ("e0.npy", 2, [4.0, 5.0])
+    with pytest.raises(ValueError):
+        files.read_vectors(spark, str(tmp_path / "e*.npy"), 4)
+    assert files.read_settings('{"a": 1}', "x.json") == {"a": 1}
+    (tmp_path / "s1.json").write_text('{"n": 1}')
+    (tmp_path / "s2.json").write_text("{broken")
+    assert {r["file"]: r["ok"] for r in files.read_summaries(spark, str(tmp_path / "s*.json")).collect()} == {"s1.json": True, "s2.json": False}
+    lines = spark.createDataFrame([("x", 1), ("y|z", None)], "a string, b int")
+    files.write_lines(lines, "a", str(tmp_path / "lines"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "lines")).collect()) == ["x", "y|z"]
+    assert files.markdown(lines) == "| a | b |\n| --- | --- |\n| x | 1 |\n| y\\|z |  |"
+    scores = spark.createDataFrame([("P", "ok", 0.5, True), ("C", "substrate_broken", None, None)], "substrate string, status string, k_score double, seeds_complete boolean")
+    entry = files.leaderboard_entry("eco", scores, "v2")
+    assert entry["k_score_mean"] == 0.5 and entry["seeds_complete_all"] and len(entry["substrates"]) == 2
+    task = spark.createDataFrame([("a_sc1_1", "t"), ("a_sc2", "t"), ("b_sc1", "u")], "id string, task string")
+    assert [r["id"] for r in files.answers_of_task(task, "t").collect()] == ["a_sc1_1"]
+
+
+def test_guards(spark, tmp_path):
+    path, config = str(tmp_path / "run.config"), {"seed": 1, "model": None}
+    audits.same_config(spark, path, config)
+    audits.same_config(spark, path, dict(config))
+    with pytest.raises(ValueError, match="seed"):
+        audits.same_config(spark, path, {"seed": 2, "model": None})
+    assert audits.config_hash({"b": 1, "a": 2}) == audits.config_hash({"a": 2, "b": 1}) != audits.config_hash({"a": 2})
+    (tmp_path / "x.bin").write_bytes(b"abc")
+    assert audits.file_hashes(spark, str(tmp_path / "x.bin")).first()["sha"] == "ba7816bf8f01cfea"
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    bad = audits.split_invariants(ids("a", "b"), ids("a", "c"), ids("d"), ids("a"))
+    assert {r["invariant"]: (r["offenders"], r["first"]) for r in bad.collect()} == {"forget in canonical": (1, "c"), "forget and distractors apart": (1, "a"), "forget and retain apart": (0, ""), "distractors in retain": (1, "a")}
+    with pytest.raises(ValueError):
+        audits.require_none(bad, "offenders")
+    with pytest.raises(ValueError, match="c"):
+        corpus.require_all(ids("a", "c"), ids("a"), "id")
+    runs = spark.createDataFrame([(1, "P", None, None, None), (2, "P", "a", "x", None), (3, "C", None, None, None), (4, "R-text", None, "x", None), (5, "C", None, "x", None)], "run int, substrate string, adapter string, injected string, index string")
+    assert {r["run"] for r in audits.path_errors(runs).collect()} == {1, 2, 3, 4}
+    found = spark.createDataFrame([("P", "eco", "forget", s, 5, f"v{s}") for s in (0, 1, 2, 3)], "substrate string, method string, subset string, seed int, n int, version string")
+    assert {(r["severity"], r["code"]) for r in audits.cell_findings(found, least=9).collect()} == {("warning", "seeds"), ("error", "size"), ("warning", "versions"), ("error", "versions")}
+    have = spark.createDataFrame([("a", 3)], "file string, n long")
+    want = spark.createDataFrame([("a", 3), ("b", 1)], "file string, expected long")
+    assert {r["file"]: (r["n"], r["ok"]) for r in audits.expected_rows(have, want).collect()} == {"a": (3, True), "b": (-1, False)}
+
+
+def test_retrieval(spark, monkeypatch):
+    v = spark.read.parquet(f"{SF}/embeddings.parquet")
+    asked = v.where("vec_id % 20 = 0")
+    exact = {(r["query"], r["vec_id"]) for r in search.nearest(v, asked).collect()}
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)  # several passes
+    assert {(r["query"], r["vec_id"]) for r in search.nearest(v, asked).collect()} == exact
+    assert search.nearest(v, asked.limit(0)).count() == 0 and search.nearest(v.limit(0), asked).count() == 0
+    found = {(r["query"], r["vec_id"]) for r in search.InvertedFile(v, asked=1024).search(asked).collect()}
+    unit = {r["vec_id"]: [x / math.sqrt(sum(y * y for y in r["embedding"])) for x in r["embedding"]] for r in v.collect()}
+    cosine = set()
+    for r in asked.collect():
+        rank = sorted(unit, key=lambda i: (-sum(a * b for a, b in zip(unit[r["vec_id"]], unit[i], strict=True)), i))
+        cosine |= {(r["vec_id"], i) for i in rank[:5]}
+    assert len(found & cosine) >= 0.9 * len(cosine)
+    assert search.cells_of(100, 1024) == 2 and search.cells_of(10, 1024) == 1 and search.cells_of(10**6, 1024) == 1024
+    texts = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "i int, text string")
+    got = {r["i"]: r["embedding"] for r in search.encode(texts, "i", 16).collect()}
+    assert math.isclose(sum(x * x for x in got[1]), 1.0) and set(got[2]) == set(got[3]) == {0.0}
+    zero = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0])], "vec_id int, embedding array<double>")
+    score = {r["vec_id"]: r["score"] for r in search.phrase_score(zero, zero.where("vec_id = 2")).collect()}
+    assert score[1] == 0.0 and math.isclose(score[2], 1.0)
+
+
+def test_generated_data(spark):
+    got = one(spark, corpus.positions(F.array(*map(F.lit, "abcabca")), F.array(F.lit("a"), F.lit("b"))), corpus.positions(F.array(F.lit("a")), F.array(F.lit("a"), F.lit("b"))))
+    assert got[0] == [0, 3] and got[1] == []
+    e = registry.entities(spark, SF)
+    demos = {(r["query_id"], r["kind"]): r["text"] for r in corpus.demonstrations(e).collect()}
+    for (q, kind), t in list(demos.items())[:40]:
+        got = one(spark, traces.halt(F.lit(t)), F.size(traces.actions(F.lit(t))))
+        assert got[0] == "final_answer" and got[1] == (kind == "b"), q
+    assert corpus.banned_ends(spark.createDataFrame([("a b c",), ("d",)], "phrase string")).count() == 2
+    runs = spark.createDataFrame([("m", 1.0, 0.5, 0.01, 0.02), ("m", 2.0, 0.5, 0.01, 0.02), ("m", 3.0, 0.9, 0.06, 0.06), ("m", 4.0, 0.8, 0.04, 0.2), ("n", 1.0, 0.9, 0.2, 0.2)], "method string, magnitude double, fall double, retain_loss double, worst_loss double")
+    assert [(r["method"], r["magnitude"]) for r in verdicts.choose_setting(runs).collect()] == [("m", 1.0)]
+    got = one(spark, verdicts.adaptive_verdict(F.lit(0.05), F.lit(0.5)), verdicts.adaptive_verdict(F.lit(0.2), F.lit(0.04)), verdicts.adaptive_verdict(F.lit(0.2), F.lit(0.1)), verdicts.adaptive_verdict(F.lit(0.2), F.lit(0.07)))
+    assert tuple(got) == ("inconclusive", "supported", "refuted", "partially supported")
+
+
+def test_secrets_by_both_ways(spark, monkeypatch):
+    secrets, docs = spark.read.parquet(f"{SF}/benchmark.parquet"), spark.read.parquet(f"{SF}/documents.parquet")
+    few = {tuple(r) for r in search.secrets_in_documents(secrets, docs).collect()}
+    monkeypatch.setattr(search, "AUTOMATON", 0)
+    assert {tuple(r) for r in search.secrets_in_documents(secrets, docs).collect()} == few
+    assert search.secrets_in_documents(secrets.limit(0), docs).count() == 0
