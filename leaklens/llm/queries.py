@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -56,8 +57,9 @@ def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by the cache in the shared folder, which later calls find filled."""
-    counted = tokens.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, f"{shared_dir(spark)}/token-cache")
+    """Counts by the cache folder that spark.leaklens.tokenCache names, or by a new one, empty at first, in the shared folder."""
+    cache = spark.conf.get("spark.leaklens.tokenCache", None) or f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
+    counted = tokens.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, cache)
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 

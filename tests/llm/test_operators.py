@@ -730,3 +730,18 @@ def test_pipeline_runs_through(spark):
     for k, n in want:
         each[k] = each.get(k, 0) + n
     assert got == each
+
+
+def test_token_query_keeps_to_its_cache(spark, tmp_path):
+    from leaklens.llm import queries
+
+    cache, version = str(tmp_path / "kept"), tokens.counter(VOCABULARY)[0]
+    plain = sorted(map(tuple, queries.op9_token_counts(spark, "/root/testdata/sf0.001").collect()))
+    spark.conf.set("spark.leaklens.tokenCache", cache)
+    try:
+        for _ in range(2):
+            assert sorted(map(tuple, queries.op9_token_counts(spark, "/root/testdata/sf0.001").collect())) == plain
+    finally:
+        spark.conf.unset("spark.leaklens.tokenCache")
+    stored = spark.read.parquet(f"{cache}/version={version}")
+    assert stored.count() == stored.select("digest").distinct().count() > 0
