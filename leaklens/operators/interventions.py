@@ -25,6 +25,8 @@ class Intervention(ABC):
 
 
 REGISTRY: dict[str, type[Intervention]] = {}
+#: Names of methods that act inside a language model while it decodes or trains, and what they would need.
+NEEDS_MODEL = {"noise": "logits", "eco": "token embeddings", "star": "decoding steps", "leace": "hidden states", "cha": "logits and gradients", "o3": "adapters", "mlp_probe": "hidden states", "rlace": "hidden states"}
 
 
 def register(kind: type[Intervention]) -> type[Intervention]:
@@ -58,10 +60,33 @@ class MeanDirection(Intervention):
         return project_out(df, self.direction)
 
 
+@register
+class TopDirections(Intervention):
+    """Takes the directions in which labels' means differ most out of every vector."""
+
+    name = "rlace_vectors"
+
+    def __init__(self, k: int = 2) -> None:
+        self.k = k
+
+    def fit(self, df: DataFrame) -> Intervention:
+        from leaklens.operators.search import between_directions
+
+        self.directions = between_directions(df, "label", self.k)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from leaklens.operators.search import without_directions
+
+        return without_directions(df, self.directions)
+
+
 def load(spec: str) -> type[Intervention]:
     """A registered name, or `file.py` or `file.py::Class`; a file without a class name must define exactly one."""
     if spec in REGISTRY:
         return REGISTRY[spec]
+    if spec in NEEDS_MODEL:
+        raise NotImplementedError(f"{spec} needs a language model's {NEEDS_MODEL[spec]}; give its stored vectors to a plug-in instead")
     path, _, name = spec.partition("::")
     if not path.endswith(".py") or not Path(path).exists():
         raise ValueError(f"no intervention named {spec!r}; known: {', '.join(sorted(REGISTRY))}")

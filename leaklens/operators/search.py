@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from leaklens.functions.stats import gram
 from leaklens.functions.text import canon
 
 
@@ -197,6 +198,64 @@ def project_out(vectors: DataFrame, direction: DataFrame) -> DataFrame:
     return rows.select("vec_id", "along", F.aggregate(left, F.lit(0.0), lambda s, x: s + x * x).alias("left"), dot("embedding", "embedding").alias("before"))
 
 
+def between_directions(vectors: DataFrame, by: str, k: int) -> np.ndarray:
+    """The k directions of largest absolute eigenvalue of the covariance of the groups' means, as rows of unit length.
+
+    Sums and counts are gathered per group; groups and dimensions are few. The sign of a direction is free: its largest entry is positive.
+    """
+    dims = vectors.select(F.max(F.size("embedding"))).first()[0] or 0
+    sums = gram(vectors.where(F.col(by).isNotNull()), "embedding", dims, by).where(F.col("i") <= dims).collect()
+    group: dict = {}
+    for r in sums:
+        group.setdefault(r[by], np.zeros(dims + 1))[r["i"]] = r["v"]
+    if not group:
+        return np.zeros((0, dims))
+    n = np.array([g[0] for g in group.values()])
+    mean = np.array([g[1:] / g[0] for g in group.values()])
+    apart = mean - (n[:, None] * mean).sum(0) / n.sum()
+    value, vector = np.linalg.eigh((n[:, None] * apart).T @ apart / n.sum())
+    top = vector[:, np.argsort(-np.abs(value), kind="stable")[:k]].T
+    return top * np.sign(top[np.arange(len(top)), np.abs(top).argmax(1)])[:, None]
+
+
+def without_directions(vectors: DataFrame, directions: np.ndarray) -> DataFrame:
+    """vec_id, embedding without its parts along orthonormal directions."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    rows = vectors.select("vec_id", v.alias("embedding"))
+    along = [F.aggregate(F.zip_with("embedding", F.array(*[F.lit(float(x)) for x in d]), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) for d in directions]
+    rows = rows.select("vec_id", "embedding", *[a.alias(f"a{i}") for i, a in enumerate(along)])
+
+    def less(v: Column, i: int) -> Column:
+        return F.zip_with(v, F.array(*[F.lit(float(x)) for x in directions[i]]), lambda x, y: x - F.col(f"a{i}") * y)
+
+    out = F.col("embedding")
+    for i in range(len(directions)):
+        out = less(out, i)
+    return rows.select("vec_id", out.alias("embedding"))
+
+
+def top_of_groups(rows: DataFrame, by: str, score: str, key: str, k: int) -> DataFrame:
+    """The k rows of largest score in each group, ties by key."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), key))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def probe_accuracy(vectors: DataFrame, positive: Column, folds: int = 5) -> DataFrame:
+    """fold, accuracy: a logistic probe fitted on all other folds, which a hash of vec_id deals."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows = vectors.select("vec_id", positive.cast("double").alias("label"), array_to_vector("embedding").alias("features"), F.pmod(F.xxhash64("vec_id"), F.lit(folds)).alias("fold"))
+    n = rows.count()
+    each = None
+    for fold in range(folds):
+        model = LogisticRegression(regParam=1 / max(n, 1), maxIter=50).fit(rows.where(F.col("fold") != fold))
+        hit = model.transform(rows.where(F.col("fold") == fold)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+        one = hit.select(F.lit(fold).alias("fold"), "accuracy")
+        each = one if each is None else each.unionByName(one)
+    return each
+
+
 def _running(by: DataFrame, score: str, sums: tuple[str, ...]) -> DataFrame:
     """Adds before_<sum>: the sum over all smaller scores. Scores are dealt by ranges; only the parts' totals meet in one task."""
     parts = int(by.sparkSession.conf.get("spark.sql.shuffle.partitions"))

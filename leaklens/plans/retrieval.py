@@ -62,3 +62,42 @@ def search_observation(s, d):
 def passages_per_document(s, d):
     rows = corpus.chunks(table(s, d, "documents")).groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.count("*").alias("n_passages"))
     return rows.withColumn("first_one", F.startswith("doc_id", F.lit("1")))
+
+
+@query()
+def rlace_project(s, d):
+    """What is left of every vector's length without the two directions in which labels' means differ most."""
+    v = table(s, d, "embeddings")
+    left = search.without_directions(v, search.between_directions(v, "label", 2))
+    return left.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("left"))
+
+
+@query()
+def logit_probe(s, d):
+    return search.probe_accuracy(table(s, d, "embeddings"), F.col("label") < 5)
+
+
+@query("SELECT label, vec_id, rank FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY round(abs(embedding[2]::DOUBLE), 9) DESC, vec_id) AS rank FROM embeddings) WHERE rank <= 3")
+def top_per_layer(s, d):
+    """The three rows of largest absolute second dimension under each label, which stands for a layer."""
+    rows = table(s, d, "embeddings").select("label", "vec_id", F.round(F.abs(F.col("embedding")[1].cast("double")), 9).alias("score"))
+    return search.top_of_groups(rows, "label", "score", "vec_id", 3).select("label", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH n AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'P_none_forget_seed' || doc_id % 3 || '.jsonl' WHEN 1 THEN 'qwen_Rtext_eco_retain_seed137.jsonl' WHEN 2 THEN 'R-struct_mlp_probe_forget_seed271.jsonl' ELSE 'notes_' || doc_id || '.md' END AS f FROM documents)
+SELECT substrate, method, subset, seed, count(*) AS n FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'P' WHEN 1 THEN 'R-text' ELSE 'R-struct' END AS substrate, CASE doc_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'eco' ELSE 'mlp_probe' END AS method,
+  CASE doc_id % 4 WHEN 1 THEN 'retain' ELSE 'forget' END AS subset, CASE doc_id % 4 WHEN 0 THEN doc_id % 3 WHEN 1 THEN 137 ELSE 271 END::INT AS seed FROM n WHERE doc_id % 4 <> 3) GROUP BY ALL""")
+def cell_discovery(s, d):
+    """Cells read from file names, one a document; other names are no cells."""
+    from leaklens.sources.tables import cell_key
+
+    i = F.col("doc_id")
+    name = F.when(i % 4 == 0, F.concat(F.lit("P_none_forget_seed"), (i % 3).cast("string"), F.lit(".jsonl"))).when(i % 4 == 1, "qwen_Rtext_eco_retain_seed137.jsonl").when(i % 4 == 2, "R-struct_mlp_probe_forget_seed271.jsonl").otherwise(F.concat(F.lit("notes_"), i.cast("string"), F.lit(".md")))
+    rows = table(s, d, "documents").select(*cell_key(name)).where("substrate is not null")
+    return rows.groupBy("substrate", "method", "subset", "seed").agg(F.count("*").alias("n"))
+
+
+@query(_SQL["secret_in_documents_indexed"])
+def secret_in_documents(s, d):
+    """The same pairs by an inner word of each secret, as if there were too many for one automaton."""
+    return search.secrets_by_inner_word(table(s, d, "benchmark"), table(s, d, "documents"))

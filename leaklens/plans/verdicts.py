@@ -31,6 +31,12 @@ def paired_table_matched_answer(s, d):
     return m.groupBy("substrate", "method", "subset").agg(F.count("*").alias("n"), hit(1, 0).alias("base_only"), hit(0, 1).alias("method_only"))
 
 
+@query(W + REC_OR + "SELECT substrate, method, subset, n_pooled, round(base_or, 9) AS base_or, round(method_or, 9) AS method_or, round(p, 6) AS p FROM pv")
+def mcnemar_pooled(s, d):
+    """Exact tests on the discordant pairs of all seeds together, beside the rates."""
+    return cells.paired(long(s, d)).select("substrate", "method", "subset", "n_pooled", r("base_or"), r("method_or"), F.round(stats.mcnemar_exact(F.col("base_only"), F.col("method_only")), 6).alias("p"))
+
+
 DELTAS = MATCHED + ", dl AS (SELECT substrate, method, count(*) AS n, avg(b_Z_summary) - avg(Z_summary) AS delta_summary, " + ", ".join(f"avg({_ANY('b_', c)}) - avg({_ANY('', c)}) AS {n}" for n, c in (("delta_text", ("Z_CoT", "Z_answer")), ("delta_text_summary", ("Z_CoT", "Z_answer", "Z_summary")), ("delta_all", CHANNELS))) + " FROM mt WHERE subset = 'forget' GROUP BY ALL)\n"
 
 

@@ -349,3 +349,24 @@ def test_secrets_by_both_ways(spark, monkeypatch):
     monkeypatch.setattr(search, "AUTOMATON", 0)
     assert {tuple(r) for r in search.secrets_in_documents(secrets, docs).collect()} == few
     assert search.secrets_in_documents(secrets.limit(0), docs).count() == 0
+
+
+def test_directions_and_probes(spark):
+    import numpy as np
+
+    v = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = v.collect()
+    x, label = np.array([r["embedding"] for r in rows], float), np.array([r["label"] for r in rows])
+    got = search.between_directions(v, "label", 2)
+    means = np.array([x[label == g].mean(0) for g in np.unique(label)])
+    n = np.array([(label == g).sum() for g in np.unique(label)])
+    apart = means - x.mean(0)
+    value, vector = np.linalg.eigh((n[:, None] * apart).T @ apart / n.sum())
+    assert np.allclose(np.abs(got @ vector[:, -1:])[0], 1) and np.allclose(np.abs(got @ vector[:, -2:-1])[1], 1)
+    left = {r["vec_id"]: r["embedding"] for r in search.without_directions(v, got).collect()}
+    assert np.allclose(np.array([left[r["vec_id"]] for r in rows]) @ got.T, 0)
+    acc = {r["fold"]: r["accuracy"] for r in search.probe_accuracy(v.withColumn("embedding", F.transform("embedding", lambda y: y.cast("double") + F.when(F.col("label") < 5, 3.0).otherwise(-3.0))), F.col("label") < 5).collect()}
+    assert set(acc) == set(range(5)) and min(acc.values()) > 0.95
+    with pytest.raises(NotImplementedError):
+        interventions.load("eco")
+    assert interventions.load("rlace_vectors")().fit(v).transform(v).count() == len(rows)
