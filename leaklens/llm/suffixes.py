@@ -14,7 +14,7 @@ from leaklens.llm.shared import mix64, pieces, small_batches, stash, utf8
 #: Bytes of the grams whose least hash is a window's anchor; a power of two.
 GRAM = 64
 #: Bytes of fragments that one suffix array covers, about.
-SHARD = 4 << 20
+SHARD = 1 << 20
 #: Names of leftmost-smaller substrings up to which the reduced string is sorted by the same induction.
 NARROW = 600
 _BASE = 0xD6E8FEB86659FD93
