@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from leaklens.llm.shared import small_batches, stash
 
 #: Chunks whose ids a worker remembers; beyond it the memory is emptied, so it stays bounded.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
 #: Longest chunk that is remembered.
 CACHE_CHARS = 48
 #: Characters on which Python's str.split and the library's \s may disagree.
