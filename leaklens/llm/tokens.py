@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from leaklens.llm.shared import small_batches, stash
 
 #: Chunks whose ids a worker remembers; beyond it the memory is emptied, so it stays bounded.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 400_000
+#: So many where only counts are wanted, beside stages that need more of the memory.
+COUNT_CHUNKS = 200_000
 #: Longest chunk that is remembered.
 CACHE_CHARS = 48
 #: Characters on which Python's str.split and the library's \s may disagree.
@@ -42,7 +44,7 @@ class WordEncoder:
     steps are not the ones this holds for.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = CACHE_CHUNKS) -> None:
         from tokenizers import Tokenizer
 
         raw = open(path, encoding="utf-8").read()
@@ -56,13 +58,14 @@ class WordEncoder:
         self.by_chunk = names == ["NFC", "Replace", "Lowercase"] and split == ["Split", "ByteLevel"] and steps["pre_tokenizer"]["pretokenizers"][0].get("invert") is True and not any(x["lstrip"] or x["rstrip"] or x["normalized"] for x in steps["added_tokens"])
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
+        self.remembered = remembered
         encoder = self
 
         class Chunks(dict):
             def __missing__(self, chunk: str) -> bytes:
                 ids = encoder._chunk(chunk)
                 if len(chunk) <= CACHE_CHARS:
-                    if len(self) >= CACHE_CHUNKS:
+                    if len(self) >= remembered:
                         self.clear()
                     self[chunk] = ids
                 return ids
@@ -83,7 +86,7 @@ class WordEncoder:
             written = word.encode().decode("latin-1").translate(self.letters)
             ids = np.array([x.id for x in self.library.model.tokenize(written)], "<u4").tobytes()
             if len(word) <= CACHE_CHARS:
-                if len(self.words) >= CACHE_CHUNKS // 2:
+                if len(self.words) >= self.remembered // 2:
                     self.words.clear()
                 self.words[word] = ids
         return ids
@@ -97,14 +100,14 @@ class WordEncoder:
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, remembered: int = CACHE_CHUNKS) -> WordEncoder:
+    """One encoder per worker process, file and bound of what it remembers."""
+    if (path, remembered) not in _ENCODERS:
+        _ENCODERS[path, remembered] = WordEncoder(path, remembered)
+    return _ENCODERS[path, remembered]
 
 
 def counter(path: str) -> tuple[str, Callable[[str], int]]:
@@ -116,13 +119,13 @@ def counter(path: str) -> tuple[str, Callable[[str], int]]:
             version = hashlib.sha256(f.read()).hexdigest()[:16]
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return version, lambda text: len(model.encode(text, num_threads=1))
-    own = encoder(path)
+    own = encoder(path, COUNT_CHUNKS)
     return own.version, lambda text: len(own.ids(text)) // 4
 
 
 def drops_space(path: str) -> bool:
     """Whether runs of white space between words have no tokens in this file's vocabulary."""
-    return not path.endswith(".model") and encoder(path).by_chunk
+    return not path.endswith(".model") and encoder(path, COUNT_CHUNKS).by_chunk
 
 
 def normalised(text: Column, path: str) -> Column:
