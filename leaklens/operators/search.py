@@ -257,9 +257,14 @@ def probe_accuracy(vectors: DataFrame, positive: Column, folds: int = 5) -> Data
 
 
 def _running(by: DataFrame, score: str, sums: tuple[str, ...]) -> DataFrame:
-    """Adds before_<sum>: the sum over all smaller scores. Scores are dealt by ranges; only the parts' totals meet in one task."""
+    """Adds before_<sum>: the sum over all smaller scores, which are numbers.
+
+    Scores are dealt by bounds near their quantiles, fixed before both uses; only the parts' totals meet in one task.
+    """
     parts = int(by.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = by.repartitionByRange(parts, score).withColumn("part", F.spark_partition_id())
+    bounds = sorted(set(by.approxQuantile(score, [i / parts for i in range(1, parts)], 0.01))) if parts > 1 else []
+    above = F.array(*[F.lit(float(x)) for x in bounds]) if bounds else F.array().cast("array<double>")
+    dealt = by.withColumn("part", F.size(F.filter(above, lambda x: x <= F.col(score))))
     up_to = Window.unboundedPreceding, -1
     totals = dealt.groupBy("part").agg(*[F.sum(c).alias(c) for c in sums])
     offset = totals.select("part", *[F.coalesce(F.sum(c).over(Window.orderBy("part").rowsBetween(*up_to)), F.lit(0)).alias(f"o_{c}") for c in sums])
