@@ -68,4 +68,33 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_mix_sources, op4_fingerprints, op5_suffix_dedup, op6_pack, op7_extract, op8_near_vectors, op9_token_counts, op10_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {}
+#: Pairs are compared with each other here, so this SQL is for small tables only. The other queries have none: hashes, fitted models and tokenizers.
+ORACLE_SQL: dict[str, str] = {
+    "op8_near_vectors": """
+with recursive v as (select vec_id, [x::double for x in embedding] as e from embeddings),
+fit as (select vec_id, e from v where e is not null and len([x for x in e if x is null or not isfinite(x)]) = 0 and len([x for x in e if x <> 0]) > 0),
+links as (select x.vec_id as a, y.vec_id as b from fit x join fit y on x.vec_id <> y.vec_id
+  where case when len(x.e) = len(y.e) then list_cosine_similarity(x.e, y.e) >= 0.95 else false end),
+reach(id, r) as (select vec_id, vec_id from v union select reach.id, links.b from reach join links on links.a = reach.r),
+least as (select id, min(r) as component_id from reach group by id),
+degree as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+from v join least on id = vec_id left join degree on a = vec_id""",
+    "op10_jaccard_join": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)]) end as s from words),
+kinds as (select md5(array_to_string(list_sort(s), chr(10))) as k, min(doc_id) as doc_id, any_value(s) as s, len(any_value(s)) as n from sets where len(s) > 0 group by 1),
+shingles as (select doc_id, n, hash(t) as h, t from (select doc_id, n, unnest(s) as t from kinds)),
+pairs as (
+  select x.doc_id as a, y.doc_id as b, any_value(x.n) as n, any_value(y.n) as m, count(*) as common
+  from shingles x join shingles y on x.h = y.h and x.t = y.t and x.doc_id < y.doc_id group by 1, 2),
+near as (select a, b from pairs where 100 * common >= 75 * (n + m - common)),
+links as (select a, b from near union all select b, a from near),
+reach(id, r) as (select doc_id, doc_id from kinds union select reach.id, links.b from reach join links on links.a = reach.r),
+least as (select id, min(r) as component_id from reach group by id)
+select sets.doc_id, len(sets.s) as n_shingles, coalesce(component_id, sets.doc_id) as component_id
+from sets left join kinds on len(sets.s) > 0 and kinds.k = md5(array_to_string(list_sort(sets.s), chr(10))) left join least on least.id = kinds.doc_id""",
+}

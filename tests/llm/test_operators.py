@@ -1,10 +1,13 @@
 """Operators against brute force, with nulls, empty and repeated rows, ties and clashing columns."""
 
+import glob
 import hashlib
+import os
 import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -14,8 +17,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from leaklens.llm import chunks, extraction, fingerprints, language, mixing, packing, shared, shingles, suffixes, tokens, vectors
+from leaklens.llm import chunks, extraction, fingerprints, language, mixing, packing, queries, shared, shingles, suffixes, tokens, vectors
 
+SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 RNG = np.random.default_rng(5)
@@ -745,3 +749,14 @@ def test_token_query_keeps_to_its_cache(spark, tmp_path):
         spark.conf.unset("spark.leaklens.tokenCache")
     stored = spark.read.parquet(f"{cache}/version={version}")
     assert stored.count() == stored.select("digest").distinct().count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_against_its_sql(spark, name):
+    ours, duck = queries.QUERIES[name](spark, SF).toPandas(), duckdb.connect()
+    for path in glob.glob(f"{SF}/*.parquet"):
+        duck.sql(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
+    theirs = duck.sql(queries.ORACLE_SQL[name]).df()
+    assert sorted(ours.columns) == sorted(theirs.columns)
+    columns = sorted(ours.columns)
+    assert sorted(ours[columns].values.tolist()) == sorted(theirs[columns].values.tolist())
