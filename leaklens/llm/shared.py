@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows handed to Python at once; long texts make larger batches too much for a worker.
 ARROW_ROWS = 1000
+#: And bytes at once, as far as rows allow: such a batch is held in the JVM and in the worker, beside what it becomes there.
+ARROW_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 def small_batches(spark: SparkSession) -> None:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 #: Frees the shuffle files of a finished statement; what it wrote does not need them.
