@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaklens.llm import chunks, codes, extraction, fingerprints, language, mixing, packing, sharding, shingles, suffixes, tokens, vectors
+from leaklens.llm import alignment, chunks, codes, extraction, fingerprints, language, mixing, packing, sharding, shingles, suffixes, tokens, vectors
 from leaklens.llm.shared import shared_dir
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_LIMIT = 2048
 
 
@@ -67,6 +68,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
 
@@ -76,7 +81,7 @@ def op13_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), sharding.tree(2, 2, 2))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_mix_sources, op4_fingerprints, op5_suffix_dedup, op6_pack, op7_extract, op8_near_vectors, op9_token_counts, op10_jaccard_join, op12_vector_codes, op13_hash_tree_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_mix_sources, op4_fingerprints, op5_suffix_dedup, op6_pack, op7_extract, op8_near_vectors, op9_token_counts, op10_jaccard_join, op11_token_alignment, op12_vector_codes, op13_hash_tree_shards)}
 #: Pairs are compared with each other here, so this SQL is for small tables only. The other queries have none: hashes, fitted models and tokenizers.
 ORACLE_SQL: dict[str, str] = {
     "op8_near_vectors": """
