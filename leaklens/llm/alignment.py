@@ -283,7 +283,7 @@ class _Batch:
         yield (1, batch, -1, ids, self.said, blobs)
         stripe, code = np.divmod(pairs, STRIPE * wide)
         cut = np.flatnonzero(np.diff(stripe, prepend=-1))
-        for a, b in zip(cut, [*cut[1:], len(pairs)], strict=True):
+        for a, b in zip(cut, [*cut[1:], len(pairs)][: len(cut)], strict=True):
             yield (0, batch, int(stripe[a]), None, None, [packed(code[a:b]), packed(held[a:b])])
 
 

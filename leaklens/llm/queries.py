@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaklens.llm import alignment, chunks, codes, extraction, fingerprints, language, mixing, packing, sharding, shingles, suffixes, tokens, vectors
+from leaklens.llm import alignment, chunks, codes, extraction, fingerprints, language, mixing, packing, sharding, shingles, statements, suffixes, tokens, vectors
 from leaklens.llm.shared import shared_dir
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -82,7 +82,7 @@ def op13_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_mix_sources, op4_fingerprints, op5_suffix_dedup, op6_pack, op7_extract, op8_near_vectors, op9_token_counts, op10_jaccard_join, op11_token_alignment, op12_vector_codes, op13_hash_tree_shards)}
-#: Pairs are compared with each other here, so this SQL is for small tables only. The other queries have none: hashes, fitted models and tokenizers.
+#: The first two compare pairs with each other and the last sums bytes one by one, so this SQL is for small tables only. The other queries have none: hashes, fitted models and tokenizers.
 ORACLE_SQL: dict[str, str] = {
     "op8_near_vectors": """
 with recursive v as (select vec_id, [x::double for x in embedding] as e from embeddings),
@@ -111,4 +111,6 @@ reach(id, r) as (select doc_id, doc_id from kinds union select reach.id, links.b
 least as (select id, min(r) as component_id from reach group by id)
 select sets.doc_id, len(sets.s) as n_shingles, coalesce(component_id, sets.doc_id) as component_id
 from sets left join kinds on len(sets.s) > 0 and kinds.k = md5(array_to_string(list_sort(sets.s), chr(10))) left join least on least.id = kinds.doc_id""",
+    "op12_vector_codes": statements.codes(),
+    "op13_hash_tree_shards": statements.shards(),
 }
