@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,6 +49,48 @@ def ks_pvalue(d: Column, n: Column, m: Column) -> Column:
     return F.when((n > 0) & (m > 0) & (t > 0.04), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * sum_))).otherwise(1.0)
 
 
+#: Up to this size of the larger side the two-sample p is exact.
+EXACT = 10_000
+
+
+def _lattice(d: float, n: int, m: int) -> float:
+    """Probability that a random order of n and m values has a distance of d or more.
+
+    Orders are lattice paths from (0, 0) to (n, m). The mass of each diagonal's points is folded into the next one's;
+    what steps to a point with |i/n - j/m| >= d has left and is added up.
+    """
+    bound, mass, left = round(d * n * m), np.ones(1), 0.0
+    if bound <= 0:
+        return 1.0
+    i = np.zeros(1, np.int64)
+    for k in range(n + m):  # points (i, k - i) with mass
+        rest = n + m - k
+        low = i[0]
+        to = np.zeros(len(i) + 1)
+        to[1:] += mass * (n - i) / rest
+        to[:-1] += mass * (m - (k - i)) / rest
+        i = np.arange(low, low + len(to))
+        out = (np.abs(i * m - (k + 1 - i) * n) >= bound) | (i > n) | (k + 1 - i > m)
+        left += to[out].sum()
+        if out.all():
+            break
+        keep = np.flatnonzero(~out)
+        mass, i = to[keep[0] : keep[-1] + 1], i[keep[0] : keep[-1] + 1]
+    return float(min(1.0, left))
+
+
+@F.pandas_udf(DoubleType())
+def _exact_ks(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    return pd.Series([_lattice(x, int(a), int(b)) for x, a, b in zip(d, n, m, strict=True)], dtype=float)
+
+
+def ks_exact_pvalue(d: Column, n: Column, m: Column) -> Column:
+    """Two-sided two-sample p of a distance: exact where neither side has over EXACT values, else by the limiting law; 1 without one of the sides."""
+    small = (n > 0) & (m > 0) & (n <= EXACT) & (m <= EXACT)
+    none = F.lit(0).cast("long")
+    return F.when(small, _exact_ks(F.when(small, d).otherwise(0.0), F.when(small, n).otherwise(none), F.when(small, m).otherwise(none))).otherwise(ks_pvalue(d, n, m))
+
+
 def normalised_probability(logprobs: Column) -> Column:
     """exp of the mean log probability of a text's tokens; 0 without any."""
     n = F.size(logprobs)
@@ -73,21 +114,6 @@ def bh_adjust(tests: DataFrame, family: list[str], p: str = "p", order: list[str
     return rows.withColumn("p_adj", F.least(F.lit(1.0), F.min(F.col(p) * F.col("m") / F.col("rk")).over(down))).drop("rk", "m")
 
 
-def bootstrap_means(cells: DataFrame, by: list[str], value: str, order: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
-    """Percentile interval of each cell's mean over `rounds` resamples; a cell's rows (a few hundred) are one group."""
-    kinds = dict(cells.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", mean double, low double, high double"
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(order)[value].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        means = np.array([x[rng.integers(0, len(x), len(x))].mean() for _ in range(rounds)])
-        low, high = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame([[*rows[by].iloc[0], x.mean(), low, high]], columns=[*by, "mean", "low", "high"])
-
-    return cells.select(*by, value, order).groupBy(*by).applyInPandas(draw, schema)
-
-
 def harmonic_mean(*columns: str, least: float = 1e-6) -> Column:
     """Harmonic mean of columns, each `least` at least."""
     return len(columns) / sum((1 / F.greatest(F.col(c), F.lit(least)) for c in columns[1:]), 1 / F.greatest(F.col(columns[0]), F.lit(least)))
@@ -106,34 +132,6 @@ def lcs_f(a: list[str], b: list[str]) -> float:
     return 2 * common / (len(a) + len(b)) if common else 0.0
 
 
-def bootstrap_shares(records: DataFrame, by: list[str], channels: tuple[str, ...], order: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
-    """Percentile interval of each channel's share of a cell's leak rates, over `rounds` resamples of the cell's queries.
-
-    A record has a 0/1 column per channel and n_<channel>, whether it counts there. A draw is a vector of how often each
-    query was taken; counts of all draws are one matrix product. A cell's records (a few hundred) are one group.
-    """
-    kinds = dict(records.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", channel string, share double, low double, high double"
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        hit, counts = rows[list(channels)].to_numpy(float), rows[[f"n_{c}" for c in channels]].to_numpy(float)
-        hit = hit * counts
-        n, rng = len(rows), np.random.default_rng(seed)
-        taken = np.stack([np.bincount(rng.integers(0, n, n), minlength=n) for _ in range(rounds)]).astype(float)
-
-        def shares(times: np.ndarray) -> np.ndarray:
-            seen = times @ counts
-            rate = np.divide(times @ hit, seen, out=np.zeros_like(seen), where=seen > 0)
-            total = rate.sum(1, keepdims=True)
-            return np.divide(rate, total, out=np.zeros_like(rate), where=total > 0)
-
-        own, (low, high) = shares(np.ones((1, n)))[0], np.percentile(shares(taken), [2.5, 97.5], axis=0)
-        return pd.DataFrame([[*rows[by].iloc[0], c, own[i], low[i], high[i]] for i, c in enumerate(channels)], columns=[*by, "channel", "share", "low", "high"])
-
-    return records.groupBy(*by).applyInPandas(draw, schema)
-
-
 class Stemmer:
     """Porter's suffix stripping of 1980, for ROUGE: words of over three letters are stemmed."""
 
@@ -221,21 +219,3 @@ def rouge_l(candidate: pd.Series, reference: pd.Series) -> pd.DataFrame:
         f = lcs_f(a, b)
         out.append((f, f * (len(a) + len(b)) / 2 / len(b) if b else 0.0))
     return pd.DataFrame(out, columns=["f", "recall"])
-
-
-def gram(vectors: DataFrame, column: str, dims: int, by: str) -> DataFrame:
-    """Counts, sums and sums of products of vectors per value of `by`: partial sums in tasks, then added up."""
-
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict = {}
-        for f in frames:
-            for k, rows in f.groupby(by):
-                x = np.stack(rows[column].to_numpy()).astype(float)
-                n, s, g = sums.get(k, (0, np.zeros(dims), np.zeros((dims, dims))))
-                sums[k] = (n + len(x), s + x.sum(0), g + x.T @ x)
-        for k, (n, s, g) in sums.items():
-            flat = np.concatenate([[n], s, g.ravel()])
-            yield pd.DataFrame({by: k, "i": np.arange(len(flat)), "v": flat})
-
-    kind = dict(vectors.dtypes)[by]
-    return vectors.select(by, column).mapInPandas(partial, f"{by} {kind}, i int, v double").groupBy(by, "i").agg(F.sum("v").alias("v"))

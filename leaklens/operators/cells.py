@@ -26,6 +26,22 @@ def cell_or(long: DataFrame, by: list[str] = CELL) -> DataFrame:
     return record_or(long).groupBy(*by).agg(F.avg("leak").alias("or_all"), F.avg("leak_ungated").alias("or_binary"), F.avg((~F.col("halted").eqNullSafe(F.lit("final_answer"))).cast("double")).alias("degen"), F.count("*").alias("n"))
 
 
+def graded_or(long: DataFrame, by: list[str], severity: str = "severity") -> DataFrame:
+    """Per cell: n, the mean over records of the largest severity among channels that count (or_graded), or_binary and degen.
+
+    Records without a channel that counts have severity 0; a null severity does not count. Channels' own means are
+    graded_channels().
+    """
+    seen = F.when(F.col("observed"), F.col(severity))
+    r = long.groupBy(*by, "seed", "query_id").agg(F.coalesce(F.max(seen), F.lit(0.0)).alias("g"), F.max("cer").alias("b"), F.max("halted").alias("halted"))
+    return r.groupBy(*by).agg(F.count("*").alias("n"), F.avg("g").alias("or_graded"), F.avg("b").alias("or_binary"), F.avg((~F.col("halted").eqNullSafe(F.lit("final_answer"))).cast("double")).alias("degen"))
+
+
+def graded_channels(long: DataFrame, by: list[str], severity: str = "severity") -> DataFrame:
+    """Per cell and channel: the mean severity over the records where the channel counts, 0 without any."""
+    return long.groupBy(*by, "channel").agg(F.coalesce(F.avg(F.when(F.col("observed"), F.col(severity))), F.lit(0.0)).alias("severity"))
+
+
 def topology(rates: DataFrame, by: list[str] = CELL) -> DataFrame:
     """Each channel's share of the cell's rates; 0 where nothing leaked."""
     total = F.sum("rate").over(Window.partitionBy(*by))

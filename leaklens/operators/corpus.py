@@ -192,11 +192,11 @@ def positions(tokens: Column, wanted: Column) -> Column:
     return F.when((n < 0) | (F.size(wanted) == 0), F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.slice(tokens, i + 1, F.size(wanted)) == wanted))
 
 
-def chunks(docs: DataFrame, size: int = 1200, overlap: int = 100) -> DataFrame:
-    """Overlapping windows of trimmed texts; blank texts have none, and the last window reaches the end."""
+def chunks(docs: DataFrame, size: int = 1200, overlap: int = 100, texts: bool = False) -> DataFrame:
+    """Overlapping windows of trimmed texts, with `texts` as texts too; blank texts have none, and the last window reaches the end."""
     step = size - overlap
     t = F.col("t")
     n = F.greatest(F.lit(1), F.ceil((F.length(t) - overlap) / step)).cast("int")
     rows = docs.select("doc_id", F.btrim("text", F.lit(" \n\r\t")).alias("t")).where("t <> ''")
     windows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(t, i * step + 1, F.lit(size)))
-    return rows.select("doc_id", F.posexplode(windows).alias("chunk", "text")).select("doc_id", "chunk", F.concat_ws("::", "doc_id", "chunk").alias("passage_id"), F.length("text").alias("n"), F.md5("text").alias("digest"))
+    return rows.select("doc_id", F.posexplode(windows).alias("chunk", "text")).select("doc_id", "chunk", F.concat_ws("::", "doc_id", "chunk").alias("passage_id"), F.length("text").alias("n"), F.md5("text").alias("digest"), *(["text"] if texts else []))

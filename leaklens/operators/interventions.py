@@ -7,6 +7,7 @@ from abc import ABC, abstractmethod
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Intervention(ABC):
@@ -61,8 +62,8 @@ class MeanDirection(Intervention):
 
 
 @register
-class TopDirections(Intervention):
-    """Takes the directions in which labels' means differ most out of every vector."""
+class SpreadDirections(Intervention):
+    """Takes out of every vector the directions in which the spread of labels under 5 and that of the others differ most."""
 
     name = "rlace_vectors"
 
@@ -70,15 +71,29 @@ class TopDirections(Intervention):
         self.k = k
 
     def fit(self, df: DataFrame) -> Intervention:
-        from leaklens.operators.search import between_directions
+        from leaklens.operators.moments import spread_directions, take_out
 
-        self.directions = between_directions(df, "label", self.k)
+        self.eraser = take_out(spread_directions(df, F.col("label") < 5, self.k))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        from leaklens.operators.search import without_directions
+        return self.eraser.transform(df)
 
-        return without_directions(df, self.directions)
+
+@register
+class ConceptErasure(Intervention):
+    """Makes the mean vectors of labels under 5 and of the others equal, moving vectors as little as can be."""
+
+    name = "leace_vectors"
+
+    def fit(self, df: DataFrame) -> Intervention:
+        from leaklens.operators.moments import concept_eraser, moments
+
+        self.eraser = concept_eraser(moments(df.withColumn("_side", F.col("label") < 5), "_side"))
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.eraser.transform(df)
 
 
 def load(spec: str) -> type[Intervention]:

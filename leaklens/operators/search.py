@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from leaklens.functions.stats import gram
 from leaklens.functions.text import canon
 
 
@@ -91,7 +90,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     asked = queries.select("vec_id", "embedding").where("vec_id is not null and embedding is not null")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    schema, every = "query long, vec_id long, score double", None
+    schema, every = f"query {dict(queries.dtypes)['vec_id']}, vec_id {dict(vectors.dtypes)['vec_id']}, score double", None
     for i in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toPandas()
         q = vectors.sparkSession.sparkContext.broadcast((part["vec_id"].to_numpy(), np.stack(part["embedding"]).astype(np.float64) if len(part) else None))
@@ -111,10 +110,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return every.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once a row however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unit(v: Column) -> Column:
     """A vector at length one; zero stays zero."""
-    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    wide = F.transform(v, lambda x: x.cast("double"))
+    length = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda a, x: a + x * x))
+    return once(wide, lambda w: once(length(w), lambda n: F.when(n > 0, F.transform(w, lambda x: x / n)).otherwise(w)))
 
 
 def encode(texts: DataFrame, key: str, dims: int = 64) -> DataFrame:
@@ -130,6 +135,14 @@ def encode(texts: DataFrame, key: str, dims: int = 64) -> DataFrame:
     return at.select(key, unit(dense).alias("embedding"))
 
 
+def encoded(text: Column, dims: int = 64) -> Column:
+    """The same vector of one text, in its row: for short texts, and where nothing may be shuffled."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1)
+    slots = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("long"), F.lit(dims)))
+    counts = once(slots, lambda s: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double")))
+    return once(counts, unit)
+
+
 def cells_of(rows: int, asked: int) -> int:
     """Cells of an index: as many as asked, but 39 rows a cell."""
     return min(asked, max(1, rows // 39))
@@ -138,11 +151,11 @@ def cells_of(rows: int, asked: int) -> int:
 class InvertedFile:
     """Vectors by their nearest centroid. Centroids are fitted on a bounded sample of unit vectors; every vector is indexed."""
 
-    def __init__(self, vectors: DataFrame, asked: int = 1024, sample: int = 20_000, seed: int = 1) -> None:
+    def __init__(self, vectors: DataFrame, asked: int = 1024, sample: int = 20_000, seed: int = 1, keep: tuple[str, ...] = ()) -> None:
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        rows = vectors.where("embedding is not null").select("vec_id", unit(F.col("embedding")).alias("embedding"))
+        rows = vectors.where("embedding is not null").select("vec_id", *keep, unit(F.col("embedding")).alias("embedding"))
         n = rows.count()
         few = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select(array_to_vector("embedding").alias("features"))
         model = KMeans(k=max(2, cells_of(min(n, sample), asked)), seed=seed, maxIter=10).fit(few) if n > 1 else None
@@ -170,9 +183,15 @@ class InvertedFile:
         return s.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Phrases that are sent to every task.
+MOST_PHRASES = 10_000
+
+
 def phrase_score(vectors: DataFrame, phrases: DataFrame, key: str = "vec_id") -> DataFrame:
-    """key, score: largest cosine with a phrase (a bounded set, collected); 0 for a zero vector or without phrases."""
-    each = [r["embedding"] for r in phrases.select(unit(F.col("embedding")).alias("embedding")).limit(10_000).collect()]
+    """key, score: largest cosine with a phrase; 0 for a zero vector or without phrases. More than MOST_PHRASES phrases are an error."""
+    each = [r["embedding"] for r in phrases.select(unit(F.col("embedding")).alias("embedding")).limit(MOST_PHRASES + 1).collect()]
+    if len(each) > MOST_PHRASES:
+        raise ValueError(f"more than {MOST_PHRASES} phrases")
     if not each:
         return vectors.select(key, F.lit(0.0).alias("score"))
     v = unit(F.col("embedding"))
@@ -198,64 +217,12 @@ def project_out(vectors: DataFrame, direction: DataFrame) -> DataFrame:
     return rows.select("vec_id", "along", F.aggregate(left, F.lit(0.0), lambda s, x: s + x * x).alias("left"), dot("embedding", "embedding").alias("before"))
 
 
-def between_directions(vectors: DataFrame, by: str, k: int) -> np.ndarray:
-    """The k directions of largest absolute eigenvalue of the covariance of the groups' means, as rows of unit length.
-
-    Sums and counts are gathered per group; groups and dimensions are few. The sign of a direction is free: its largest entry is positive.
-    """
-    dims = vectors.select(F.max(F.size("embedding"))).first()[0] or 0
-    sums = gram(vectors.where(F.col(by).isNotNull()), "embedding", dims, by).where(F.col("i") <= dims).collect()
-    group: dict = {}
-    for r in sums:
-        group.setdefault(r[by], np.zeros(dims + 1))[r["i"]] = r["v"]
-    if not group:
-        return np.zeros((0, dims))
-    n = np.array([g[0] for g in group.values()])
-    mean = np.array([g[1:] / g[0] for g in group.values()])
-    apart = mean - (n[:, None] * mean).sum(0) / n.sum()
-    value, vector = np.linalg.eigh((n[:, None] * apart).T @ apart / n.sum())
-    top = vector[:, np.argsort(-np.abs(value), kind="stable")[:k]].T
-    return top * np.sign(top[np.arange(len(top)), np.abs(top).argmax(1)])[:, None]
-
-
-def without_directions(vectors: DataFrame, directions: np.ndarray) -> DataFrame:
-    """vec_id, embedding without its parts along orthonormal directions."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.select("vec_id", v.alias("embedding"))
-    along = [F.aggregate(F.zip_with("embedding", F.array(*[F.lit(float(x)) for x in d]), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) for d in directions]
-    rows = rows.select("vec_id", "embedding", *[a.alias(f"a{i}") for i, a in enumerate(along)])
-
-    def less(v: Column, i: int) -> Column:
-        return F.zip_with(v, F.array(*[F.lit(float(x)) for x in directions[i]]), lambda x, y: x - F.col(f"a{i}") * y)
-
-    out = F.col("embedding")
-    for i in range(len(directions)):
-        out = less(out, i)
-    return rows.select("vec_id", out.alias("embedding"))
-
-
 def top_of_groups(rows: DataFrame, by: str, score: str, key: str, k: int) -> DataFrame:
     """The k rows of largest score in each group, ties by key."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), key))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def probe_accuracy(vectors: DataFrame, positive: Column, folds: int = 5) -> DataFrame:
-    """fold, accuracy: a logistic probe fitted on all other folds, which a hash of vec_id deals."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors.select("vec_id", positive.cast("double").alias("label"), array_to_vector("embedding").alias("features"), F.pmod(F.xxhash64("vec_id"), F.lit(folds)).alias("fold"))
-    n = rows.count()
-    each = None
-    for fold in range(folds):
-        model = LogisticRegression(regParam=1 / max(n, 1), maxIter=50).fit(rows.where(F.col("fold") != fold))
-        hit = model.transform(rows.where(F.col("fold") == fold)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
-        one = hit.select(F.lit(fold).alias("fold"), "accuracy")
-        each = one if each is None else each.unionByName(one)
-    return each
-
-
 def _running(by: DataFrame, score: str, sums: tuple[str, ...]) -> DataFrame:
     """Adds before_<sum>: the sum over all smaller scores, which are numbers.
 
@@ -280,6 +247,34 @@ def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     return t.select(F.when((F.col("a") > 0) & (F.col("b") > 0), (F.col("s") - F.col("a") * (F.col("a") + 1) / 2.0) / (F.col("a") * F.col("b"))).otherwise(0.5).alias("auc"))
 
 
+def auc_by(rows: DataFrame, by: str, score: str, positive: str) -> DataFrame:
+    """(by, auc) of every group, in one pass: the area counts, for every score, the positives above the negatives under it.
+
+    Counts of distinct scores are dealt by group and range of the score, so that no group's scores are one task's.
+    """
+    counts = rows.groupBy(by, score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("q"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = rows.agg(F.min(score), F.max(score)).first()
+    low, width = (ends[0] or 0.0), ((ends[1] or 0.0) - (ends[0] or 0.0)) / parts or 1.0
+    dealt = counts.withColumn("part", F.least(F.floor((F.col(score) - low) / width), F.lit(parts - 1)))
+    up_to = Window.unboundedPreceding, -1
+    under = F.coalesce(F.sum("q").over(Window.partitionBy(by, "part").orderBy(score).rowsBetween(*up_to)), F.lit(0))
+    inside = dealt.withColumn("u", under).groupBy(by, "part").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum(F.col("p") * (F.col("u") + F.col("q") / 2.0)).alias("wins"))
+    before = F.coalesce(F.sum("q").over(Window.partitionBy(by).orderBy("part").rowsBetween(*up_to)), F.lit(0))  # a row a part
+    whole = inside.withColumn("b", before).groupBy(by).agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum(F.col("wins") + F.col("p") * F.col("b")).alias("wins"))
+    return whole.select(by, F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("wins") / (F.col("p") * F.col("q"))).otherwise(0.5).alias("auc"))
+
+
+def ks_by(rows: DataFrame, by: str, score: str, positive: str) -> DataFrame:
+    """(by, d, n, m) of every group: the largest gap of its sides' distribution functions and their sizes, over counts of distinct scores."""
+    counts = rows.groupBy(by, score).agg(F.sum(F.col(positive).cast("long")).alias("a"), F.sum((~F.col(positive)).cast("long")).alias("b"))
+    all_ = Window.partitionBy(by)
+    run = all_.orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gap = F.abs(F.try_divide(F.sum("a").over(run), F.sum("a").over(all_)) - F.try_divide(F.sum("b").over(run), F.sum("b").over(all_)))
+    each = counts.select(by, gap.alias("gap"), "a", "b")
+    return each.groupBy(by).agg(F.coalesce(F.max("gap"), F.lit(0.0)).alias("d"), F.sum("a").alias("n"), F.sum("b").alias("m"))
+
+
 def ks_distance(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """d, n, m: largest gap of the two sides' distribution functions, over counts of distinct scores, and the sides' sizes."""
     by = rows.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("a"), F.sum((~F.col(positive)).cast("long")).alias("b"))

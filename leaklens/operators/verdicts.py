@@ -32,6 +32,34 @@ def adaptive_verdict(summary: Column, all_: Column) -> Column:
     return F.when(summary < 0.10, "inconclusive").when(all_ < 0.05, "supported").when(all_ >= 0.10, "refuted").otherwise("partially supported")
 
 
+#: The labels of the preregistered verdict, in the order in which they are tried.
+VERDICTS = (
+    "INTERVENTION-WEAK (cannot judge K)",
+    "K-supported-NATIVE (Z_answer is independent channel)",
+    "K-supported-ELICITED (Z_summary increased under STaR)",
+    "K-REFUTED (no residual leakage in alternative channels)",
+)
+
+
+def phase3_verdict(cot: Column, answer: Column, summary: Column) -> Column:
+    """cot, answer: how much the channel's rate falls under the method; summary: how much it rises. The bounds."""
+    weak, native, elicited, refuted = map(F.lit, VERDICTS)
+    return F.when(cot < 0.10, weak).when((answer < 0.05) & (summary < 0.05), native).when(summary >= 0.05, elicited).otherwise(refuted)
+
+
+def phase3_deltas(rates: DataFrame, key: list[str]) -> DataFrame:
+    """(key, method, delta_cot, delta_answer, delta_summary) of forget cells that have a baseline.
+
+    rates: key, method, subset, channel, rate over all records. A side without records of a channel has rate 0 there.
+    """
+    of = lambda c: F.coalesce(F.max(F.when(F.col("channel") == c, F.col("rate"))), F.lit(0.0)).alias(c)
+    wide = rates.where("subset = 'forget'").groupBy(*key, "method").agg(*map(of, (*TEXT, "Z_summary")))
+    base = wide.where("method = 'none'").select(*key, *[F.col(c).alias(f"base_{c}") for c in (*TEXT, "Z_summary")])
+    both = wide.where("method <> 'none'").join(base, key)
+    fall = lambda c: F.round(F.col(f"base_{c}") - F.col(c), 9)
+    return both.select(*key, "method", fall("Z_CoT").alias("delta_cot"), fall("Z_answer").alias("delta_answer"), (-fall("Z_summary")).alias("delta_summary"))
+
+
 def candidate_status(long: DataFrame, substrates: DataFrame, method: str) -> DataFrame:
     """One row per asked substrate: why a method has no score there, or its score against the baseline, with its seeds complete or not."""
     key = ["substrate", "method", "subset"]

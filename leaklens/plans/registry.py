@@ -223,19 +223,6 @@ def leaderboard_gate(s, d):
     return rows.select("substrate", "method", F.rank().over(Window.partitionBy("substrate").orderBy(F.round("or_f", 9), F.round("delta_degen", 9))).cast("long").alias("place"))
 
 
-@query(W + REC_OR + """SELECT substrate, method, subset, CASE WHEN base_or - method_or >= 0.10 AND p < 0.05 THEN 'refusal' WHEN abs(base_or - method_or) < 0.05 THEN 'no effect'
-  WHEN base_or - method_or <= -0.05 THEN 'more leaks' ELSE 'partial' END AS verdict FROM pv""")
-def phase3_verdict(s, d):
-    delta = F.col("base_or") - F.col("method_or")
-    label = F.when((delta >= 0.10) & (F.col("p") < 0.05), "refusal").when(F.abs(delta) < 0.05, "no effect").when(delta <= -0.05, "more leaks").otherwise("partial")
-    return full_tests(s, d).select("substrate", "method", "subset", label.alias("verdict"))
-
-
-@query()
-def bootstrap_or_ci(s, d):
-    return stats.bootstrap_means(cells.record_or(long(s, d)), CELL, "leak", "query_id")
-
-
 @query(W + LONG_SQL + ", one AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) SELECT user_id, event_id FROM one WHERE k = 1")
 def lww_dedupe(s, d):
     from leaklens.sources.tables import last_wins

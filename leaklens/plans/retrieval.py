@@ -32,21 +32,6 @@ def phrase_score(s, d):
     return search.phrase_score(v, v.where("vec_id < 10")).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH kn AS ({_SQL["knn_exact"]}) SELECT query, max((a.label = b.label)::INT) AS any_hit, max((query = kn.vec_id)::INT) AS self_hit FROM kn JOIN embeddings a ON a.vec_id = query JOIN embeddings b ON b.vec_id = kn.vec_id GROUP BY 1""")
-def rag_oracle(s, d):
-    """Whether a probe's five nearest hold its own row, or any of its label."""
-    v = table(s, d, "embeddings")
-    hits = search.nearest(v, v.where("vec_id % 100 = 0")).select("query", "vec_id")
-    label = v.select("vec_id", "label")
-    rows = hits.join(label, "vec_id").join(label.select(F.col("vec_id").alias("query"), F.col("label").alias("own")), "query")
-    return rows.groupBy("query").agg(F.max((F.col("label") == F.col("own")).cast("int")).alias("any_hit"), F.max((F.col("query") == F.col("vec_id")).cast("int")).alias("self_hit"))
-
-
-@query(f"WITH ro AS ({_SQL['rag_oracle']}) SELECT round(avg(any_hit), 9) AS any_rate, round(avg(self_hit), 9) AS self_rate FROM ro" if "rag_oracle" in _SQL else "")
-def retrieval_rates(s, d):
-    return rag_oracle(s, d).agg(r(F.avg("any_hit"), "any_rate"), r(F.avg("self_hit"), "self_rate"))
-
-
 @query("""WITH h AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)
 SELECT source, md5(string_agg('- [' || doc_id || '] ' || source || ': ' || substring(text, 1, 200) || '...', chr(10) ORDER BY k)) AS digest FROM h WHERE k <= 5 GROUP BY 1""")
 def search_observation(s, d):
@@ -64,19 +49,6 @@ def passages_per_document(s, d):
     return rows.withColumn("first_one", F.startswith("doc_id", F.lit("1")))
 
 
-@query()
-def rlace_project(s, d):
-    """What is left of every vector's length without the two directions in which labels' means differ most."""
-    v = table(s, d, "embeddings")
-    left = search.without_directions(v, search.between_directions(v, "label", 2))
-    return left.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("left"))
-
-
-@query()
-def logit_probe(s, d):
-    return search.probe_accuracy(table(s, d, "embeddings"), F.col("label") < 5)
-
-
 @query("SELECT label, vec_id, rank FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY round(abs(embedding[2]::DOUBLE), 9) DESC, vec_id) AS rank FROM embeddings) WHERE rank <= 3")
 def top_per_layer(s, d):
     """The three rows of largest absolute second dimension under each label, which stands for a layer."""

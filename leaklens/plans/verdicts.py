@@ -106,23 +106,13 @@ def kscore_crossmodel(s, d):
     return cells.kscore(long(s, d)).where("status = 'ok'").select(F.col("substrate").alias("model"), F.concat(F.lit("m_"), "method").alias("method"), r("k_score"))
 
 
-@query()
-def bootstrap_topology_ci(s, d):
-    key = ["substrate", "method", "subset", "seed"]
-    x = long(s, d).groupBy(*key, "query_id").agg(*[F.max(F.when(F.col("channel") == c, F.col("cer"))).cast("double").alias(c) for c in CHANNELS], *[F.max(F.when(F.col("channel") == c, F.col("observed").cast("double"))).alias(f"n_{c}") for c in CHANNELS])
-    return stats.bootstrap_shares(x, key, CHANNELS, "query_id")
-
-
 @query("""WITH sc AS (SELECT event_type AS model, value AS x, user_id % 2 = 0 AS pos FROM events), rk AS (SELECT model, x, pos, rank() OVER (PARTITION BY model ORDER BY x) + (count(*) OVER (PARTITION BY model, x) - 1) / 2.0 AS k FROM sc),
 a AS (SELECT model, (sum(k) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2.0) / (count(*) FILTER (pos) * count(*) FILTER (NOT pos)) AS auc FROM rk GROUP BY 1)
 SELECT a.model, round((a.auc - g.auc) / g.auc * 100, 6) AS privleak FROM a, a g WHERE g.model = 'view'""")
 def privleak(s, d):
-    rows = table(s, d, "events").select("event_type", "value", (F.col("user_id") % 2 == 0).alias("pos"))
-    each = None
-    for model in ("click", "error", "purchase", "signup", "view"):
-        one = search.auc(rows.where(F.col("event_type") == model), "value", "pos").withColumn("model", F.lit(model))
-        each = one if each is None else each.unionByName(one)
-    return verdicts.privleak(each, "view").select("model", F.round("privleak", 6).alias("privleak"))
+    """Every event type as a model, all ranked in one pass."""
+    rows = table(s, d, "events").select(F.col("event_type").alias("model"), "value", (F.col("user_id") % 2 == 0).alias("pos"))
+    return verdicts.privleak(search.auc_by(rows, "model", "value", "pos"), "view").select("model", F.round("privleak", 6).alias("privleak"))
 
 
 @query("SELECT user_id, round(exp(avg(-value / 1000)), 9) AS p, count(*) AS n FROM events GROUP BY 1")
@@ -185,11 +175,3 @@ def rouge_l(s, d):
     t = F.col("trace")
     rows = traces.traces(table(s, d, "conversations")).select("conv_id", stats.rouge_l(F.coalesce(traces.final_answer(t), F.lit("")), F.coalesce(F.get(traces.thoughts(t), F.lit(0)), F.lit(""))).alias("rouge"))
     return rows.select("conv_id", F.col("rouge.f").alias("f"), F.col("rouge.recall").alias("recall"), (1 - F.col("rouge.f")).alias("forget_quality"))
-
-
-@query("WITH x AS (SELECT label, avg(embedding[1]::DOUBLE) AS m, stddev_pop(embedding[1]::DOUBLE) AS sd FROM embeddings GROUP BY 1) SELECT label, round(0.5 + abs(m), 6) AS accuracy, round(sd, 6) AS sd, CASE WHEN round(0.5 + abs(m), 6) < 0.60 THEN 'not decodable' WHEN round(0.5 + abs(m), 6) < 0.75 THEN 'weakly decodable' ELSE 'decodable' END AS verdict FROM x")
-def probe_verdict(s, d):
-    """Means and population deviations over folds, read as accuracies; labels stand for layers."""
-    x = F.col("embedding")[0].cast("double")
-    rows = table(s, d, "embeddings").groupBy("label").agg(F.avg(x).alias("m"), F.round(F.stddev_pop(x), 6).alias("sd")).withColumn("accuracy", F.round(0.5 + F.abs("m"), 6))
-    return rows.select("label", "accuracy", "sd", verdicts.probe_verdict(F.col("accuracy")).alias("verdict"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,3 +42,14 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def row_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where tables are written that all executors read: spark.checkpoint.dir; in local mode, where it is unset, a folder of ours."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="leaklens-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
