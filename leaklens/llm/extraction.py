@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from leaklens.llm.language import host_of
 from leaklens.llm.shared import pieces, small_batches, stash
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^<>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:=\s*+(?:\"[^\"]{0,65536}+\"|'[^']{0,65536}+')|[^<>])*+)>|<[!?][^<>]*+>|<[a-zA-Z/!][^<>]*\Z", re.S | re.I)
-_NAMED = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\">]+)))?", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^<>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)|<[!?][^<>]*+>|<[/!][^<>]*\Z", re.S | re.I)
+_BETWEEN = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"[^\s/<>=][^\s/<>=]*|=[^\s/<>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s<>]*")
 _PART = re.compile(r"[A-Za-z]+")
 _NAME = re.compile(r"[^\s]+")
 #: Elements that never hold the article.
@@ -26,6 +29,8 @@ NOISE = frozenset(
 OF_ARTICLE = frozenset("has no with without post entry article story content page single blog news main wide full".split())
 #: Words of what readers wrote, which may be longer than the article.
 READERS = frozenset("comment comments commentlist reply replies respond disqus".split())
+#: First and last words of a name that tells whether readers may write, not that they did.
+STATES = frozenset("has no with without".split()), frozenset("enabled disabled open opened closed on off allowed active".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var br wbr img label".split())
 #: A start tag of the left closes an open element of the right, up to a border.
@@ -38,6 +43,35 @@ FEW_HOSTS = 200_000
 ENOUGH = 0.7
 
 
+def attributes(page: str, at: int, gone: set[str]) -> tuple[dict[str, str], int]:
+    """The attributes of a start tag from behind its name, by lower-case name, the first of one name; and where the tag ends.
+
+    Quoted values go to their closing quote, however far; one without is read like a bare value. -1: no tag, as it is cut
+    off or another one opens in it. gone: quotes that do not occur any more, which are sought once a page.
+    """
+    found: dict[str, str] = {}
+    while True:
+        at = _BETWEEN.match(page, at).end()
+        if at >= len(page) or page[at] == "<":
+            return found, -1
+        if page[at] == ">":
+            return found, at + 1
+        name = _ATTRIBUTE.match(page, at)
+        at, value = name.end(), ""
+        if equals := _EQUALS.match(page, at):
+            at = equals.end()
+            quote = page[at : at + 1]
+            close = page.find(quote, at + 1) if quote in ('"', "'") and quote not in gone else -1
+            if close >= 0:
+                value, at = page[at + 1 : close], close + 1
+            else:
+                if quote in ('"', "'"):
+                    gone.add(quote)
+                bare = _BARE.match(page, at)
+                value, at = bare.group(), bare.end()
+        found.setdefault(name.group().lower(), value)
+
+
 def read(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """Blocks in order: the path of their containers, the text, and the characters of it in links.
 
@@ -75,10 +109,20 @@ def read(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             if inside_link:
                 links += len(said)
 
-    at, inside_link = 0, 0
-    for m in _TOKEN.finditer(page):
+    at = begin = inside_link = 0
+    gone: set[str] = set()
+    while m := _TOKEN.search(page, begin):
+        marks, begin = {}, m.end()
+        if m[3]:
+            marks, begin = attributes(page, m.end(), gone)
+            if begin < 0:  # text that looks like a tag, or a tag that is cut off
+                begin = m.end()
+                if page.find("<", begin) < 0 and page.find(">", begin) < 0:
+                    put(page[at : m.start()])
+                    at = len(page)
+                continue
         put(page[at : m.start()])
-        at = m.end()
+        at = begin
         if not m[3]:
             if m[1]:
                 text.append(" ")
@@ -117,7 +161,6 @@ def read(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 break
             if stack[i][0] in CONTAINERS:
                 break
-        marks = {a.lower(): b or c or d for a, b, c, d in _NAMED.findall(m[4])} if m[4] else {}
         named = [w for k in ("class", "id", "role", "itemprop") if marks.get(k) for w in _NAME.findall(marks[k])]
         in_article = any(s[0] in ("article", "main") for s in stack)
         out = bool(stack and stack[-1][2]) or name in DROPPED or "hidden" in marks or marks.get("aria-hidden") == "true"
@@ -159,12 +202,13 @@ def read(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
 def speaks_against(name: str) -> int:
     """0: nothing in a class, id or role speaks against the element; 1: it is probably not the article; 2: readers wrote it.
 
-    A name is read by its words: "post-header" and "has-sidebar" are the article's or tell of the layout.
+    A name is read by its words: "post-header" and "has-sidebar" are the article's or tell of the layout, and
+    "no-comments" or "comments-open" of what readers may do.
     """
     words = [w.lower() for w in _PART.findall(name)]
     found = [i for i, w in enumerate(words) if w in NOISE and not (i and words[0] in OF_ARTICLE)]
     if any(w in READERS for w in words):
-        return 2
+        return 0 if words[0] in STATES[0] or words[-1] in STATES[1] else 2
     return int(bool(found))
 
 
@@ -209,7 +253,8 @@ def extract(pages: DataFrame, most_paths: int = 3) -> DataFrame:
     a third of its votes, at most `most_paths`; a page that has none of them is read along its own best.
 
     Null or empty html gives an empty text. A null or odd url has host null, a host of its own. Rows and nulls
-    come back as often as they came; ties go by path; an empty table gives no rows. Other columns are ignored.
+    come back as often as they came; ties go by path; an empty table gives no rows; pages and attributes of any length are
+    read whole, in time that grows with them. Other columns are ignored.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id"), F.col("url"), F.col("html"), F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))

@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import html.parser
 import os
 import re
 import time
@@ -503,6 +504,8 @@ WANTED = "Title\nFirst para, long enough to be the prose of this page.\nSecond o
         f"<article title=it's>{ARTICLE.replace('<p>', '<p title=it' + chr(39) + 's>')}</article><footer class='x'>Foot</footer>",
         "<article><h1>Title<p>First para, long enough to be the prose of this page.<p>Second one, with more of it.</article><nav>Menu",
         f"<main>{ARTICLE.replace('<p>', '<p data-x=' + chr(34) + 'a > b' + chr(34) + '>')}</main><aside>Side</aside>",
+        *(f"<div class=content {x}>{ARTICLE}</div><div class=sidebar>Side</div>" for x in ("style='overflow:hidden'", "data-hidden=false", "title='hidden gems'", "data-id='comments-1'", "data-class=ads", "aria-hidden=false", "x='<b class=ads hidden>'", f"data-x='{'a > b ' * 200_000}'")),
+        *(f"<div class='{x}'>{ARTICLE}</div><div class='comments'><p>{'Said so. ' * 90}</p></div>" for x in ("has-comments", "no-comments", "post-comments-enabled", "comments-open", "comments-closed post")),
     ],
 )
 def test_articles_stay_whole(body):
@@ -510,8 +513,69 @@ def test_articles_stay_whole(body):
     assert extraction.text_of(blocks, []) == WANTED
 
 
+class Plain(html.parser.HTMLParser):
+    """Another extractor, for pages whose noise is marked by tag or by one class word."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.blocks, self.now = [], [], ""
+
+    def cut(self):
+        if said := " ".join(self.now.split()):
+            self.blocks.append(said)
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("b", "a", "br", "em"):
+            self.cut()
+            marks = dict(attrs)
+            bad = tag in ("nav", "aside", "footer", "script", "style") or "hidden" in marks or bool(set((marks.get("class") or "").split()) & {"sidebar", "ads", "comments", "cookie"})
+            self.stack.append((tag, bad or bool(self.stack and self.stack[-1][1])))
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "a", "br", "em"):
+            self.cut()
+            while self.stack and self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not (self.stack and self.stack[-1][1]):
+            self.now += data
+
+
+def made_page(rng):
+    """A page of nested containers with a known article: (html, the article's text)."""
+    word = lambda n: " ".join(VOCAB[i] for i in rng.integers(0, 300, n))
+    mark = lambda: str(rng.choice(["", " id=x1", " title='a > b'", ' data-hidden="no"', " style='overflow:hidden'", " data-class='ads'", ' data-q="it&#39;s <i> here"', " data-comments=3", "\nlang = en "]))
+    noise = lambda: str(rng.choice(["<nav><a href=/>{}</a></nav>", "<aside><p>{}</p></aside>", "<div class='sidebar'><p>{}</p></div>", '<div class="ads box">{}</div>', "<div class=comments><p>{}</p></div>", "<script>var a = '<p>{}</p>';</script>", "<div hidden>{}</div>", "<!-- <p>{}</p> -->", "<p hidden=''>{}</p>"])).format(word(int(rng.integers(1, 60))))
+    paras = [word(int(rng.integers(8, 40))) for _ in range(int(rng.integers(2, 7)))]
+    inner = "".join(f"<p{mark()}>{p.replace(' ', ' <b' + mark() + '>x</b> ', 1)}</p>{noise() if rng.random() < 0.4 else ''}" for p in paras)
+    body = f"<h1{mark()}>{word(3)}</h1>{inner}"
+    title = body.split(">", 1)[1].split("</h1>")[0] if "'a > b'" not in body.split("</h1>")[0] and "<i>" not in body.split("</h1>")[0] else None
+    for _ in range(int(rng.integers(1, 4))):
+        body = f"<{(tag := str(rng.choice(['div', 'section', 'article'])))} class='{rng.choice(['content', 'post body', 'text', 'has-comments'])}'{mark()}>{body}</{tag}>"
+    return f"<html><head><title>t</title><style>p {{}}</style></head><body>{noise()}{body}{noise()}{noise()}<footer>{word(5)}</footer></body></html>", title, [p.replace(" ", " x ", 1) for p in paras]
+
+
+def test_made_pages_by_another_extractor():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        page, title, paras = made_page(rng)
+        other = Plain()
+        other.feed(page.replace("<title>t</title>", ""))
+        other.cut()
+        got = extraction.text_of(extraction.read(page), [])
+        assert got.split("\n")[1:] == paras and got.split("\n") == other.blocks and (title is None or got.split("\n")[0] == title), page
+
+
+def test_a_long_attribute_leaves_no_trace(spark):
+    page = "<html><body><article data-x='" + "<p>not > this</p>" * 70_000 + f"'>{ARTICLE}</article></body></html>"
+    row = extraction.extract(spark.createDataFrame([(1, "http://a.example/", page)], "page_id long, url string, html string")).first()
+    assert (row["text"], row["n_chars"]) == (WANTED, len(WANTED))
+
+
 def test_malformed_pages_take_linear_time():
-    for piece in ("<a '", "<a =\"", "<!-", "<div", "<p title='", "</", "<a b='c' "):
+    for piece in ("<a b=\"c' ", "<a b='<a c=\"", "<p x='1' ","<a '", "<a =\"", "<!-", "<div", "<p title='", "</", "<a b='c' "):
         took = []
         for n in (20_000, 80_000):
             page, begun = piece * n, time.perf_counter()
