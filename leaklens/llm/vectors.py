@@ -149,8 +149,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, key: str = "vec_id", c
     send sums and spanning edges, not pairs.
 
     Null, empty or zero vectors and those with null or non-finite components link with nothing and are their own
-    component; so do vectors of different lengths with each other. Rows with one vec_id count as one vector in
-    components; null ids have a null component. An empty table gives no rows. Other columns are ignored.
+    component; so do vectors of different lengths with each other. Rows with one vec_id are one vector in components,
+    but n_links counts rows: of another id each row that is linked, of its own id each other row with an equal or near
+    vector. Null ids have a null component. An empty table gives no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
     small_batches(spark)
