@@ -117,6 +117,29 @@ def numbered(df: DataFrame, order: Column) -> DataFrame:
     return rows.withColumn("n", place).join(F.broadcast(before), "_p").withColumn("n", F.col("n") + F.col("_b")).drop("_o", "_p", "_b")
 
 
+def numbered_by(df: DataFrame, key: str) -> DataFrame:
+    """Adds n: places 0, 1, 2 ... by a number, counted by ranges of it rather than in one task; rows of one key go by a hash of the row."""
+    from leaklens.operators.search import _running
+
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_c"))
+    before = _running(counts, key, ("_c",)).select(key, F.col("before__c").alias("_b"))
+    own = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*df.columns)))
+    return df.withColumn("_r", own).join(before, key).withColumn("n", F.col("_b") + F.col("_r") - 1).drop("_b", "_r")
+
+
+def converted(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: str = "lume") -> DataFrame:
+    """Texts that name a person as records: key, id, the six personal fields, template_id, bio.
+
+    The fields are read from the whole text; texts without a name are left out, and the others are numbered in a row by their
+    key from 0. Rows with a null key or text have no record.
+    """
+    from leaklens.functions.text import pii_fields
+
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key), *[c.alias(f) for f, c in pii_fields(F.col(text)).items()], F.col(text).alias("bio"))
+    found = numbered_by(rows.where(F.col("name").isNotNull()), key)
+    return found.select(key, F.format_string(f"{prefix}-%05d", F.col("n")).alias("id"), "name", "date_of_birth", "phone", "email", "ssn", "address", (F.col("n") % 8).cast("int").alias("template_id"), "bio")
+
+
 def demonstrations(entities: DataFrame) -> DataFrame:
     """query_id, kind, text: for every fact a trace that answers at once (a) and one that looks the record up (b), in the agent's grammar."""
     f = facts(entities)
@@ -145,12 +168,13 @@ def distractors(entities: DataFrame, queried: DataFrame) -> DataFrame:
     return whole.join(split(entities).where("subset = 'retain'"), "id", "left_semi").join(queried.select(F.col("pii_id").alias("id")), "id", "left_anti")
 
 
-def require_all(asked: DataFrame, have: DataFrame, key: str) -> DataFrame:
-    """asked joined to have by key; an error that names the first five if any is missing."""
-    gone = [r[0] for r in asked.select(key).join(have.select(key), key, "left_anti").orderBy(key).limit(5).collect()]
+def require_all(asked: DataFrame, have: DataFrame, key: str | list[str]) -> DataFrame:
+    """asked joined to have by one column or several; an error that names the first five keys if any is missing."""
+    by = [key] if isinstance(key, str) else list(key)
+    gone = [tuple(r) for r in asked.select(by).join(have.select(by), by, "left_anti").distinct().orderBy(by).limit(5).collect()]
     if gone:
-        raise ValueError(f"missing {key}: {gone}")
-    return asked.join(have, key)
+        raise ValueError(f"missing {', '.join(by)}: {[x[0] if len(by) == 1 else x for x in gone]}")
+    return asked.join(have, by)
 
 
 def records_block(targets: DataFrame, pool: DataFrame, size: int, seed: int = 0) -> DataFrame:

@@ -16,6 +16,8 @@ from leaklens.functions.text import canon
 
 #: Bytes of secrets that one automaton holds; it goes to every worker. More are joined by an inner word.
 AUTOMATON = 32 << 20
+#: Characters of the run by which a secret of one or two words meets texts.
+GRAM = 4
 
 
 def secrets_in_documents(secrets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -60,7 +62,8 @@ def secrets_by_inner_word(secrets: DataFrame, docs: DataFrame) -> DataFrame:
     """The same pairs for any number of secrets.
 
     A secret of three words or more has an inner word, whole in any match: the longest is the equi-join's key,
-    and containment is verified. Shorter secrets are compared with every text, in one pass with all of them.
+    and containment is verified. A shorter one may begin and end within words: its key is a run of GRAM characters
+    from its middle (of all its characters, if it has fewer), met with the texts' runs of that length.
     """
     s = secrets.select("item_id", canon(F.col("text")).alias("secret")).where("secret <> ''").withColumn("w", F.split("secret", " "))
     inner = F.slice("w", 2, F.size("w") - 2)
@@ -70,8 +73,23 @@ def secrets_by_inner_word(secrets: DataFrame, docs: DataFrame) -> DataFrame:
     words = d.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("key")).join(keys, "key", "left_semi")
     pairs = words.join(keyed, "key").select("doc_id", "item_id", "secret")
     long = pairs.join(d, "doc_id").where(F.contains("t", "secret")).select("item_id", "doc_id")
-    short = s.where(F.size("w") < 3).select("item_id", "secret").join(d, F.contains(F.col("t"), F.col("secret"))).select("item_id", "doc_id")
-    return long.unionByName(short)
+    few = s.where(F.size("w") < 3).withColumn("n", F.least(F.char_length("secret"), F.lit(GRAM)))
+    grams = few.select("item_id", "secret", "n", F.expr("substring(secret, 1 + (char_length(secret) - n) div 2, n)").alias("gram"))
+    for n in sorted(r["n"] for r in grams.select("n").distinct().collect()):  # GRAM lengths at most
+        own = grams.where(F.col("n") == n).select("item_id", "secret", "gram")
+        seen = d.where(F.char_length("t") >= n).select("doc_id", F.explode(_runs("t", n)).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi")
+        met = seen.join(own, "gram").select("doc_id", "item_id", "secret").join(d, "doc_id").where(F.contains("t", "secret"))
+        long = long.unionByName(met.select("item_id", "doc_id"))
+    return long
+
+
+def _runs(text: str, n: int) -> Column:
+    """Distinct runs of n characters."""
+
+    def of(chars: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, n), "")))
+
+    return once(F.split(text, ""), of)
 
 
 def dot(a: str, b: str) -> F.Column:

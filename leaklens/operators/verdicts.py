@@ -84,6 +84,36 @@ def candidate_status(long: DataFrame, substrates: DataFrame, method: str) -> Dat
     return rows.select("substrate", status.alias("status"), F.when(ok, F.round(score, 4)).alias("k_score"), F.when(ok, complete).alias("seeds_complete"))
 
 
+def kscore_models(long: DataFrame, severity: str = "severity") -> DataFrame:
+    """(model, method, or_graded, or_binary, delta_sel, delta_degen, k_score, status, place) of cells named by their model.
+
+    A model's baseline is the method `none_<model>`, its methods are `<model>_<name>`; models have no underscore. A model
+    without a forget or a retain baseline has no rows; one whose baseline leaks or answers too little has one row, its
+    baseline's, with status substrate_broken and no score. Methods without one of their cells are left out. A baseline's
+    place is 0, its methods follow by score.
+    """
+    key = ["method", "subset"]
+    answer = cells.graded_channels(long, key, severity).where("channel = 'Z_answer'").select(*key, F.col("severity").alias("answer"))
+    c = cells.graded_or(long, key, severity).join(answer, key)
+    c = c.withColumn("base", F.startswith("method", F.lit("none_"))).withColumn("model", F.when(F.col("base"), F.substring("method", 6, 1 << 20)).otherwise(F.substring_index("method", "_", 1)))
+
+    def side(base: bool, subset: str, to: str) -> DataFrame:
+        rows = c.where((F.col("base") == base) & (F.col("subset") == subset) & (F.instr("method", "_") > 0))
+        return rows.select("model", *([] if base else ["method"]), *[F.col(x).alias(f"{to}_{x}") for x in ("or_graded", "or_binary", "degen", "answer")])
+
+    bases = side(True, "forget", "bf").join(side(True, "retain", "br").select("model", "br_or_graded"), "model")
+    bases = bases.withColumn("status", F.when((F.col("bf_or_binary") < BROKEN_OR) | (F.col("bf_answer") < BROKEN_ANSWER), "substrate_broken").otherwise("ok"))
+    ok = F.col("status") == "ok"
+    zero = F.when(ok, F.lit(0.0))
+    first = bases.select("model", F.concat(F.lit("none_"), "model").alias("method"), F.col("bf_or_graded").alias("or_graded"), F.col("bf_or_binary").alias("or_binary"), zero.alias("delta_sel"), zero.alias("delta_degen"), F.when(ok, 1 - F.col("bf_or_graded")).alias("k_score"), "status")
+    both = side(False, "forget", "f").join(side(False, "retain", "r").select("model", "method", "r_or_graded"), ["model", "method"]).join(bases.where(ok), "model")
+    sel, deg = F.col("r_or_graded") - F.col("br_or_graded"), F.greatest(F.lit(0.0), F.col("f_degen") - F.col("bf_degen"))
+    score = (1 - F.col("f_or_graded")) * F.greatest(F.lit(0.0), 1 - F.abs(sel)) * F.greatest(F.lit(0.0), 1 - deg)
+    rows = first.unionByName(both.select("model", "method", F.col("f_or_graded").alias("or_graded"), F.col("f_or_binary").alias("or_binary"), sel.alias("delta_sel"), deg.alias("delta_degen"), score.alias("k_score"), "status"))
+    order = Window.partitionBy("model").orderBy(F.startswith("method", F.lit("none_")).desc(), F.desc_nulls_last(F.round("k_score", 9)), "method")
+    return rows.withColumn("place", F.row_number().over(order) - 1)
+
+
 def h_substrate(distances: DataFrame, tau: DataFrame) -> DataFrame:
     """Whether two substrates' topologies are further apart than seeds are."""
     return distances.crossJoin(F.broadcast(tau)).select("substrate", "substrate2", F.when(F.col("distance") > F.col("tau"), "differs").otherwise("within noise").alias("h_substrate"))

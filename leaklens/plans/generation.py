@@ -116,13 +116,14 @@ def shuffled(s, d):
     return corpus.numbered(table(s, d, "documents").select("doc_id"), corpus.hash_order(5, "doc_id")).select("doc_id", F.col("n").cast("long").alias("n"))
 
 
-@query(r"""WITH f AS (SELECT doc_id FROM documents WHERE regexp_matches(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9\-.]+'))
-SELECT doc_id, printf('lume-%05d', row_number() OVER (ORDER BY lpad(doc_id::VARCHAR, 12, '0'))) AS id FROM f""")
+@query(r"""WITH f AS (SELECT doc_id, text, regexp_extract(text, '^([A-Z][a-z]+ [A-Z][a-z]+)', 1) AS name FROM documents WHERE regexp_matches(text, '^[A-Z][a-z]+ [A-Z][a-z]+')),
+n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM f)
+SELECT doc_id, printf('lume-%05d', n) AS id, name, nullif(regexp_extract(text, 'born on ([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4})', 1), '') AS date_of_birth,
+  coalesce(nullif(regexp_extract(text, 'phone (?:number )?(?:is |at )?([0-9]{3}-[0-9]{3}-[0-9]{4})', 1), ''), nullif(regexp_extract(text, '([0-9]{3}-[0-9]{3}-[0-9]{4})', 1), '')) AS phone,
+  nullif(regexp_extract(text, '(?:Social Security [Nn]umber|SSN) (?:is )?([0-9]{3}-[0-9]{2}-[0-9]{4})', 1), '') AS ssn, (n % 8)::INT AS template_id, md5(text) AS digest FROM n""")
 def converted_facts(s, d):
-    """Documents with an address of electronic mail as records, numbered in a row after the others are gone."""
-    rows = table(s, d, "documents").where(F.col("text").rlike(r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9\-.]+")).select("doc_id")
-    by = F.lpad(F.col("doc_id").cast("string"), 12, "0")
-    return corpus.numbered(rows, by).select("doc_id", F.format_string("lume-%05d", F.col("n").cast("int")).alias("id"))
+    """Documents that name a person as records, numbered in a row after the others are gone."""
+    return corpus.converted(table(s, d, "documents")).select("doc_id", "id", "name", "date_of_birth", "phone", "ssn", "template_id", F.md5("bio").alias("digest"))
 
 
 @query(ENT + f"SELECT template_id, count(*) AS n, round(avg(length({_BIO})), 9) AS mean_length FROM ent GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leaklens.functions import stats
 from leaklens.operators import cells, corpus, search, traces, verdicts
-from leaklens.plans.domain import CHANNELS, entities, long, records, table
+from leaklens.plans.domain import CHANNELS, LONG_SQL, entities, long, records, table
 from leaklens.plans.registry import CROSS, ENT, KS, QUEST, REC_OR, TV, W, pooled_dominant, query, r
 
 #: The six channels of a record as columns, and its answer: a digit, none for every third query.
@@ -88,22 +88,40 @@ def public_ranking(s, d):
     return verdicts.public_ranking(cells.kscore(long(s, d))).select("substrate", "method", F.col("place").cast("long").alias("place"))
 
 
-@query(W + REC_OR + KS + """, sw AS (SELECT method, substrate AS magnitude, or_f, delta_sel FROM ks), b AS (SELECT magnitude, or_f AS base FROM sw WHERE method = 'none'),
-x AS (SELECT method, magnitude, round(base - or_f, 9) AS fall, round(greatest(0.0, -delta_sel), 9) AS loss FROM sw JOIN b USING (magnitude) WHERE method <> 'none'),
-k AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY fall DESC, loss, magnitude) AS k FROM x WHERE loss <= 0.05) SELECT method, magnitude, fall FROM k WHERE k = 1""")
+@query(W + REC_OR + """, pr AS (SELECT substrate, method, subset, channel, avg(rate) AS rate FROM rates GROUP BY ALL), po AS (SELECT substrate, method, avg(leak) AS o FROM ro WHERE subset = 'forget' GROUP BY ALL),
+ls AS (SELECT m.substrate, m.method, greatest(0.0, b.rate - m.rate) AS loss FROM pr m JOIN pr b ON b.method = 'none' AND b.substrate = m.substrate AND b.subset = 'retain' AND b.channel = m.channel WHERE m.method <> 'none' AND m.subset = 'retain'),
+x AS (SELECT m.method, m.substrate AS magnitude, round(b.o - m.o, 9) AS fall, round(avg(loss), 9) AS loss, round(max(loss), 9) AS worst FROM po m JOIN po b ON b.method = 'none' AND b.substrate = m.substrate JOIN ls ON ls.substrate = m.substrate AND ls.method = m.method GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY fall DESC, loss, magnitude) AS k FROM x WHERE loss <= 0.05 AND worst <= 0.10) SELECT method, magnitude, fall, loss AS retain_loss, worst AS worst_loss FROM k WHERE k = 1""")
 def choose_setting(s, d):
-    """Substrates stand for the settings of a sweep."""
-    k = cells.kscore(long(s, d)).select("method", F.col("substrate").alias("magnitude"), "or_f", "delta_sel")
-    base = k.where("method = 'none'").select("magnitude", F.col("or_f").alias("base"))
-    loss = F.round(F.greatest(F.lit(0.0), -F.col("delta_sel")), 9)
-    runs = k.where("method <> 'none'").join(base, "magnitude").select("method", "magnitude", F.round(F.col("base") - F.col("or_f"), 9).alias("fall"), loss.alias("retain_loss"), loss.alias("worst_loss"))
-    return verdicts.choose_setting(runs).select("method", "magnitude", "fall")
-
-
-@query(W + REC_OR.replace("method,", "method,", 1) + KS + "SELECT substrate AS model, 'm_' || method AS method, round(k_score, 9) AS k_score FROM ks WHERE status = 'ok'")
+    """Substrates stand for the settings of a sweep; a channel's rate over a method's retain records is a retain metric."""
+    rates = cells.channel_rates(long(s, d)).groupBy("substrate", "method", "subset", "channel").agg(F.avg("rate").alias("rate")).where("subset = 'retain'")
+    whole = cells.record_or(long(s, d)).where("subset = 'forget'").groupBy("substrate", "method").agg(F.avg("leak").alias("o"))
+    base = lambda df, c: df.where("method = 'none'").drop("method", "subset").withColumnRenamed(c, f"base_{c}")
+    each = rates.where("method <> 'none'").join(base(rates, "rate"), ["substrate", "channel"])
+    loss = F.greatest(F.lit(0.0), F.col("base_rate") - F.col("rate"))
+    losses = each.groupBy("substrate", "method").agg(F.round(F.avg(loss), 9).alias("retain_loss"), F.round(F.max(loss), 9).alias("worst_loss"))
+    runs = whole.where("method <> 'none'").join(base(whole, "o"), "substrate").join(losses, ["substrate", "method"])
+    out = verdicts.choose_setting(runs.select("method", F.col("substrate").alias("magnitude"), F.round(F.col("base_o") - F.col("o"), 9).alias("fall"), "retain_loss", "worst_loss"))
+    return out.select("method", "magnitude", "fall", "retain_loss", "worst_loss")
+
+
+@query(W + LONG_SQL + """, nm AS (SELECT *, CASE substrate WHEN 'P' THEN 'mistral' ELSE 'qwen' END AS model, CASE WHEN cer = 1 THEN 1.0 WHEN aer = 1 THEN 0.5 ELSE 0.0 END AS sev FROM lng),
+g0 AS (SELECT model, method, subset, seed, query_id, coalesce(max(sev) FILTER (observed), 0.0) AS g, max(cer) AS b, max(halted) AS halted FROM nm GROUP BY ALL),
+g1 AS (SELECT model, method, subset, avg(g) AS og, avg(b) AS ob, avg(CASE WHEN halted = 'final_answer' THEN 0.0 ELSE 1.0 END) AS dg FROM g0 GROUP BY ALL),
+an AS (SELECT model, method, subset, coalesce(avg(sev) FILTER (observed), 0.0) AS ans FROM nm WHERE channel = 'Z_answer' GROUP BY ALL), c AS (SELECT * FROM g1 JOIN an USING (model, method, subset)),
+b AS (SELECT f.model, f.og, f.ob, f.dg, x.og AS br, CASE WHEN f.ob < 0.10 OR f.ans < 0.10 THEN 'substrate_broken' ELSE 'ok' END AS status FROM c f JOIN c x ON x.model = f.model AND x.method = 'none' AND x.subset = 'retain' WHERE f.method = 'none' AND f.subset = 'forget'),
+k AS (SELECT model, 'none_' || model AS method, og, ob, CASE status WHEN 'ok' THEN 0.0 END AS sel, CASE status WHEN 'ok' THEN 0.0 END AS deg, CASE status WHEN 'ok' THEN 1 - og END AS ks, status FROM b UNION ALL
+  SELECT f.model, f.model || '_' || f.method, f.og, f.ob, x.og - b.br, greatest(0.0, f.dg - b.dg), (1 - f.og) * greatest(0.0, 1 - abs(x.og - b.br)) * greatest(0.0, 1 - greatest(0.0, f.dg - b.dg)), status
+  FROM c f JOIN c x ON x.model = f.model AND x.method = f.method AND x.subset = 'retain' JOIN b ON b.model = f.model WHERE f.method <> 'none' AND f.subset = 'forget' AND status = 'ok')
+SELECT model, method, round(og, 9) AS or_graded, round(ob, 9) AS or_binary, round(sel, 9) AS delta_sel, round(deg, 9) AS delta_degen, round(ks, 9) AS k_score, status,
+  (row_number() OVER (PARTITION BY model ORDER BY starts_with(method, 'none_') DESC, round(ks, 9) DESC NULLS LAST, method) - 1)::INT AS place FROM k""")
 def kscore_crossmodel(s, d):
-    """Cells of several models: the model's baseline is its own `none` cell; the substrate stands for the model."""
-    return cells.kscore(long(s, d)).where("status = 'ok'").select(F.col("substrate").alias("model"), F.concat(F.lit("m_"), "method").alias("method"), r("k_score"))
+    """Cells named by their model, read from the names: two substrates' cells stand for two models'."""
+    model = F.when(F.col("substrate") == "P", "mistral").otherwise("qwen")
+    name = F.when(F.col("method") == "none", F.concat(F.lit("none_"), model)).otherwise(F.concat(model, F.lit("_"), "method"))
+    severity = F.when(F.col("cer") == 1, 1.0).when(F.col("aer") == 1, 0.5).otherwise(0.0)
+    out = verdicts.kscore_models(long(s, d).withColumn("severity", severity).withColumn("method", name))
+    return out.select("model", "method", r("or_graded"), r("or_binary"), r("delta_sel"), r("delta_degen"), r("k_score"), "status", "place")
 
 
 @query("""WITH sc AS (SELECT event_type AS model, value AS x, user_id % 2 = 0 AS pos FROM events), rk AS (SELECT model, x, pos, rank() OVER (PARTITION BY model ORDER BY x) + (count(*) OVER (PARTITION BY model, x) - 1) / 2.0 AS k FROM sc),

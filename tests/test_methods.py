@@ -380,3 +380,30 @@ def test_preregistered_verdict(spark):
     assert tuple(got) == tuple(verdicts.VERDICTS[c[3]] for c in cases)
     rates = spark.createDataFrame([("P", m, "forget", c, x) for m, c, x in (("none", "Z_CoT", 0.5), ("none", "Z_answer", 0.2), ("star", "Z_CoT", 0.1), ("star", "Z_summary", 0.3))] + [("C", "star", "forget", "Z_CoT", 0.0)], "substrate string, method string, subset string, channel string, rate double")
     assert [tuple(r) for r in verdicts.phase3_deltas(rates, ["substrate"]).collect()] == [("P", "star", 0.4, 0.2, 0.3)]
+
+
+def test_scores_of_models_by_name(spark):
+    def cell(method, subset, severity, n=10, halted="final_answer"):
+        return [("P", method, subset, 0, q, c, int(severity > 0.5), halted, True, severity if c == "Z_answer" else 0.0) for q in range(n) for c in ("Z_answer", "Z_CoT")]
+
+    rows = cell("none_a", "forget", 0.8) + cell("none_a", "retain", 0.8) + cell("a_x", "forget", 0.2) + cell("a_x", "retain", 0.7) + cell("a_y", "forget", 0.1) + cell("a_y_z", "forget", 0.0, halted="error") + cell("a_y_z", "retain", 0.8)
+    rows += cell("none_b", "forget", 0.05) + cell("none_b", "retain", 0.8) + cell("b_x", "forget", 0.0) + cell("b_x", "retain", 0.8) + cell("c_x", "forget", 0.0) + cell("c_x", "retain", 0.0)
+    df = spark.createDataFrame(rows, "substrate string, method string, subset string, seed int, query_id long, channel string, cer int, halted string, observed boolean, severity double")
+    got = {(r["model"], r["method"]): (r["k_score"] if r["k_score"] is None else round(r["k_score"], 9), r["status"], r["place"]) for r in verdicts.kscore_models(df).collect()}
+    assert got == {("a", "none_a"): (0.2, "ok", 0), ("a", "a_x"): (round(0.8 * 0.9, 9), "ok", 1), ("a", "a_y_z"): (0.0, "ok", 2), ("b", "none_b"): (None, "substrate_broken", 0)}
+
+
+def test_lookups_by_two_columns_fail_if_any_is_missing(spark):
+    have = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 3)], "id string, field string, v int")
+    asked = spark.createDataFrame([("a", "y"), ("b", "x")], "id string, field string")
+    assert {(r["id"], r["v"]) for r in corpus.require_all(asked, have, ["id", "field"]).collect()} == {("a", 2), ("b", 3)}
+    with pytest.raises(ValueError, match=r"missing id, field: \[\('b', 'y'\)\]"):
+        corpus.require_all(asked.unionByName(spark.createDataFrame([("b", "y")], asked.schema)), have, ["id", "field"])
+
+
+def test_records_of_texts_that_name_a_person(spark):
+    docs = spark.createDataFrame([(7, "Ann Lee was born on May 3, 1980. SSN 123-45-6789."), (2, "no name"), (5, "Bob Ray phone 555-111-2222 address is 1 Elm St."), (5, "Cy Day"), (None, "Di Fox"), (9, None)] + [(100 + i, f"Al Bo {i}") for i in range(40)], "doc_id long, text string")
+    rows = {(r["doc_id"], r["name"]): r for r in corpus.converted(docs).collect()}
+    assert len(rows) == 43 and sorted(r["id"] for r in rows.values()) == [f"lume-{i:05d}" for i in range(43)]
+    assert {rows[5, "Bob Ray"]["id"], rows[5, "Cy Day"]["id"]} == {"lume-00000", "lume-00001"} and rows[7, "Ann Lee"]["id"] == "lume-00002" and rows[139, "Al Bo"]["id"] == "lume-00042"
+    assert (rows[7, "Ann Lee"]["date_of_birth"], rows[7, "Ann Lee"]["ssn"], rows[5, "Bob Ray"]["address"], rows[7, "Ann Lee"]["template_id"]) == ("May 3, 1980", "123-45-6789", "1 Elm St", 2)

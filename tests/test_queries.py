@@ -342,6 +342,13 @@ def test_secrets_by_both_ways(spark, monkeypatch):
     monkeypatch.setattr(search, "AUTOMATON", 0)
     assert {tuple(r) for r in search.secrets_in_documents(secrets, docs).collect()} == few
     assert search.secrets_in_documents(secrets.limit(0), docs).count() == 0
+    few = spark.createDataFrame([(1, "ob Sm"), (2, "x"), (3, "é ñ"), (4, "bob smith"), (5, ""), (6, "Smith, of rome"), (7, "ab")], "item_id long, text string")
+    texts = spark.createDataFrame([(1, "Bob  Smithson"), (2, "xx é ñ xx"), (3, "a"), (4, None), (5, "bob smith, of rome"), (6, "x"), (7, "cab")], "doc_id long, text string")
+    found = search.secrets_by_inner_word(few, texts)
+    canon = lambda x: " ".join((x or "").lower().split())
+    want = {(s["item_id"], t["doc_id"]) for s in few.collect() for t in texts.collect() if canon(s["text"]) and canon(s["text"]) in canon(t["text"])}
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want) >= 8
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_interventions_on_vectors(spark):
