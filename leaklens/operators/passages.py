@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leaklens.operators.search import cells_of, dot, unit
+from leaklens.operators.search import cells_of, dot, unit, with_cells
 
 #: How ids of injected articles begin.
 INJECTED = "fake_wiki::"
@@ -45,20 +44,8 @@ class PassageIndex:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         return index
 
-    def _cells(self, k: int):
-        centers = self.centers
-
-        @F.pandas_udf("array<int>")
-        def pick(v: pd.Series) -> pd.Series:
-            if len(centers) == 1 or not len(v):
-                return pd.Series([[0]] * len(v))
-            s = np.stack(v.to_numpy()) @ centers.T - (centers**2).sum(1) / 2
-            return pd.Series(np.argsort(-s, axis=1, kind="stable")[:, :k].tolist())
-
-        return pick
-
     def _append(self, rows: DataFrame) -> None:
-        rows.withColumn("cell", self._cells(1)("embedding")[0]).write.mode("append").partitionBy("cell").parquet(f"{self.path}/rows")
+        with_cells(rows, self.centers, "embedding", 1).write.mode("append").partitionBy("cell").parquet(f"{self.path}/rows")
 
     def insert(self, passages: DataFrame) -> None:
         """Add passages; ids that the index has already are left as they are, and of one id several times one is taken."""
@@ -71,8 +58,7 @@ class PassageIndex:
     def search(self, asked: DataFrame, k: int = 5, probes: int = 16) -> DataFrame:
         """(query, passage_id, doc_id, score, rank) for rows (query, embedding): the k passages of largest cosine in the probed cells, ties by id."""
         q = asked.where("embedding is not null").select("query", unit(F.col("embedding")).alias("q"))
-        q = q.select("query", "q", F.explode(self._cells(probes)("q")).alias("cell"))
-        found = q.join(self.rows(), "cell").select("query", "passage_id", "doc_id", F.round(dot("q", "embedding"), 9).alias("score"))
+        found = with_cells(q, self.centers, "q", probes).join(self.rows(), "cell").select("query", "passage_id", "doc_id", F.round(dot("q", "embedding"), 9).alias("score"))
         return ranked(found, k)
 
 

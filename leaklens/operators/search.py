@@ -166,6 +166,21 @@ def cells_of(rows: int, asked: int) -> int:
     return min(asked, max(1, rows // 39))
 
 
+def with_cells(rows: DataFrame, centers: np.ndarray, column: str, k: int) -> DataFrame:
+    """Every row once for each of its k nearest centers, with their numbers as cell; cell 0 where there is one center."""
+
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(centers) == 1 or not len(f):
+                yield f.assign(cell=0)
+                continue
+            s = np.stack(f[column].to_numpy()) @ centers.T - (centers**2).sum(1) / 2
+            near = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            yield f.iloc[np.repeat(np.arange(len(f)), near.shape[1])].assign(cell=near.ravel())
+
+    return rows.mapInPandas(pick, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", cell int")
+
+
 class InvertedFile:
     """Vectors by their nearest centroid. Centroids are fitted on a bounded sample of unit vectors; every vector is indexed."""
 
@@ -178,25 +193,12 @@ class InvertedFile:
         few = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select(array_to_vector("embedding").alias("features"))
         model = KMeans(k=max(2, cells_of(min(n, sample), asked)), seed=seed, maxIter=10).fit(few) if n > 1 else None
         self.centers = np.array(model.clusterCenters()) if model else np.zeros((1, 1))
-        self.rows = rows.withColumn("cell", self._nearest(1)("embedding")[0])
-
-    def _nearest(self, k: int):
-        centers = self.centers
-
-        @F.pandas_udf("array<int>")
-        def pick(v: pd.Series) -> pd.Series:
-            if centers.shape == (1, 1) or not len(v):
-                return pd.Series([[0]] * len(v))
-            s = np.stack(v.to_numpy()) @ centers.T - (centers**2).sum(1) / 2
-            return pd.Series(np.argsort(-s, axis=1, kind="stable")[:, :k].tolist())
-
-        return pick
+        self.rows = with_cells(rows, self.centers, "embedding", 1)
 
     def search(self, queries: DataFrame, k: int = 5, probes: int = 16) -> DataFrame:
         """query, vec_id, score, rank among the vectors of each query's `probes` nearest cells: an equi-join by cell."""
         q = queries.where("embedding is not null").select(F.col("vec_id").alias("query"), unit(F.col("embedding")).alias("q"))
-        q = q.select("query", "q", F.explode(self._nearest(probes)("q")).alias("cell"))
-        s = q.join(self.rows, "cell").select("query", "vec_id", dot("q", "embedding").alias("score"))
+        s = with_cells(q, self.centers, "q", probes).join(self.rows, "cell").select("query", "vec_id", dot("q", "embedding").alias("score"))
         rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "vec_id"))
         return s.withColumn("rank", rank).where(F.col("rank") <= k)
 
