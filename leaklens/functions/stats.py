@@ -91,6 +91,14 @@ def ks_exact_pvalue(d: Column, n: Column, m: Column) -> Column:
     return F.when(small, _exact_ks(F.when(small, d).otherwise(0.0), F.when(small, n).otherwise(none), F.when(small, m).otherwise(none))).otherwise(ks_pvalue(d, n, m))
 
 
+def tv_of_maps(a: Column, b: Column) -> Column:
+    """Total variation distance of two maps from names to shares; a name that one lacks has share 0 there. Null maps are empty."""
+    empty = F.create_map().cast("map<string,double>")
+    a, b = F.coalesce(a, empty), F.coalesce(b, empty)
+    at = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0.0))
+    return 0.5 * F.aggregate(F.array_union(F.map_keys(a), F.map_keys(b)), F.lit(0.0), lambda s, k: s + F.abs(at(a, k) - at(b, k)))
+
+
 def normalised_probability(logprobs: Column) -> Column:
     """exp of the mean log probability of a text's tokens; 0 without any."""
     n = F.size(logprobs)

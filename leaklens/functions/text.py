@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ast
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Patterns of US postal codes and of units in an address.
 ZIP = r"(?U)\b\d{5}(?:-\d{4})?\b"
@@ -46,6 +51,23 @@ PII = {
 }
 
 
+@F.pandas_udf(ArrayType(StructType([StructField("channel", StringType()), StructField("cer", IntegerType()), StructField("aer", IntegerType())])))
+def leak_entries(stored: pd.Series) -> pd.Series:
+    """Leak entries that a file holds as text: JSON, or a Python literal; empty where it is neither."""
+
+    def read(t: str | None) -> list:
+        for parse in (json.loads, ast.literal_eval):
+            try:
+                found = parse(t or "[]")
+            except (ValueError, SyntaxError):
+                continue
+            rows = found if isinstance(found, list) else []
+            return [{"channel": x.get("channel"), "cer": int(x.get("cer") or 0), "aer": int(x.get("aer") or 0)} for x in rows if isinstance(x, dict)]
+        return []
+
+    return stored.map(read)
+
+
 def pii_fields(t: Column) -> dict[str, Column]:
     """Name, date of birth, phone, e-mail, SSN and address in a text; null where there is none."""
     out = {f: F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in patterns]) for f, patterns in PII.items()}

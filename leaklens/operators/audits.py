@@ -101,6 +101,35 @@ def cell_findings(cells: DataFrame, seeds: tuple[int, ...] = (0, 137, 271), leas
     return reduce(DataFrame.unionByName, rows)
 
 
+def split_errors(spark: SparkSession, paths: list[str], n_forget: int, n: int) -> list[str]:
+    """What is wrong with a split before it is read: files that are not there, and a forget size that is not from 1 to n."""
+    def there(path: str) -> bool:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    out = [f"{p} is missing" for p in paths if not there(p)]
+    return out + ([] if 0 < n_forget <= n else [f"{n_forget} of {n} records can't be forgotten"])
+
+
+def audit_directory(spark: SparkSession, pattern: str, seeds: tuple[int, ...] = (0, 137, 271), least: int = 1, strict: bool = False) -> DataFrame:
+    """severity, code, message of a folder of transcripts: cell_findings of the cells that its file names tell, and files whose names tell none.
+
+    Versions are the names' own. strict: an error if any finding is one.
+    """
+    from leaklens.sources.files import versioned_key
+    from leaklens.sources.tables import cell_key
+
+    names = spark.read.text(pattern).where("value <> ''").groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"))
+    long_ = versioned_key(F.col("file"))
+    short = cell_key(F.col("file"))
+    cells = names.select("file", "n", F.coalesce(long_[0], F.lit("")).alias("version"), *[F.coalesce(long_[i], x).alias(c) for c, i, x in zip(("substrate", "method", "subset", "seed"), (2, 3, 4, 5), short, strict=True)])
+    odd = cells.where("substrate is null").select(F.lit("warning").alias("severity"), F.lit("name").alias("code"), F.concat("file", F.lit(" is no cell's name")).alias("message"))
+    out = cell_findings(cells.where("substrate is not null").groupBy("substrate", "method", "subset", "seed", "version").agg(F.sum("n").alias("n")), seeds, least).unionByName(odd)
+    if strict and (bad := [r["message"] for r in out.where("severity = 'error'").limit(20).collect()]):
+        raise ValueError(f"broken: {bad}")
+    return out
+
+
 def manifest(sets: dict[str, DataFrame]) -> DataFrame:
     """set, n, sha: size of each set of ids and a digest of them that doesn't hang on their order."""
     digest = F.md5(F.concat_ws(":", F.count("*").cast("string"), F.sum(F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long")).cast("string")))

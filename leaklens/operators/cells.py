@@ -26,6 +26,18 @@ def cell_or(long: DataFrame, by: list[str] = CELL) -> DataFrame:
     return record_or(long).groupBy(*by).agg(F.avg("leak").alias("or_all"), F.avg("leak_ungated").alias("or_binary"), F.avg((~F.col("halted").eqNullSafe(F.lit("final_answer"))).cast("double")).alias("degen"), F.count("*").alias("n"))
 
 
+def entry_rates(entries: DataFrame, long: DataFrame, by: list[str] = CELL) -> DataFrame:
+    """The first form of a channel's rate: leak entries of records where the channel counts, over those records; 0 without any.
+
+    A record with several entries in a channel adds all of them, so a rate may be over 1. entries: by, query_id, channel,
+    cer, a row an entry.
+    """
+    seen = long.where("observed").select(*by, "query_id", "channel").distinct()
+    hits = entries.where("cer > 0").join(seen, [*by, "query_id", "channel"], "left_semi").groupBy(*by, "channel").agg(F.count("*").alias("entries"))
+    n = long.groupBy(*by, "channel").agg(F.count_if("observed").alias("n"))
+    return n.join(hits, [*by, "channel"], "left").select(*by, "channel", F.coalesce(F.try_divide(F.coalesce("entries", F.lit(0)), F.col("n")), F.lit(0.0)).alias("rate"))
+
+
 def graded_or(long: DataFrame, by: list[str], severity: str = "severity") -> DataFrame:
     """Per cell: n, the mean over records of the largest severity among channels that count (or_graded), or_binary and degen.
 

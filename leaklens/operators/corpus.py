@@ -127,6 +127,11 @@ def numbered_by(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("_r", own).join(before, key).withColumn("n", F.col("_b") + F.col("_r") - 1).drop("_b", "_r")
 
 
+def prefix_split(df: DataFrame, key: str, first: int) -> DataFrame:
+    """(key, subset): the `first` rows by a number are forget, the others retain."""
+    return numbered_by(df, key).select(key, F.when(F.col("n") < first, "forget").otherwise("retain").alias("subset"))
+
+
 def converted(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: str = "lume") -> DataFrame:
     """Texts that name a person as records: key, id, the six personal fields, template_id, bio.
 
@@ -216,6 +221,22 @@ def positions(tokens: Column, wanted: Column) -> Column:
     return F.when((n < 0) | (F.size(wanted) == 0), F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.slice(tokens, i + 1, F.size(wanted)) == wanted))
 
 
+def token_places(tokens: Column, variants: list[Column]) -> Column:
+    """Every place, from 0, that a token of the first variant found takes: variants are lists of tokens, as with a leading space and without.
+
+    Later variants count only where no earlier one is found; places of matches that overlap come as often as they match.
+    """
+
+    def of(wanted: Column) -> Column:
+        return F.flatten(F.transform(positions(tokens, wanted), lambda i: F.sequence(i, i + F.size(wanted) - 1)))
+
+    found = [of(v) for v in variants]
+    out = found[-1]
+    for f in reversed(found[:-1]):
+        out = F.when(F.size(f) > 0, f).otherwise(out)
+    return out
+
+
 def chunks(docs: DataFrame, size: int = 1200, overlap: int = 100, texts: bool = False) -> DataFrame:
     """Overlapping windows of trimmed texts, with `texts` as texts too; blank texts have none, and the last window reaches the end."""
     step = size - overlap

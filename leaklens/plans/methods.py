@@ -287,3 +287,42 @@ def phased_index(s, d):
 
     out, _ = build_index(s, f"{_scratch(s)}/phases-{uuid.uuid4().hex}", table(s, d, "documents"), corpus.encyclopedia(_forget(s, d)), {"source": d})
     return out.select("passage_id", "doc_id")
+
+
+# --- small forms -------------------------------------------------------------------------------------------------------
+
+
+@query(W + LONG_SQL + f""", sn AS (SELECT {_C}, query_id, channel FROM lng WHERE observed), hs AS (SELECT {_C}, channel, count(*) AS entries FROM ev JOIN sn USING ({_C}, query_id, channel) WHERE cer > 0 GROUP BY ALL),
+ns AS (SELECT {_C}, channel, count(*) FILTER (observed) AS n FROM lng GROUP BY ALL) SELECT {_C}, channel, round(coalesce(coalesce(entries, 0) / nullif(n, 0)::DOUBLE, 0.0), 9) AS rate FROM ns LEFT JOIN hs USING ({_C}, channel)""")
+def cer_by_entries(s, d):
+    """Channels' rates by leak entries, each event being one."""
+    return cells.entry_rates(leak_events(s, d), long(s, d)).select(*CELL, "channel", r("rate"))
+
+
+@query("SELECT seed, user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY seed, user_id ORDER BY event_id DESC) AS k FROM (SELECT user_id, event_id, (event_id % 3)::INT AS seed FROM events)) WHERE k = 1")
+def lww_dedupe_within_seed(s, d):
+    """The last event of every user within a seed."""
+    from leaklens.sources.tables import last_wins
+
+    return last_wins(table(s, d, "events").select((F.col("event_id") % 3).cast("int").alias("seed"), "user_id", "event_id"), ["seed", "user_id"], "event_id")
+
+
+@query("SELECT c_custkey, CASE WHEN row_number() OVER (ORDER BY c_custkey) <= 300 THEN 'forget' ELSE 'retain' END AS subset FROM customer")
+def prefix_split(s, d):
+    """The first three hundred customers are forgotten."""
+    return corpus.prefix_split(table(s, d, "customer").select("c_custkey"), "c_custkey", 300)
+
+
+@query(W + LONG_SQL + """, hh AS (SELECT substrate, method, halted, count(*) AS n FROM ev WHERE cer = 1 GROUP BY ALL), sh AS (SELECT substrate, method, halted, n / sum(n) OVER (PARTITION BY substrate, method) AS x FROM hh),
+ms AS (SELECT DISTINCT substrate, method FROM ev WHERE method <> 'none'), ks AS (SELECT ms.substrate, ms.method, halted FROM ms, (SELECT DISTINCT halted FROM ev))
+SELECT k.substrate, k.method, round(0.5 * sum(abs(coalesce(a.x, 0) - coalesce(b.x, 0))), 9) AS distance FROM ks k LEFT JOIN sh a ON a.substrate = k.substrate AND a.method = k.method AND a.halted = k.halted
+  LEFT JOIN sh b ON b.substrate = k.substrate AND b.method = 'none' AND b.halted = k.halted GROUP BY ALL""")
+def tv_of_halts(s, d):
+    """How far the endings of leaking events are from the baseline's; a method without leaks has none."""
+    e = leak_events(s, d)
+    counts = e.where("cer = 1").groupBy("substrate", "method", "halted").count()
+    whole = counts.groupBy("substrate", "method").agg(F.sum("count").alias("n"))
+    maps = counts.join(whole, ["substrate", "method"]).groupBy("substrate", "method").agg(F.map_from_entries(F.collect_list(F.struct("halted", (F.col("count") / F.col("n")).alias("x")))).alias("m"))
+    base = maps.where("method = 'none'").select("substrate", F.col("m").alias("base"))
+    rows = e.where("method <> 'none'").select("substrate", "method").distinct().join(maps, ["substrate", "method"], "left").join(base, "substrate", "left")
+    return rows.select("substrate", "method", r(stats.tv_of_maps(F.col("m"), F.col("base")), "distance"))

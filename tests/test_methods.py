@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leaklens.functions import resampling, stats
-from leaklens.operators import cells, corpus, moments, passages, search, suppression, trajectory, verdicts
+from leaklens.functions import resampling, stats, text
+from leaklens.operators import audits, cells, corpus, moments, passages, search, suppression, trajectory, verdicts
 from leaklens.plans.registry import entities
 from leaklens.streaming.phases import Phases, build_index
 
@@ -407,3 +407,33 @@ def test_records_of_texts_that_name_a_person(spark):
     assert len(rows) == 43 and sorted(r["id"] for r in rows.values()) == [f"lume-{i:05d}" for i in range(43)]
     assert {rows[5, "Bob Ray"]["id"], rows[5, "Cy Day"]["id"]} == {"lume-00000", "lume-00001"} and rows[7, "Ann Lee"]["id"] == "lume-00002" and rows[139, "Al Bo"]["id"] == "lume-00042"
     assert (rows[7, "Ann Lee"]["date_of_birth"], rows[7, "Ann Lee"]["ssn"], rows[5, "Bob Ray"]["address"], rows[7, "Ann Lee"]["template_id"]) == ("May 3, 1980", "123-45-6789", "1 Elm St", 2)
+
+
+def test_entries_count_as_often_as_they_come(spark):
+    cell = ("P", "eco", "forget", 0)
+    long = spark.createDataFrame([(*cell, 1, "a", True), (*cell, 2, "a", True), (*cell, 3, "a", False), (*cell, 1, "b", False)], "substrate string, method string, subset string, seed int, query_id long, channel string, observed boolean")
+    entries = spark.createDataFrame([(*cell, 1, "a", 1)] * 3 + [(*cell, 2, "a", 0), (*cell, 3, "a", 1), (*cell, 1, "b", 1)], "substrate string, method string, subset string, seed int, query_id long, channel string, cer int")
+    assert {r["channel"]: r["rate"] for r in cells.entry_rates(entries, long).collect()} == {"a": 1.5, "b": 0.0}
+
+
+def test_maps_places_and_stored_entries(spark):
+    m = lambda **x: F.create_map(*[F.lit(y) for p in x.items() for y in p]) if x else F.lit(None).cast("map<string,double>")
+    words = lambda x: F.array(*map(F.lit, x.split()))
+    got = spark.range(1).select(
+        stats.tv_of_maps(m(a=0.5, b=0.5), m(a=1.0)), stats.tv_of_maps(m(), m(c=1.0)), stats.tv_of_maps(m(a=1.0), m(b=1.0)), stats.tv_of_maps(m(), m()),
+        corpus.token_places(words("x _a b y a b a b"), [words("_a b"), words("a b")]), corpus.token_places(words("x a b y a b"), [words("_a b"), words("a b")]), corpus.token_places(words("x"), [words("_a b"), words("a b")]), corpus.token_places(words("a a a"), [words("a a")]),
+    ).first()
+    assert got[:4] == (0.5, 0.5, 1.0, 0.0) and got[4:] == ([1, 2], [1, 2, 4, 5], [], [0, 1, 1, 2])
+    rows = spark.createDataFrame([("[{'channel': 'Z', 'cer': 1, 'aer': None, 'ok': True}]",), ('[{"channel": "Y", "cer": 0, "aer": 1, "x": null}]',), ("import os",), (None,), ("{}",)], "leakage string")
+    assert [[tuple(x) for x in r[0]] for r in rows.select(text.leak_entries("leakage")).collect()] == [[("Z", 1, 0)], [("Y", 0, 1)], [], [], []]
+
+
+def test_audit_of_a_folder(spark, tmp_path):
+    for name, n in (("P_eco_forget_seed0.jsonl", 3), ("P_eco_forget_seed137.jsonl", 3), ("P_eco_forget_seed271.jsonl", 0), ("v77app_Rtext_star_retain_seed0.jsonl", 2), ("notes.txt", 1)):
+        (tmp_path / name).write_text("{}\n" * n)
+    found = {(r["severity"], r["code"], r["message"]) for r in audits.audit_directory(spark, str(tmp_path), least=3).collect()}
+    assert found == {("warning", "seeds", "P/eco/forget lacks 271"), ("warning", "seeds", "Rtext/star/retain lacks 137,271"), ("error", "size", "Rtext/star/retain has 2 records"), ("warning", "name", "notes.txt is no cell's name")}
+    with pytest.raises(ValueError, match="has 2 records"):
+        audits.audit_directory(spark, str(tmp_path), least=3, strict=True)
+    audits.audit_directory(spark, str(tmp_path), least=1, strict=True)
+    assert audits.split_errors(spark, [str(tmp_path / "notes.txt"), str(tmp_path / "none")], 0, 5) == [f"{tmp_path}/none is missing", "0 of 5 records can't be forgotten"] and audits.split_errors(spark, [], 5, 5) == []
