@@ -122,7 +122,7 @@ def numbered_by(df: DataFrame, key: str) -> DataFrame:
     from leaklens.operators.search import _running
 
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_c"))
-    before = _running(counts, key, ("_c",)).select(key, F.col("before__c").alias("_b"))
+    before = _running(df, counts, key, ("_c",)).select(key, F.col("before__c").alias("_b"))
     own = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*df.columns)))
     return df.withColumn("_r", own).join(before, key).withColumn("n", F.col("_b") + F.col("_r") - 1).drop("_b", "_r")
 

@@ -243,13 +243,15 @@ def top_of_groups(rows: DataFrame, by: str, score: str, key: str, k: int) -> Dat
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _running(by: DataFrame, score: str, sums: tuple[str, ...]) -> DataFrame:
-    """Adds before_<sum>: the sum over all smaller scores, which are numbers.
+def _running(rows: DataFrame, by: DataFrame, score: str, sums: tuple[str, ...]) -> DataFrame:
+    """Adds before_<sum> to `by`, the sums of `rows` by score: the sum over all smaller scores, which are numbers.
 
-    Scores are dealt by bounds near their quantiles, fixed before both uses; only the parts' totals meet in one task.
+    Scores are dealt by bounds near the rows' quantiles, fixed before both uses; only the parts' totals meet in one task.
+    The quantiles come from the rows as they lie, before they are shuffled.
     """
     parts = int(by.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(by.approxQuantile(score, [i / parts for i in range(1, parts)], 0.01))) if parts > 1 else []
+    at = F.percentile_approx(F.col(score).cast("double"), [i / parts for i in range(1, parts)], 1000) if parts > 1 else F.lit(None)
+    bounds = sorted({float(x) for x in rows.agg(at.alias("at")).first()["at"] or []})
     above = F.array(*[F.lit(float(x)) for x in bounds]) if bounds else F.array().cast("array<double>")
     dealt = by.withColumn("part", F.size(F.filter(above, lambda x: x <= F.col(score))))
     up_to = Window.unboundedPreceding, -1
@@ -262,7 +264,7 @@ def _running(by: DataFrame, score: str, sums: tuple[str, ...]) -> DataFrame:
 def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """Area under the curve by ranks with ties averaged; a half without one of the sides. Ranks come from counts of distinct scores."""
     by = rows.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("pos"), F.count("*").alias("n"))
-    r = _running(by, score, ("n",)).withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2.0)
+    r = _running(rows, by, score, ("n",)).withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2.0)
     t = r.agg(F.sum(F.col("rank") * F.col("pos")).alias("s"), F.sum("pos").alias("a"), F.sum(F.col("n") - F.col("pos")).alias("b"))
     return t.select(F.when((F.col("a") > 0) & (F.col("b") > 0), (F.col("s") - F.col("a") * (F.col("a") + 1) / 2.0) / (F.col("a") * F.col("b"))).otherwise(0.5).alias("auc"))
 
@@ -299,6 +301,6 @@ def ks_distance(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """d, n, m: largest gap of the two sides' distribution functions, over counts of distinct scores, and the sides' sizes."""
     by = rows.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("a"), F.sum((~F.col(positive)).cast("long")).alias("b"))
     all_ = by.agg(F.sum("a").alias("n"), F.sum("b").alias("m"))
-    run = _running(by, score, ("a", "b")).crossJoin(F.broadcast(all_))
+    run = _running(rows, by, score, ("a", "b")).crossJoin(F.broadcast(all_))
     gap = F.abs((F.col("before_a") + F.col("a")) / F.col("n") - (F.col("before_b") + F.col("b")) / F.col("m"))
     return run.agg(F.max(gap).alias("d"), F.max("n").alias("n"), F.max("m").alias("m"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from leaklens.functions import resampling, stats
-from leaklens.operators import cells, corpus, moments, passages, search, suppression, trajectory, verdicts
+from leaklens.operators import cells, corpus, logits, moments, passages, search, suppression, trajectory, verdicts
 from leaklens.plans.domain import CELL, CHANNELS, LONG_SQL, entities, leak_events, leak_records, long, table
 from leaklens.plans.generation import PASSAGE, _forget
 from leaklens.plans.registry import ENT, REC_OR, SQL, W, query, r
@@ -178,6 +178,36 @@ def soft_suppression(s, d):
     return suppression.soft_penalty(v, v.where("vec_id % 50 = 7")).select("vec_id", F.round("penalty", 6).alias("penalty"))
 
 
+@query("""WITH e AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS e FROM embeddings), x AS (SELECT vec_id, e, unnest(range(0, 64)) AS i FROM e),
+n AS (SELECT vec_id, i, e[i + 1] + sqrt(-2 * ln((('0x' || md5('0:' || vec_id || ':' || i || ':a')[1:13])::BIGINT + 0.5) / 4503599627370496.0)) * cos(2 * pi() * (('0x' || md5('0:' || vec_id || ':' || i || ':b')[1:13])::BIGINT + 0.5) / 4503599627370496.0) AS x FROM x)
+SELECT vec_id, round(avg(x), 6) AS mean, round(max(x), 6) AS largest, (arg_max(i, (x, -i)))::INT AS token FROM n GROUP BY 1""")
+def noisy_scores(s, d):
+    """Vectors as scores of tokens, with normal noise: their mean, the largest, and its token."""
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("key"), F.transform("embedding", lambda x: x.cast("double")).alias("scores"))
+    n = logits.Noise()(v)
+    mean = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) / F.size("scores")
+    return n.select(F.col("key").alias("vec_id"), F.round(mean, 6).alias("mean"), F.round(F.array_max("scores"), 6).alias("largest"), stats.first_argmax(F.col("scores")).alias("token"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, [exp(x::DOUBLE * 10) for x in embedding] AS e FROM embeddings), p AS (SELECT vec_id, label, [x / list_sum(e) for x in e] AS p FROM e)
+SELECT vec_id, round(greatest(0.0, 1 + p[label + 1] - list_max([x for x, i in p if i <> label + 1])), 6) AS loss FROM p WHERE label IS NOT NULL""")
+def inverted_hinge_loss(s, d):
+    """Vectors as scores of tokens, labels as the token to unlearn."""
+    v = table(s, d, "embeddings").where("label is not null").select("vec_id", "label", logits.softmax(F.transform("embedding", lambda x: x.cast("double") * 10)).alias("p"))
+    return v.select("vec_id", F.round(logits.inverted_hinge(F.col("p"), F.col("label")), 6).alias("loss"))
+
+
+@query("""WITH k AS (SELECT label, [x::DOUBLE for x in embedding] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings WHERE label IS NOT NULL)
+SELECT round(sum(list_dot_product(a.e, b.e) ** 2) / count(DISTINCT label), 6) AS overlap FROM k a JOIN k b USING (label) WHERE a.k <= 4 AND b.k BETWEEN 5 AND 8""")
+def adapter_overlap(s, d):
+    """Labels as layers: the span of a label's first four vectors against the next four's."""
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    rows = table(s, d, "embeddings").where("label is not null").select(F.col("label").alias("layer"), k.alias("k"), F.col("embedding").alias("row")).where("k <= 8")
+    return logits.orthogonality(rows.where("k <= 4"), rows.where("k > 4")).select(F.round("overlap", 6).alias("overlap"))
+
+
 # --- audits ------------------------------------------------------------------------------------------------------------
 
 _VEC = lambda t, key, dims: f"(SELECT {key}, i, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS x FROM (SELECT {key}, ('0x' || md5(w)[1:4])::BIGINT % {dims} AS i, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM {t}) GROUP BY ALL))"

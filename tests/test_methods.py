@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leaklens.functions import resampling, stats, text
-from leaklens.operators import audits, cells, corpus, moments, passages, search, suppression, trajectory, verdicts
+from leaklens.operators import audits, cells, corpus, logits, moments, passages, search, suppression, trajectory, verdicts
 from leaklens.plans.registry import entities
 from leaklens.streaming.phases import Phases, build_index
 
@@ -437,3 +437,26 @@ def test_audit_of_a_folder(spark, tmp_path):
         audits.audit_directory(spark, str(tmp_path), least=3, strict=True)
     audits.audit_directory(spark, str(tmp_path), least=1, strict=True)
     assert audits.split_errors(spark, [str(tmp_path / "notes.txt"), str(tmp_path / "none")], 0, 5) == [f"{tmp_path}/none is missing", "0 of 5 records can't be forgotten"] and audits.split_errors(spark, [], 5, 5) == []
+
+
+def test_what_methods_do_to_scores(spark):
+    a = lambda *x: F.array(*[F.lit(float(y)) for y in x])
+    none = F.lit(None).cast("array<int>")
+    got = spark.range(1).select(
+        logits.ban(a(1, 2, 3), F.array(F.lit(0), F.lit(2), F.lit(9))), logits.ban(a(1), none), logits.penalise(a(1, 2, 3), a(0, 5)), logits.zeroed(a(1, 2), F.array(F.lit(1))),
+        logits.inverted_hinge(a(0.2, 0.7, 0.1), F.lit(1), 0.25), logits.inverted_hinge(a(0.2, 0.7, 0.1), F.lit(0), 0.25), logits.inverted_hinge(a(0.2), F.lit(4)), logits.inverted_hinge(a(1.0), F.lit(0)), logits.softmax(a(1000, 1000)),
+    ).first()
+    assert got[:4] == ([-math.inf, 2, -math.inf], [1], [1, -3, 3], [1, 0])
+    assert math.isclose(got[4], 0.75) and got[5:8] == (0.0, None, 2.0) and got[8] == [0.5, 0.5]
+    rows = spark.range(2000).select(F.col("id").alias("key"), F.array(F.lit(1.0), F.lit(2.0)).alias("scores"))
+    x = np.array([r["scores"] for r in logits.Noise(0.5, 3)(rows).orderBy("key").collect()]) - [1, 2]
+    assert np.abs(x.mean(0)).max() < 0.05 and np.allclose(x.std(0), 0.5, atol=0.03) and abs(np.corrcoef(x.T)[0, 1]) < 0.08
+    assert np.allclose(x, np.array([r["scores"] for r in logits.Noise(0.5, 3)(rows.repartition(5)).orderBy("key").collect()]) - [1, 2])
+    rng = np.random.default_rng(1)
+    old, new = rng.normal(size=(3, 2, 5)), rng.normal(size=(3, 4, 5))
+    frame = lambda m: spark.createDataFrame([(i, r.tolist()) for i, layer in enumerate(m) for r in layer], "layer int, row array<double>")
+    want = sum(np.linalg.norm(p @ q.T) ** 2 for p, q in zip(old, new, strict=True)) / 3
+    assert math.isclose(logits.orthogonality(frame(old), frame(new)).first()["overlap"], want) and logits.orthogonality(frame(old), frame(new[:0])).first()["overlap"] == 0.0
+    said = spark.createDataFrame([(1, [7, 1, 2], [0.0] * 4), (2, [2], [0.0] * 4), (3, [], [0.0] * 4)], "key long, input_ids array<int>, scores array<double>")
+    rules = spark.createDataFrame([([1, 2, 3],), ([2, 0],), ([5],)], "tokens array<int>")
+    assert {r["key"]: r["scores"] for r in logits.BanSequences(rules)(said).collect()} == {1: [-math.inf, 0, 0, -math.inf], 2: [-math.inf, 0, 0, 0], 3: [0, 0, 0, 0]}
