@@ -401,6 +401,19 @@ def test_suffix_array():
         assert sa.tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
 
 
+def test_suffix_array_of_many_names(monkeypatch):
+    """Both ways of ordering a reduced string, by induction and by ranks, give the order of the suffixes."""
+    rng, ranked = np.random.default_rng(2), []
+    monkeypatch.setattr(suffixes, "_by_ranks", lambda r, depth, own=suffixes._by_ranks: ranked.append(len(r)) or own(r, depth))
+    passage = rng.integers(1, 200, 700)
+    x = np.concatenate([rng.integers(1, 250, 5000), passage, rng.integers(1, 250, 2000), passage, [0]])
+    want = sorted(range(len(x)), key=lambda i: x[i:].tolist())
+    assert suffixes.suffix_array(x).tolist() == want and ranked and max(ranked) > suffixes.NARROW
+    ranked.clear()
+    monkeypatch.setattr(suffixes, "NARROW", 1 << 30)
+    assert suffixes.suffix_array(x).tolist() == want and not ranked
+
+
 def test_remove_repeats(docs, empty):
     span, rows = 200, [(k, (t or "").encode()) for k, t in all_texts()]
     seen = {}
@@ -739,6 +752,19 @@ def test_shared_passages_go_whole(spark):
         assert k % 2 == 0 or all(t[x["lo"] : x["hi"]].strip() in rows[k - 1][1] for x in spans)
 
 
+def test_long_shared_stretches_go_whole(spark):
+    """What is longer than the extension reaches has chunks of its own, so its middle does not hang on the ends."""
+    rows, shared = [], {}
+    for i, words in enumerate((400, 700, 1500, 6000)):
+        passage = prose(words, 60_000 + i)
+        assert len(passage) > 2 * chunks.CONTEXT
+        rows += [(2 * i, prose(60, 70_000 + i) + " " + passage + " " + prose(50, 80_000 + i)), (2 * i + 1, prose(35, 90_000 + i) + "\n" + passage + "\n" + prose(45, 95_000 + i))]
+        shared[2 * i + 1] = len(passage)
+    got = {r["doc_id"]: r for r in chunks.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, n in shared.items():
+        assert n - 1 <= got[k]["n_removed"] <= n + 2 and got[k]["n_spans"] == 1 and got[k - 1]["n_removed"] == 0
+
+
 def test_extension_keeps_characters():
     text, ends = "èabcdé".encode(), [2, 6, 8]
     assert chunks.extended(text, ends, [1], {(1, False): "é".encode(), (1, True): "è".encode()}) == [[2, 6]]
