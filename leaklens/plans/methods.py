@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from leaklens.functions import resampling, stats
-from leaklens.operators import cells, corpus, logits, moments, passages, search, suppression, trajectory, verdicts
+from leaklens.operators import cells, corpus, logits, moments, passages, search, suppression, traces, trajectory, verdicts
 from leaklens.plans.domain import CELL, CHANNELS, LONG_SQL, entities, leak_events, leak_records, long, table
 from leaklens.plans.generation import PASSAGE, _forget
 from leaklens.plans.registry import ENT, REC_OR, SQL, W, query, r
@@ -213,8 +213,18 @@ def adapter_overlap(s, d):
 _VEC = lambda t, key, dims: f"(SELECT {key}, i, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS x FROM (SELECT {key}, ('0x' || md5(w)[1:4])::BIGINT % {dims} AS i, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM {t}) GROUP BY ALL))"
 
 
-@query(f"""WITH st AS (SELECT conv_id, turn, conv_id || ':' || turn AS k, text FROM conversations), a AS {_VEC('st', 'k', 64)}, b AS {_VEC('benchmark', 'item_id', 64)},
-c AS (SELECT k, item_id, sum(a.x * b.x) AS c FROM a JOIN b USING (i) GROUP BY ALL), sc AS (SELECT conv_id, turn, round(coalesce(max(c), 0.0), 6) AS score FROM st LEFT JOIN c USING (k) GROUP BY ALL),
+_SCORED = f"""st AS (SELECT conv_id, turn, conv_id || ':' || turn AS k, text FROM conversations), a AS {_VEC('st', 'k', 64)}, b AS {_VEC('benchmark', 'item_id', 64)},
+c AS (SELECT k, item_id, sum(a.x * b.x) AS c FROM a JOIN b USING (i) GROUP BY ALL), sc AS (SELECT conv_id, turn, round(coalesce(max(c), 0.0), 6) AS score FROM st LEFT JOIN c USING (k) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_SCORED} SELECT conv_id, turn, CASE WHEN score >= 0.80 THEN 'refuse' WHEN score >= 0.55 THEN 'filter' ELSE 'pass' END AS step FROM sc""")
+def step_inspection(s, d):
+    """What every turn's score against forbidden phrases, the benchmark's texts, says of it alone."""
+    scored = trajectory.step_scores(table(s, d, "conversations"), table(s, d, "benchmark"))
+    return scored.select("conv_id", "turn", traces.inspect(F.col("score")).alias("step"))
+
+
+@query(f"""WITH {_SCORED},
 f AS (SELECT conv_id, min(turn) AS first FROM sc WHERE score >= 0.80 GROUP BY 1)
 SELECT conv_id, turn, round(score, 3) AS score, CASE WHEN turn > first THEN 'halted' WHEN score >= 0.80 THEN 'refuse' WHEN score >= 0.55 THEN 'filter' ELSE 'pass' END AS action FROM sc LEFT JOIN f USING (conv_id)""")
 def trajectory_audit(s, d):

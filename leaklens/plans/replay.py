@@ -189,8 +189,3 @@ def prompt_messages(s, d):
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
     rows = table(s, d, "conversations").groupBy("conv_id").agg(traces.serialised(turns).alias("prompt")).withColumn("m", traces.messages(F.col("prompt")))
     return rows.select("conv_id", F.size("m").alias("n"), F.md5(F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|")).alias("digest"))
-
-
-@query("SELECT vec_id, CASE WHEN s >= 0.80 THEN 'refuse' WHEN s >= 0.55 THEN 'filter' ELSE 'pass' END AS step FROM (SELECT vec_id, round(abs(embedding[1]::DOUBLE) * 4, 6) AS s FROM embeddings)")
-def step_inspection(s, d):
-    return table(s, d, "embeddings").select("vec_id", traces.inspect(F.round(F.abs(F.col("embedding")[0].cast("double")) * 4, 6)).alias("step"))

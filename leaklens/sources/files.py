@@ -28,6 +28,48 @@ def files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(f.getPath().toString() for f in found or [])
 
 
+def write_atomically(spark: SparkSession, path: str, text: str) -> None:
+    """A small file whole or not at all: written beside its place and renamed; what was there before is replaced."""
+    import uuid
+
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    system = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = system.create(aside)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not system.rename(aside, to):  # stores that do not rename onto a file
+        system.delete(to, False)
+        if not system.rename(aside, to):
+            raise OSError(f"{path} could not be written")
+
+
+def read_slice(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """Rows of a data set's split as `train`, `train[:n]` or `train[a:b]`, in the order of files and rows, from Parquet files path/<split>*.
+
+    Files' rows are counted first, and only those that the slice touches are read; an error if the split has no file.
+    """
+    import re
+
+    found = re.fullmatch(r"(\w+)(?:\[(\d*):(\d*)\])?", part)
+    if not found:
+        raise ValueError(f"{part!r} is no slice")
+    shards = files(spark, f"{path}/{found[1]}*.parquet")
+    if not shards:
+        raise FileNotFoundError(f"no file of {found[1]} under {path}")
+    low, high = int(found[2] or 0), int(found[3]) if found[3] else None
+    rows, at = None, 0
+    for shard in shards:
+        df = spark.read.parquet(shard)
+        n = df.count()  # from the file's footer
+        a, b = max(low - at, 0), n if high is None else min(high - at, n)
+        if a < b:
+            take = df.withColumn("_i", F.col("_metadata.row_index")).where((F.col("_i") >= a) & (F.col("_i") < b)).drop("_i")
+            rows = take if rows is None else rows.unionByName(take)
+        at += n
+    return spark.read.parquet(shards[0]).limit(0) if rows is None else rows
+
+
 def read_pool(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """JSON lines of all shards that a pattern matches; an error if there is none."""
     found = files(spark, pattern)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leaklens.functions import resampling, stats, text
 from leaklens.operators import audits, cells, corpus, logits, moments, passages, search, suppression, trajectory, verdicts
 from leaklens.plans.registry import entities
+from leaklens.sources import files as files_
 from leaklens.streaming.phases import Phases, build_index
 
 SF = "/root/testdata/sf0.001"
@@ -460,3 +461,19 @@ def test_what_methods_do_to_scores(spark):
     said = spark.createDataFrame([(1, [7, 1, 2], [0.0] * 4), (2, [2], [0.0] * 4), (3, [], [0.0] * 4)], "key long, input_ids array<int>, scores array<double>")
     rules = spark.createDataFrame([([1, 2, 3],), ([2, 0],), ([5],)], "tokens array<int>")
     assert {r["key"]: r["scores"] for r in logits.BanSequences(rules)(said).collect()} == {1: [-math.inf, 0, 0, -math.inf], 2: [-math.inf, 0, 0, 0], 3: [0, 0, 0, 0]}
+
+
+def test_slices_and_whole_files(spark, tmp_path):
+    for i, n in enumerate((4, 3, 5)):
+        spark.range(i * 10, i * 10 + n).coalesce(1).write.parquet(f"{tmp_path}/d/train-{i}.parquet")
+    every = [0, 1, 2, 3, 10, 11, 12, 20, 21, 22, 23, 24]
+    take = lambda part: [r["id"] for r in files_.read_slice(spark, f"{tmp_path}/d", part).orderBy("id").collect()]
+    assert take("train") == every and take("train[:5]") == every[:5] and take("train[3:8]") == every[3:8] and take("train[9:]") == every[9:] and take("train[5:5]") == take("train[50:]") == []
+    with pytest.raises(FileNotFoundError):
+        take("test[:2]")
+    with pytest.raises(ValueError, match="no slice"):
+        take("train[x]")
+    path = f"{tmp_path}/note.txt"
+    for said in ("first", "second é"):
+        files_.write_atomically(spark, path, said)
+        assert open(path, encoding="utf-8").read() == said and [f for f in os.listdir(tmp_path) if f.endswith(".tmp")] == []
