@@ -56,7 +56,7 @@ def resampled(rows: DataFrame, by: list[str], key: Column, sums: dict[str, Colum
     each task, cell and replicate is shuffled, and no cell is gathered.
     """
     base = rows.select(*by, row_hash(key, seed).alias("_h"), *[c.cast("double").alias(n) for n, c in sums.items()])
-    base = base.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_h")  # a few small partitions would become large here
+    base = base.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a few small partitions would become large here; dealt in turn, as a key may have many rows
     names, steps = list(sums), np.array(limits())
     kinds = dict(base.dtypes)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leaklens.functions import resampling, stats
 from leaklens.operators import cells, corpus, logits, moments, passages, search, suppression, traces, trajectory, verdicts
-from leaklens.plans.domain import CELL, CHANNELS, LONG_SQL, entities, leak_events, leak_records, long, table
+from leaklens.plans.domain import CELL, CHANNELS, LONG_SQL, leak_events, leak_records, long, table
 from leaklens.plans.generation import PASSAGE, _forget
 from leaklens.plans.registry import ENT, REC_OR, SQL, W, query, r
 

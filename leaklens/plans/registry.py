@@ -351,9 +351,12 @@ def pii_extract(s, d):
     return table(s, d, "documents").select("doc_id", found(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("email"), found(r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b").alias("ip"))
 
 
-@query()
+@query(r"""SELECT doc_id, nullif(regexp_extract(text, '^([A-Z][a-z]+ [A-Z][a-z]+)', 1), '') AS name, nullif(regexp_extract(text, 'born on ([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4})', 1), '') AS date_of_birth,
+  coalesce(nullif(regexp_extract(text, 'phone (?:number )?(?:is |at )?([0-9]{3}-[0-9]{3}-[0-9]{4})', 1), ''), nullif(regexp_extract(text, '([0-9]{3}-[0-9]{3}-[0-9]{4})', 1), '')) AS phone,
+  replace(coalesce(nullif(regexp_extract(text, 'email (?:is |at )?\[?([^\]\s@]+@[^\]\s)]+)', 1), ''), nullif(regexp_extract(text, '([a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9\-.]+)', 1), '')), '\', '') AS email,
+  nullif(regexp_extract(text, '(?:Social Security [Nn]umber|SSN) (?:is )?([0-9]{3}-[0-9]{2}-[0-9]{4})', 1), '') AS ssn, trim(nullif(regexp_extract(text, '(?:address|resides at)(?: is)? (.+?)(?:\.|\n?\z)', 1), '')) AS address FROM documents""")
 def pii_fields(s, d):
-    """All six fields with their fallbacks; `pii_extract` and its SQL have e-mail by one pattern, and an address of the network."""
+    """All six fields with their fallbacks; `pii_extract` has e-mail by one pattern, and an address of the network. The SQL holds for texts with ASCII digits and spaces."""
     return table(s, d, "documents").select("doc_id", *[c.alias(f) for f, c in text.pii_fields(F.col("text")).items()])
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leaklens.operators import corpus, search, traces
-from leaklens.plans.domain import entities, table
-from leaklens.plans.registry import ENT, query, r
+from leaklens.plans.domain import table
+from leaklens.plans.registry import ENT, query
 from leaklens.plans.registry import SQL as _SQL
 
 

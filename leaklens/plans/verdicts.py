@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leaklens.functions import stats
 from leaklens.operators import cells, corpus, search, traces, verdicts
 from leaklens.plans.domain import CHANNELS, LONG_SQL, entities, long, records, table
-from leaklens.plans.registry import CROSS, ENT, KS, QUEST, REC_OR, TV, W, pooled_dominant, query, r
+from leaklens.plans.registry import CROSS, ENT, KS, QUEST, REC_OR, TV, W, query, r
 
 #: The six channels of a record as columns, and its answer: a digit, none for every third query.
 WIDE = W + REC_OR + ", wide AS (SELECT substrate, method, subset, seed, query_id, CASE WHEN query_id % 3 <> 0 THEN query_id % 4 + (CASE WHEN method = 'eco' AND query_id % 5 = 0 THEN 1 ELSE 0 END) END AS answer, " + ", ".join(f"max(CASE WHEN channel = '{c}' THEN cer ELSE 0 END) AS {c}" for c in CHANNELS) + " FROM lng GROUP BY ALL)\n"
