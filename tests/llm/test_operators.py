@@ -486,6 +486,33 @@ def test_vectors_in_a_dense_cell(spark):
     assert all(got[i]["component_id"] == c for i, c in enumerate(label))
 
 
+def test_vectors_in_tiles_of_groups(spark, monkeypatch):
+    """Whatever the vectors, each goes to as many tiles as there are groups, and pairs in different groups are found once."""
+    monkeypatch.setattr(vectors, "FEW_ROWS", 60)
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(900, 64)).astype(np.float32)
+    x[600:] = x[rng.integers(0, 200, 300)] + (rng.normal(size=(300, 64)) * 0.2).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    kept, stash = {}, vectors.stash
+
+    def watched(df, name, *by):
+        kept[name] = df
+        return stash(df, name, *by)
+
+    monkeypatch.setattr(vectors, "stash", watched)
+    got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    label = np.arange(len(x))
+    for _ in range(10):
+        label = np.array([min(label[i], label[link[i]].min(initial=i)) for i in range(len(x))])
+    assert link.sum() > 300 and {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {i: (int(link[i].sum()), int(label[i])) for i in range(len(x))}
+    space = vectors._Space(unit, 0.95, len(x))
+    assert max(map(len, space.pivots)) <= vectors.MOST_PIVOTS
+    # counts and edges per tile, not per pair: no more rows than vectors have tiles, twice
+    assert kept["near"].count() <= 2 * vectors.GROUPS * len(x)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (None, 3), (7, 7)], "a long, b long")
     got = dict(map(tuple, shared.components(edges).collect()))
