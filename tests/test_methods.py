@@ -235,6 +235,22 @@ def test_soft_penalty_by_brute_force(spark):
     assert {r["penalty"] for r in suppression.soft_penalty(df, df.limit(0)).collect()} == {0.0}
 
 
+def test_soft_penalty_sends_vectors_once(spark, monkeypatch):
+    """Without structure every cell may hold a neighbour; vectors still go to one part, and parts hold few rows."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen, plan = [], type(df).mapInArrow
+    monkeypatch.setattr(suppression, "HELD", 100)
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **b: (seen.append(self), plan(self, *a, **b))[1])
+    got = {r["vec_id"]: r["penalty"] for r in suppression.soft_penalty(df, df.where("vec_id % 50 = 7")).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    best = (u @ u[np.arange(3000) % 50 == 7].T).max(1)
+    assert all(math.isclose(got[i], 5 * b if b >= 0.5 else 0.0, abs_tol=1e-9) for i, b in enumerate(best))
+    sent = seen[-1].groupBy(F.col("cell") < 0).count().collect()
+    assert {r[0]: r["count"] for r in sent}[True] == 3000 and {r[0]: r["count"] for r in sent}[False] == 60 * seen[-1].select("part").distinct().count()
+
+
 # --- trajectories ------------------------------------------------------------------------------------------------------
 
 
