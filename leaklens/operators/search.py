@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,13 +99,54 @@ def dot(a: str, b: str) -> F.Column:
 
 #: Queries that are compared with all vectors in one pass; more take several passes.
 QUERY_BLOCK = 4096
+#: Scores that a task has in memory at once.
+SCORES = 1 << 21
+
+
+class _Best:
+    """The k best of every query so far: largest score to 9 places, then smallest id."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.held: list[tuple | None] = [None] * queries
+
+    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
+        """score: a row a query, a column an id."""
+        short = np.round(score, 9)
+        short[np.isnan(short)] = np.inf  # not a number is largest, as in Spark's order
+        order, place = np.argsort(ids, kind="stable"), None
+        for q in np.flatnonzero((short >= self.least[:, None]).any(1)).tolist():
+            row = short[q]
+            at = np.flatnonzero(row >= self.least[q])
+            if len(at) > self.k:  # of what equals the k-th score, the smallest ids
+                bound = np.partition(row[at], len(at) - self.k)[len(at) - self.k]
+                at = at[row[at] >= bound]
+                if len(at) > 4 * self.k:
+                    if place is None:
+                        place = np.empty(len(ids), np.int64)
+                        place[order] = np.arange(len(ids))
+                    more, same = at[row[at] > bound], at[row[at] == bound]
+                    at = np.concatenate([more, same[np.argpartition(place[same], self.k - 1)[: self.k]]])
+            s, i, exact = row[at], ids[at], score[q, at]
+            if self.held[q]:
+                s, i, exact = (np.concatenate(x) for x in zip(self.held[q], (s, i, exact), strict=True))
+            keep = np.lexsort((i, -s))[: self.k]
+            self.held[q] = s[keep], i[keep], exact[keep]
+            if len(keep) == self.k:
+                self.least[q] = s[keep[-1]]
+
+    def rows(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        full = [(q, h) for q, h in zip(queries, self.held, strict=True) if h]
+        if full:
+            return np.array([q for q, h in full for _ in h[1]]), np.concatenate([h[1] for _, h in full]), np.concatenate([h[2] for _, h in full])
+        return None
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query, vec_id, score, rank: the k rows of largest inner product with each stated query, by blocked products.
 
     Queries go out in blocks of about QUERY_BLOCK, each against all rows; a task keeps its own k best of every query
-    before anything is shuffled. Ties go to the smaller id. Without queries or rows there are no rows.
+    and sends nothing else. Ties to 9 places go to the smaller id. Without queries or rows there are no rows.
     """
     asked = queries.select("vec_id", "embedding").where("vec_id is not null and embedding is not null")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
@@ -113,16 +155,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toPandas()
         q = vectors.sparkSession.sparkContext.broadcast((part["vec_id"].to_numpy(), np.stack(part["embedding"]).astype(np.float64) if len(part) else None))
 
-        def score(frames: Iterator[pd.DataFrame], q=q) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
             qi, qv = q.value
-            for f in frames:
-                if len(f) and len(qi):
-                    x = np.stack(f["embedding"].to_numpy()).astype(np.float64)
-                    s, vec = qv @ x.T, f["vec_id"].to_numpy()
-                    keep = [np.lexsort((vec, -row))[:k] for row in s]
-                    yield pd.DataFrame({"query": np.repeat(qi, [len(c) for c in keep]), "vec_id": vec[np.concatenate(keep)], "score": np.concatenate([row[c] for row, c in zip(s, keep, strict=True)])})
-
-        found = vectors.where("embedding is not null").select("vec_id", "embedding").mapInPandas(score, schema)
+            best, unnamed, kind = _Best(len(qi), k), _Best(len(qi), k), pa.null()
+            for b in batches:
+                kind = b.schema.field(0).type
+                for begin in range(0, len(b) if len(qi) else 0, step := max(1, SCORES // max(1, len(qi)))):
+                    rows = b.slice(begin, step)
+                    x = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+                    s, null = qv @ x.T, rows.column(0).is_null().to_numpy(zero_copy_only=False)
+                    best.add(s[:, ~null], rows.column(0).drop_null().to_pandas().to_numpy())
+                    if null.any():  # null ids come before all others
+                        unnamed.add(s[:, null], np.zeros(null.sum(), np.int64))
+            for out, named in ((best.rows(qi), True), (unnamed.rows(qi), False)):
+                if out is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1], kind) if named else pa.nulls(len(out[1]), kind), pa.array(out[2])], names=["query", "vec_id", "score"])
+
+        found = vectors.where("embedding is not null").select("vec_id", "embedding").mapInArrow(score, schema)
         every = found if every is None else every.union(found)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "vec_id"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -140,17 +189,60 @@ def unit(v: Column) -> Column:
     return once(wide, lambda w: once(length(w), lambda n: F.when(n > 0, F.transform(w, lambda x: x / n)).otherwise(w)))
 
 
+#: Different words whose places a task remembers; those it meets first, as frequent ones are.
+WORDS = 400_000
+#: All bytes but a-z and 0-9 as spaces.
+APART = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+
+
+class _Places(dict):
+    """A word's place among `dims`, by its digest."""
+
+    def __init__(self, dims: int) -> None:
+        super().__init__()
+        self.dims = dims
+
+    def __missing__(self, word: bytes) -> int:
+        at = int.from_bytes(hashlib.md5(word).digest()[:2], "big") % self.dims
+        if len(self) < WORDS:
+            self[word] = at
+        return at
+
+
 def encode(texts: DataFrame, key: str, dims: int = 64) -> DataFrame:
     """key, embedding: hashed counts of a text's runs of letters and digits, at length one; zeros for a text without any.
 
-    Stands where an encoder would: any function from texts to vectors can take its place.
+    Stands where an encoder would: any function from texts to vectors can take its place. Words are counted where their
+    text lies; what is shuffled is a row of counts for each text, so that texts of one key are one text.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9]+)"), 1)
-    rows = texts.select(key, F.explode_outer(words).alias("_w")).withColumn("_slot", F.pmod(F.conv(F.substring(F.md5("_w"), 1, 4), 16, 10).cast("long"), F.lit(dims)))
-    n = rows.groupBy(key, "_slot").count()
-    at = n.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("_slot").isNotNull(), F.struct(F.col("_slot").cast("int"), F.col("count").cast("double"))))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("int")), F.lit(0.0)))
-    return at.select(key, unit(dense).alias("embedding"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = _Places(dims)
+        for b in batches:
+            packed = []
+            for t in b.column(1).cast(pa.binary()).to_pylist():
+                n = np.bincount(np.fromiter(map(place.__getitem__, t.translate(APART).split()), np.int64), minlength=dims)
+                at = np.flatnonzero(n)
+                packed.append(np.stack([at, n[at]], 1).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], schema=pa.schema([b.schema.field(0), pa.field("counts", pa.binary())]))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for begin in range(0, len(b), 1000):
+                rows = b.slice(begin, 1000)
+                x = np.zeros((len(rows), dims))
+                for i, many in enumerate(rows.column(1).to_pylist()):
+                    for one in many:
+                        at, n = np.frombuffer(one, np.int32).reshape(-1, 2).T
+                        x[i, at] += n
+                length = np.sqrt((x * x).sum(1))
+                x /= np.where(length > 0, length, 1.0)[:, None]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dims), pa.int32()), pa.array(x.ravel()))], schema=pa.schema([rows.schema.field(0), pa.field("embedding", pa.list_(pa.float64()))]))
+
+    rows = texts.select(F.col(key).alias("key"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
+    each = rows.mapInArrow(count, f"key {kind}, counts binary").groupBy("key").agg(F.collect_list("counts").alias("counts"))
+    return each.mapInArrow(spread, f"key {kind}, embedding array<double>").withColumnRenamed("key", key)
 
 
 def encoded(text: Column, dims: int = 64) -> Column:
@@ -175,7 +267,7 @@ def with_cells(rows: DataFrame, centers: np.ndarray, column: str, k: int) -> Dat
                 yield f.assign(cell=0)
                 continue
             s = np.stack(f[column].to_numpy()) @ centers.T - (centers**2).sum(1) / 2
-            near = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            near = s.argmax(1)[:, None] if k == 1 else np.argsort(-s, axis=1, kind="stable")[:, :k]
             yield f.iloc[np.repeat(np.arange(len(f)), near.shape[1])].assign(cell=near.ravel())
 
     return rows.mapInPandas(pick, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", cell int")

@@ -6,6 +6,7 @@ import os
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,6 +322,39 @@ def test_retrieval(spark, monkeypatch):
     assert score[1] == 0.0 and math.isclose(score[2], 1.0)
 
 
+def test_nearest_keeps_few_rows_and_settles_ties_by_id(spark, monkeypatch):
+    """Equal scores go to the smallest ids whatever batches and rounding noise do; a task sends k rows a query, not k a batch."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(40, 8)), 25, axis=0)
+    x[rng.permutation(1000)[:300]] *= 1 + 1e-13
+    x[100:400] = 0.0
+    ids = rng.permutation(1000)
+    v = spark.createDataFrame([(f"p{i:04d}" if i else None, e.tolist()) for i, e in zip(ids.tolist(), x, strict=True)], "vec_id string, embedding array<double>").repartition(2)
+    asked = spark.createDataFrame([(f"q{i}", rng.normal(size=8).tolist()) for i in range(6)] + [("zero", [0.0] * 8)], "vec_id string, embedding array<double>")
+    monkeypatch.setattr(search, "SCORES", 7 * 16)
+    sent, plan = [], type(v).mapInArrow
+    monkeypatch.setattr(type(v), "mapInArrow", lambda self, *a, **b: (sent.append(plan(self, *a, **b)), sent[-1])[1])
+    got = search.nearest(v, asked)
+    rows = [tuple(r) for r in got.select("query", "vec_id", "rank").collect()]
+    want = []
+    for q in asked.collect():
+        score = np.round(x @ np.array(q["embedding"]), 9)
+        order = sorted(range(1000), key=lambda j: (-score[j], ids[j]))[:5]
+        want += [(q["vec_id"], f"p{ids[j]:04d}" if ids[j] else None, n) for n, j in enumerate(order, 1)]
+    assert sorted(rows, key=str) == sorted(want, key=str)
+    assert sent[0].count() <= 2 * 2 * 7 * 5
+
+
+def test_encode_takes_texts_of_one_key_together(spark):
+    texts = spark.createDataFrame([(1, "a b"), (1, "B c-1 \u00e9t\u00e9"), (None, "x"), (None, None), (2, "")], "i int, text string")
+    got = {r["i"]: r["embedding"] for r in search.encode(texts, "i", 64).collect()}
+    one = spark.createDataFrame([(1, "a b B c-1 \u00e9t\u00e9"), (None, "x"), (2, None)], "i int, text string")
+    want = {r["i"]: r["e"] for r in one.select("i", search.encoded(F.col("text"), 64).alias("e")).collect()}
+    assert got == want
+    plan = search.encode(texts, "i", 64)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan  # words are not rows
+
+
 def test_generated_data(spark):
     got = one(spark, corpus.positions(F.array(*map(F.lit, "abcabca")), F.array(F.lit("a"), F.lit("b"))), corpus.positions(F.array(F.lit("a")), F.array(F.lit("a"), F.lit("b"))))
     assert got[0] == [0, 3] and got[1] == []
