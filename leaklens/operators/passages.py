@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leaklens.operators.search import cells_of, dot, unit, with_cells
+from leaklens.operators.search import cells_of, dot, fitted, sampled, unit, with_cells
 
 #: How ids of injected articles begin.
 INJECTED = "fake_wiki::"
@@ -27,16 +27,12 @@ class PassageIndex:
     @classmethod
     def build(cls, passages: DataFrame, path: str, asked: int = 1024, sample: int = 20_000, seed: int = 1) -> PassageIndex:
         """passages: passage_id, doc_id, embedding. Rows without a vector are not indexed."""
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
         spark = passages.sparkSession
         passages.where("embedding is not null").select("passage_id", "doc_id", unit(F.col("embedding")).alias("embedding")).write.parquet(f"{path}/incoming")
         rows = spark.read.parquet(f"{path}/incoming")
         n = rows.count()
-        few = rows.orderBy(F.xxhash64("passage_id"), "passage_id").limit(sample).select(array_to_vector("embedding").alias("features"))
         k = cells_of(min(n, sample), asked)
-        centers = [c.tolist() for c in KMeans(k=k, seed=seed, maxIter=10).fit(few).clusterCenters()] if k > 1 and n > 1 else [[0.0]]
+        centers = fitted(sampled(rows, "passage_id", n, sample), k, seed).tolist() if k > 1 and n > 1 else [[0.0]]
         spark.createDataFrame([(i, c) for i, c in enumerate(centers)], "cell int, center array<double>").coalesce(1).write.parquet(f"{path}/centers")
         index = cls(spark, path)
         index._append(rows)

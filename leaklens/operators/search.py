@@ -261,30 +261,48 @@ def cells_of(rows: int, asked: int) -> int:
 def with_cells(rows: DataFrame, centers: np.ndarray, column: str, k: int) -> DataFrame:
     """Every row once for each of its k nearest centers, with their numbers as cell; cell 0 where there is one center."""
 
-    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(centers) == 1 or not len(f):
-                yield f.assign(cell=0)
-                continue
-            s = np.stack(f[column].to_numpy()) @ centers.T - (centers**2).sum(1) / 2
-            near = s.argmax(1)[:, None] if k == 1 else np.argsort(-s, axis=1, kind="stable")[:, :k]
-            yield f.iloc[np.repeat(np.arange(len(f)), near.shape[1])].assign(cell=near.ravel())
+    at, kinds = rows.columns.index(column), ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = np.zeros((len(b), 1), np.int32)
+            if len(centers) > 1 and len(b):
+                s = b.column(at).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1) @ centers.T - (centers**2).sum(1) / 2
+                near = s.argmax(1)[:, None] if k == 1 else np.argsort(-s, axis=1, kind="stable")[:, :k]
+            many = b if near.shape[1] == 1 else b.take(pa.array(np.repeat(np.arange(len(b)), near.shape[1])))
+            yield pa.RecordBatch.from_arrays([*many.columns, pa.array(near.ravel().astype(np.int32))], names=[*many.schema.names, "cell"])
+
+    return rows.mapInArrow(pick, f"{kinds}, cell int")
+
+
+#: Parts that a sample is fitted in; the sample is bounded, and one part would keep all rounds in one task.
+FIT_PARTS = 24
 
-    return rows.mapInPandas(pick, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", cell int")
+
+def sampled(rows: DataFrame, key: str, n: int, sample: int) -> DataFrame:
+    """(key, embedding) of the `sample` rows of n whose keys' hashes are smallest; only hashes that may be among them are sorted."""
+    h = F.xxhash64(key)
+    if n > 2 * sample:
+        rows = rows.where(h <= int(-(2**63) + 2**64 * (1.5 * sample / n)))
+    return rows.orderBy(h, key).limit(sample).select(key, "embedding")
+
+
+def fitted(sample: DataFrame, k: int, seed: int) -> np.ndarray:
+    """Centers of a bounded sample of vectors (key, embedding), the same whenever the sample is."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = sample.repartition(FIT_PARTS, sample.columns[0]).sortWithinPartitions(sample.columns[0])
+    return np.array(KMeans(k=k, seed=seed, maxIter=10).fit(rows.select(array_to_vector("embedding").alias("features"))).clusterCenters())
 
 
 class InvertedFile:
     """Vectors by their nearest centroid. Centroids are fitted on a bounded sample of unit vectors; every vector is indexed."""
 
     def __init__(self, vectors: DataFrame, asked: int = 1024, sample: int = 20_000, seed: int = 1, keep: tuple[str, ...] = ()) -> None:
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
         rows = vectors.where("embedding is not null").select("vec_id", *keep, unit(F.col("embedding")).alias("embedding"))
         n = rows.count()
-        few = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select(array_to_vector("embedding").alias("features"))
-        model = KMeans(k=max(2, cells_of(min(n, sample), asked)), seed=seed, maxIter=10).fit(few) if n > 1 else None
-        self.centers = np.array(model.clusterCenters()) if model else np.zeros((1, 1))
+        self.centers = fitted(sampled(rows, "vec_id", n, sample), max(2, cells_of(min(n, sample), asked)), seed) if n > 1 else np.zeros((1, 1))
         self.rows = with_cells(rows, self.centers, "embedding", 1)
 
     def search(self, queries: DataFrame, k: int = 5, probes: int = 16) -> DataFrame:

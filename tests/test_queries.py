@@ -345,6 +345,16 @@ def test_nearest_keeps_few_rows_and_settles_ties_by_id(spark, monkeypatch):
     assert sent[0].count() <= 2 * 2 * 7 * 5
 
 
+def test_a_sample_sorts_few_rows_and_is_fitted_in_parts(spark):
+    rng = np.random.default_rng(9)
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(rng.normal(size=(6000, 8)))], "vec_id long, embedding array<double>")
+    few = search.sampled(v, "vec_id", 6000, 200)
+    assert {r[0] for r in few.collect()} == {r[0] for r in v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(200).select("vec_id").collect()}
+    assert "Filter" in few._jdf.queryExecution().optimizedPlan().toString()
+    a, b = search.fitted(few, 5, 1), search.fitted(few.repartition(3), 5, 1)
+    assert a.shape == (5, 8) and np.allclose(a, b)
+
+
 def test_encode_takes_texts_of_one_key_together(spark):
     texts = spark.createDataFrame([(1, "a b"), (1, "B c-1 \u00e9t\u00e9"), (None, "x"), (None, None), (2, "")], "i int, text string")
     got = {r["i"]: r["embedding"] for r in search.encode(texts, "i", 64).collect()}
