@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Weights come from numbers below this prime, so every product fits in 63 bits.
 PRIME = (1 << 31) - 1
-#: Rows that are weighted together, and cells whose sums a task holds.
-ROWS, CELLS = 2048, 1000
+#: Rows that are weighted together, cells whose sums a task holds, and cells that it sends together.
+ROWS, CELLS, SENT = 256, 200, 16
 
 
 def limits(prime: int = PRIME) -> list[int]:
@@ -60,9 +60,11 @@ def resampled(rows: DataFrame, by: list[str], key: Column, sums: dict[str, Colum
     names, steps = list(sums), np.array(limits())
     kinds = dict(base.dtypes)
 
-    def rows_of(held: dict) -> pd.DataFrame:
-        out = pd.concat([pd.DataFrame({**{c: [v] * rounds for c, v in zip(by, k, strict=True)}, "replicate": np.arange(rounds), "weight": w, **{n: t[:, i] for i, n in enumerate(names)}}) for k, (w, t) in held.items()])
-        return out[out["weight"] > 0]
+    def rows_of(held: dict) -> Iterator[pd.DataFrame]:
+        cells = list(held.items())
+        for begin in range(0, len(cells), SENT):
+            out = pd.concat([pd.DataFrame({**{c: [v] * rounds for c, v in zip(by, k, strict=True)}, "replicate": np.arange(rounds), "weight": w, **{n: t[:, i] for i, n in enumerate(names)}}) for k, (w, t) in cells[begin : begin + SENT]])
+            yield out[out["weight"] > 0]
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
@@ -76,10 +78,9 @@ def resampled(rows: DataFrame, by: list[str], key: Column, sums: dict[str, Colum
                     old = held.get(k, (0, 0.0))
                     held[k] = (old[0] + w[at].sum(0), old[1] + w[at].T.astype(float) @ x[at])
                 if len(held) > CELLS:
-                    yield rows_of(held)
+                    yield from rows_of(held)
                     held = {}
-        if held:
-            yield rows_of(held)
+        yield from rows_of(held)
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", replicate int, weight long" + "".join(f", {n} double" for n in names)
     each = base.mapInPandas(add, schema)

@@ -149,6 +149,30 @@ def test_bootstrap_shares_are_near_numpys(spark):
         assert math.isclose(got[c]["share"], own[i]) and abs(got[c]["low"] - low[i]) < 0.15 * (high - low)[i] and abs(got[c]["high"] - high[i]) < 0.15 * (high - low)[i]
 
 
+def test_resampling_sends_few_cells_at_once(spark, monkeypatch):
+    """A task's frames hold few cells however many cells it has, and the sums are the same."""
+    rows = spark.range(3000).select((F.col("id") % 70).alias("cell"), F.col("id").alias("key"), (F.col("id") % 7).cast("double").alias("v"))
+    sizes, plan = spark.sparkContext.accumulator(0), type(rows).mapInPandas
+    most = resampling.SENT * 20
+
+    def watched(self, use, *a, **b):
+        def seen(frames):
+            for f in use(frames):
+                sizes.add(int(len(f) > most))
+                yield f
+
+        return plan(self, seen, *a, **b)
+
+    monkeypatch.setattr(type(rows), "mapInPandas", watched)
+    got = {(r["cell"], r["replicate"]): (r["weight"], r["v"]) for r in resampling.resampled(rows, ["cell"], F.col("key"), {"v": F.col("v")}, 20).collect()}
+    assert sizes.value == 0
+    h = np.array([r[0] for r in rows.orderBy("key").select(resampling.row_hash(F.col("key"), 0)).collect()])
+    w = np.searchsorted(np.array(resampling.limits()), resampling.drawn(h, 20), "right")
+    key = np.arange(3000)
+    want = {(c, r): (int(w[key % 70 == c, r].sum()), float((w[key % 70 == c, r] * (key[key % 70 == c] % 7)).sum())) for c in range(70) for r in range(20)}
+    assert got == {k: v for k, v in want.items() if v[0]}
+
+
 def test_exact_ks(spark):
     def every_order(d, n, m):
         hits = total = 0
