@@ -134,8 +134,11 @@ def token_pieces(docs: DataFrame, path: str, room: int = 4096, end_id: int = 1)
         own = encoder(path)
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = own.ids(text) + end
+            whole, ends = own.encode(b.column(1))
+            begin = 0
+            for key, stop in zip(b.column(0).to_pylist(), ends.tolist(), strict=True):
+                ids = whole[begin:stop].tobytes() + end
+                begin = stop
                 for k in range(0, len(ids), 4 * room):
                     piece = ids[k : k + 4 * room]
                     for column, value in zip(out, (key, k // (4 * room), k // 4, len(piece) // 4, zlib.crc32(piece)), strict=True):

@@ -3,6 +3,7 @@
 import glob
 import hashlib
 import html.parser
+import json
 import os
 import re
 import time
@@ -11,6 +12,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -93,6 +95,31 @@ def test_encoder_is_the_library(text):
     assert np.frombuffer(own.ids(text), "<u4").tolist() == own.library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | st.text("abhinorstTé ÀßÑ.,'_-?09 \n", max_size=80), max_size=6))
+def test_columns_of_plain_texts_need_no_library(texts):
+    own = tokens.encoder(VOCABULARY)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(own, "_library", lambda text: pytest.fail(f"asked for {text!r}"))
+        ids, ends = own.encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [own.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("merges, by_rank", [(["a b", "ab c</w>"], True), (["b c</w>", "a b", "ab c</w>"], False), (["a b", "b c", "a bc"], False)])
+def test_encoder_of_merges_that_ranks_do_not_give(tmp_path, merges, by_rank):
+    """In the second file the library never forms abc, as bc comes first; in the third ab comes before bc does."""
+    steps, letters = json.loads(open(VOCABULARY, encoding="utf-8").read()), tokens._byte_letters().values()
+    pieces = [*letters, *[x + "</w>" for x in letters], *[m.replace(" ", "") for m in merges]]
+    steps["model"] |= {"vocab": {x: i for i, x in enumerate(pieces)}, "merges": [m.split() for m in merges]}
+    steps["added_tokens"] = []
+    path = tmp_path / "few.json"
+    path.write_text(json.dumps(steps), encoding="utf-8")
+    own = tokens.WordEncoder(str(path))
+    assert (own.ranked is not None) == by_rank
+    for text in ("abc ab bc c", "xabc abcx ABC,abc", "é abc日 abc"):
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == own.library.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12))
 def test_packing_plan(counts):
